@@ -189,5 +189,8 @@ def counted(terms: Column) -> Column:
 
 
 def probe_flags(text: Column, probes=PROBES) -> list[Column]:
-    """One boolean column per construction, case-insensitive."""
-    return [F.rlike(text, F.lit(f"(?i){pattern}")).alias(name) for name, pattern in probes]
+    """One boolean column per construction, case-insensitive.
+
+    Word boundaries follow Unicode on every Java version, hence the ``U``.
+    """
+    return [F.rlike(text, F.lit(f"(?iU){pattern}")).alias(name) for name, pattern in probes]
