@@ -9,6 +9,9 @@ from reviewlytics.operators import features as feat
 from reviewlytics.operators.linear import LinearModel
 from reviewlytics.runtime import settle
 
+# Log prior odds when one class has no training document: certainty.
+ONE_CLASS = 500.0
+
 
 def sizes_of(docs: DataFrame, keys: list[str]) -> DataFrame:
     """``keys..., n_docs, n_pos, n_neg`` of the training documents."""
@@ -48,7 +51,10 @@ def fit(
     weight = log_share("pos_sum", "_p") - log_share("neg_sum", "_q")
     out_keys = [*keys, "alpha"] if vary_alpha else list(keys)
     weights = sums.join(totals, keys).select("*", grid).select(*out_keys, "term", "idf", weight.alias("weight"))
-    prior = F.log(F.col("n_pos").cast("double") / F.col("n_neg").cast("double"))
+    prior = (
+        F.when(F.col("n_neg") == 0, F.lit(ONE_CLASS)).when(F.col("n_pos") == 0, F.lit(-ONE_CLASS))
+        .otherwise(F.log(F.col("n_pos") / F.col("n_neg")))
+    )
     bias = sizes.select(*keys, grid, prior.alias("bias")).select(*out_keys, "bias")
     return LinearModel(
         settle(weights, "weights"), settle(bias, "bias"), out_keys, options, {"model": "naive_bayes"}

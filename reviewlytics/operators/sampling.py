@@ -8,7 +8,7 @@ label) and join the texts afterwards.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlytics.config import SEED
@@ -16,18 +16,41 @@ from reviewlytics.functions.hashing import hash_fraction, seeded_hash
 from reviewlytics.operators.ranking import rank_by_hash
 
 
-def _stratum_sizes(df: DataFrame, label: str) -> DataFrame:
-    return df.groupBy(label).agg(F.count("*").alias("_n"))
+def stratum_ranks(df: DataFrame, label: str = "label", key: str = "doc_id", seed=SEED) -> DataFrame:
+    """Add ``stratum_rank`` (1, 2, ... in hash order) and ``stratum_size`` per class.
+
+    Splits and folds are functions of these two, so texts that carry them are
+    split again and again without another shuffle.
+    """
+    sizes = df.groupBy(label).agg(F.count("*").alias("stratum_size"))
+    return rank_by_hash(df, [label], key, seed, "stratum_rank").join(sizes, label)
+
+
+def split_part(test_share: float = 0.2) -> Column:
+    """``test`` for exactly the rounded share of every class, else ``train``."""
+    quota = F.floor(F.col("stratum_size") * F.lit(test_share) + F.lit(0.5))
+    return F.when(F.col("stratum_rank") <= quota, "test").otherwise("train")
+
+
+def fold_number(k: int) -> Column:
+    """0..k-1, every class spread evenly."""
+    return ((F.col("stratum_rank") - 1) % k).cast("int")
 
 
 def stratified_split(
     df: DataFrame, label: str = "label", key: str = "doc_id", test_share: float = 0.2, seed=SEED
 ) -> DataFrame:
-    """Add ``part``: exactly the rounded share of every class is ``test``."""
-    ranked = rank_by_hash(df, [label], key, seed, "_rank").join(_stratum_sizes(df, label), label)
-    quota = F.floor(F.col("_n") * F.lit(test_share) + F.lit(0.5))
-    part = F.when(F.col("_rank") <= quota, "test").otherwise("train")
-    return ranked.withColumn("part", part).drop("_rank", "_n")
+    """Add ``part``."""
+    ranked = stratum_ranks(df, label, key, seed)
+    return ranked.withColumn("part", split_part(test_share)).drop("stratum_rank", "stratum_size")
+
+
+def stratified_folds(
+    df: DataFrame, k: int = 5, label: str = "label", key: str = "doc_id", seed=SEED
+) -> DataFrame:
+    """Add ``fold``."""
+    ranked = stratum_ranks(df, label, key, seed)
+    return ranked.withColumn("fold", fold_number(k)).drop("stratum_rank", "stratum_size")
 
 
 def threshold_split(df: DataFrame, key: str = "doc_id", test_share: float = 0.2, seed=SEED) -> DataFrame:
@@ -67,9 +90,8 @@ def stratified_subsamples(
     ]))
     spread = df.select("*", grid)
     hash_seed = F.concat_ws("/", F.lit(str(seed)), "train_size", "draw")
-    ranked = rank_by_hash(
-        spread, ["train_size", "draw", label], key, hash_seed, "_rank"
-    ).join(_stratum_sizes(df, label), label)
+    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
+    ranked = rank_by_hash(spread, ["train_size", "draw", label], key, hash_seed, "_rank").join(sizes, label)
     quota = F.floor(F.col("train_size") * F.col("_n").cast("double") / F.lit(float(total)) + F.lit(0.5))
     kept = ranked.filter((F.col("_rank") <= quota) | (F.col("train_size") >= total))
     return kept.drop("_rank", "_n")

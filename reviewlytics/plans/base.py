@@ -16,7 +16,7 @@ from reviewlytics.operators import naive_bayes, sampling
 from reviewlytics.operators.linear import LinearModel, score, with_prediction
 from reviewlytics.operators.normalise import RAW, normalise
 from reviewlytics.operators.reports import corpus_words
-from reviewlytics.runtime import settled_once, table
+from reviewlytics.runtime import settled_once, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOLDS = 3
@@ -30,9 +30,9 @@ class Registry:
         self.queries: dict[str, Query] = {}
         self.sql: dict[str, str] = {}
 
-    def add(self, name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(self, name: str, sql: str | None = None, digits: int = 6) -> Callable[[Query], Query]:
         def register(query: Query) -> Query:
-            self.queries[name] = lambda spark, folder: tidy(query(spark, folder))
+            self.queries[name] = lambda spark, folder: tidy(query(spark, folder), digits)
             if sql is not None:
                 self.sql[name] = sql
             return query
@@ -51,29 +51,37 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*out)
 
 
-def reviews(spark: SparkSession, folder: str) -> DataFrame:
-    """``doc_id, text, label, film_id, corpus``."""
-    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
-    labels = table(spark, folder, "labels").select("doc_id", "quality")
-    return docs.join(labels, "doc_id").select(
-        "doc_id", "text", F.col("quality").alias("label"), F.col("source").alias("film_id"),
-        F.col("lang").alias("corpus"),
-    )
-
-
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
     """Keys and labels only, for sampling."""
     return table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
+def reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, text, label, film_id, corpus, stratum_rank, stratum_size``.
+
+    The one join that moves texts. Ranks for sampling are computed on the
+    narrow label table before it and travel along.
+    """
+    ranked = settled_once(
+        spark, folder, "ranked-labels", lambda: sampling.stratum_ranks(labelled(spark, folder))
+    )
+    docs = documents(spark, folder).select(
+        "doc_id", "text", F.col("source").alias("film_id"), F.col("lang").alias("corpus")
+    )
+    return docs.join(ranked, "doc_id")
+
+
 def review_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Reviews with ``tokens`` in place of the text, computed once."""
     return settled_once(spark, folder, "review-tokens", lambda: normalise(reviews(spark, folder), RAW))
 
 
-def folded_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    folds = sampling.stratified_folds(labelled(spark, folder), FOLDS).select("doc_id", "fold")
-    return review_tokens(spark, folder).join(folds, "doc_id")
+def folded_tokens(spark: SparkSession, folder: str, k: int = FOLDS) -> DataFrame:
+    return review_tokens(spark, folder).withColumn("fold", sampling.fold_number(k))
 
 
 def one_fit(docs: DataFrame) -> DataFrame:
@@ -125,7 +133,7 @@ def scored_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def derived_lemmas(spark: SparkSession, folder: str) -> DataFrame:
     """A lemma table read off the texts: plural and past forms of known words."""
-    docs = table(spark, folder, "documents").select(F.lit("all").alias("corpus"), "text")
+    docs = documents(spark, folder).select(F.lit("all").alias("corpus"), "text")
     vocab = settled_once(spark, folder, "vocab-words", lambda: corpus_words(docs).select("word"))
     base = vocab.select(F.col("word").alias("lemma"))
 

@@ -172,7 +172,8 @@ def naive_bayes(p: str, source: str, keys: str = "fit", alpha: str = str(ALPHA),
 {p}_weights AS MATERIALIZED (
   SELECT {out}, term, idf, ln((pos_sum + {alpha}) / (sp + {alpha} * v)) - ln((neg_sum + {alpha}) / (sq + {alpha} * v)) AS weight
   FROM {p}_sums JOIN {p}_totals USING ({keys}){cross}),
-{p}_bias AS MATERIALIZED (SELECT {out}, ln(n_pos / n_neg) AS bias FROM {p}_sizes{cross})"""
+{p}_bias AS MATERIALIZED (SELECT {out}, CASE WHEN n_neg = 0 THEN 500.0 WHEN n_pos = 0 THEN -500.0
+  ELSE ln(n_pos / n_neg) END AS bias FROM {p}_sizes{cross})"""
 
 
 def scored(name: str, p: str, source: str, keep: str, keys: str = "fit", model_keys: str | None = None,
@@ -216,3 +217,85 @@ def probe(pattern: str, text: str = "text") -> str:
 
 
 PROBE_FLAGS = {name: probe(pattern) for name, pattern in PROBES}
+
+
+def share_interval(name: str, source: str, keys: str) -> str:
+    """CTE ``name``: keys, n, hits, ci_low, ci_high from keys, n, hits."""
+    return f"""{name}_k AS (SELECT {keys}, n, hits, CAST(hits AS DOUBLE) / n AS p, unnest(range(0, n + 1)) AS k FROM {source}),
+{name}_cdf AS (SELECT {keys}, n, hits, k, sum(CASE
+    WHEN hits = 0 THEN CAST(k = 0 AS INTEGER) WHEN hits = n THEN CAST(k = n AS INTEGER)
+    ELSE exp(lgamma(n + 1) - CASE WHEN k = 0 THEN 0.0 ELSE lgamma(k + 1) END
+      - CASE WHEN n = k THEN 0.0 ELSE lgamma(n - k + 1) END + k * ln(p) + (n - k) * ln(1.0 - p)) END)
+    OVER (PARTITION BY {keys}, n, hits ORDER BY k) AS cdf
+  FROM {name}_k),
+{name} AS MATERIALIZED (SELECT {keys}, n, hits, CAST(min(k) FILTER (cdf >= 0.025 - 1e-12) AS DOUBLE) / n AS ci_low,
+    CAST(min(k) FILTER (cdf >= 0.975 - 1e-12) AS DOUBLE) / n AS ci_high FROM {name}_cdf GROUP BY {keys}, n, hits)"""
+
+
+def mcnemar_p(n01: str, n10: str) -> str:
+    n, low = f"({n01} + {n10})", f"least({n01}, {n10})"
+    return (
+        f"CASE WHEN {n01} = {n10} THEN 1.0 ELSE least(1.0, 2.0 * list_sum(list_transform(range(0, {low} + 1), "
+        f"lambda i: exp(lgamma({n} + 1) - CASE WHEN i = 0 THEN 0.0 ELSE lgamma(i + 1) END "
+        f"- lgamma({n} - i + 1) - {n} * ln(2.0))))) END"
+    )
+
+
+def trimmed(scores: str) -> str:
+    """Mean between the order statistics at the 10% and 90% quantiles, from a sorted list."""
+    n = f"len({scores})"
+    low, high = f"{scores}[(({n} - 1) * 10 + 99) // 100 + 1]", f"{scores}[(({n} - 1) * 90) // 100 + 1]"
+    return (
+        f"CASE WHEN {n} < 5 THEN list_avg({scores}) ELSE "
+        f"list_avg(list_filter({scores}, lambda x: x >= {low} AND x <= {high})) END"
+    )
+
+
+def rules(name: str, source: str, keys: str) -> str:
+    """CTE ``name``: keys and the score of each rule from keys, score."""
+    return f"""{name} AS MATERIALIZED (SELECT {keys}, list_avg(list_transform(s, lambda x: CASE WHEN x >= 0.5 THEN 1.0 ELSE 0.0 END)) AS majority,
+    list_avg(s) AS mean_probability, {trimmed('s')} AS trimmed_mean
+  FROM (SELECT {keys}, list_sort(list(score)) AS s FROM {source} GROUP BY {keys}))"""
+
+
+def compare_rules(source: str, n_boot: int) -> str:
+    """CTE verdicts: film_id, method and the verdict of each rule."""
+    ends = ", ".join(
+        f"quantile_cont({r}, {q}) AS {r}_{end}"
+        for r in ("majority", "mean_probability", "trimmed_mean") for end, q in (("low", 0.025), ("high", 0.975))
+    )
+    stacked = " UNION ALL ".join(
+        f"SELECT film_id, '{r}' AS method, n_reviews, {r} AS score, {r}_low AS ci_low, {r}_high AS ci_high, "
+        f"share_positive, polarisation FROM moments JOIN points USING (film_id) JOIN ranges USING (film_id)"
+        for r in ("majority", "mean_probability", "trimmed_mean")
+    )
+    return f"""numbered AS MATERIALIZED (
+  SELECT film_id, doc_id, score, row_number() OVER (PARTITION BY film_id ORDER BY {md5(SEED, 'doc_id')}, doc_id) AS number,
+    count(*) OVER (PARTITION BY film_id) AS n FROM {source}),
+picks AS MATERIALIZED (
+  SELECT film_id, draw, {hash_number(md5(SEED, 'film_id', 'draw', 'doc_id'))} % n + 1 AS number
+  FROM numbered, (SELECT unnest(range(1, {n_boot} + 1)) AS draw)),
+resampled AS MATERIALIZED (SELECT p.film_id, p.draw, q.score FROM picks p JOIN numbered q USING (film_id, number)),
+{rules('resampled_rules', 'resampled', 'film_id, draw')},
+ranges AS MATERIALIZED (SELECT film_id, {ends} FROM resampled_rules GROUP BY film_id),
+{rules('points', source, 'film_id')},
+moments AS MATERIALIZED (
+  SELECT film_id, count(*) AS n_reviews, avg(CASE WHEN score >= 0.5 THEN 1.0 ELSE 0.0 END) AS share_positive,
+    stddev_pop(score) AS polarisation FROM {source} GROUP BY film_id),
+verdicts AS MATERIALIZED (
+  SELECT *, CASE WHEN score >= 0.5 THEN 'positive' ELSE 'negative' END AS sentiment,
+    NOT (ci_low <= 0.5 AND ci_high >= 0.5) AS decisive FROM ({stacked}))"""
+
+
+def majority_verdicts(source: str, film: str = "film_id") -> str:
+    """CTE majority from film, score, with the binomial interval."""
+    return f"""votes AS MATERIALIZED (
+  SELECT {film}, count(*) AS n, count(*) FILTER (score >= 0.5) AS hits, stddev_pop(score) AS polarisation
+  FROM {source} GROUP BY {film}),
+{share_interval('vote_ci', 'votes', film)},
+majority AS MATERIALIZED (
+  SELECT {film}, 'majority' AS method, n AS n_reviews, CAST(hits AS DOUBLE) / n AS score, ci_low, ci_high,
+    CAST(hits AS DOUBLE) / n AS share_positive, polarisation,
+    CASE WHEN CAST(hits AS DOUBLE) / n >= 0.5 THEN 'positive' ELSE 'negative' END AS sentiment,
+    NOT (ci_low <= 0.5 AND ci_high >= 0.5) AS decisive
+  FROM votes JOIN vote_ci USING ({film}, n, hits))"""

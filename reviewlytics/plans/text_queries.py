@@ -12,7 +12,7 @@ from reviewlytics.operators import sampling
 from reviewlytics.operators.normalise import DEFAULT, RECIPES, Recipe, joined_text, normalise
 from reviewlytics.plans import sql as s
 from reviewlytics.plans.base import (
-    Registry, derived_lemmas, labelled, one_fit, review_tokens, reviews,
+    Registry, derived_lemmas, documents, labelled, one_fit, review_tokens, reviews,
 )
 from reviewlytics.runtime import table
 
@@ -51,13 +51,13 @@ def _(spark, folder):
 
 @add("clean_documents", f"SELECT doc_id, {s.clean('text')} AS cleaned FROM documents")
 def _(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", tx.clean_text(F.col("text")).alias("cleaned"))
+    return documents(spark, folder).select("doc_id", tx.clean_text(F.col("text")).alias("cleaned"))
 
 
 @add("tokens", f"SELECT doc_id, array_to_string({s.tokenize(s.clean('text'))}, '|') AS tokens FROM documents")
 def _(spark, folder):
     tokens = tx.tokenize(tx.clean_text(F.col("text")))
-    return table(spark, folder, "documents").select("doc_id", F.array_join(tokens, "|").alias("tokens"))
+    return documents(spark, folder).select("doc_id", F.array_join(tokens, "|").alias("tokens"))
 
 
 @add(
@@ -67,7 +67,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     marked = tx.mark_negation(tx.tokenize(tx.clean_text(F.col("text"))))
-    return table(spark, folder, "documents").select("doc_id", joined_text(marked).alias("marked"))
+    return documents(spark, folder).select("doc_id", joined_text(marked).alias("marked"))
 
 
 @add(
@@ -78,7 +78,7 @@ def _(spark, folder):
       CAST(len({s.without_stops('tokens', True)}) AS INTEGER) AS kept_aware FROM t""",
 )
 def _(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     tokens = docs.select("doc_id", tx.tokenize(tx.clean_text(F.col("text"))).alias("t"))
     t = F.col("t")
     return tokens.select(
@@ -92,7 +92,7 @@ def _(spark, folder):
     SELECT word, count(*) AS n, list_contains({s.word_list(tx.stop_words(True))}, word) AS in_aware_list
     FROM w WHERE list_contains({s.word_list(tx.stop_words(False))}, word) GROUP BY word""")
 def _(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     words = docs.select(F.explode(tx.tokenize(tx.clean_text(F.col("text")))).alias("word"))
     listed = words.filter(F.col("word").isin(*tx.stop_words(False)))
     return listed.groupBy("word").agg(F.count("*").alias("n")).withColumn(
@@ -103,7 +103,7 @@ def _(spark, folder):
 @add("min_token_length", f"SELECT doc_id, array_to_string({s.recipe_tokens('text', min_length=4)}, ' ') AS kept FROM documents")
 def _(spark, folder):
     kept = tx.drop_short(tx.tokenize(tx.clean_text(F.col("text"))), 4)
-    return table(spark, folder, "documents").select("doc_id", joined_text(kept).alias("kept"))
+    return documents(spark, folder).select("doc_id", joined_text(kept).alias("kept"))
 
 
 @add("normalised_negation_aware", s.with_(
@@ -112,21 +112,21 @@ def _(spark, folder):
     f"l AS MATERIALIZED (SELECT doc_id, {s.long_enough('tokens')} AS tokens FROM n)",
 ) + f"SELECT doc_id, array_to_string({s.without_stops('tokens', True)}, ' ') AS text FROM l")
 def _(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder).select("doc_id", "text")
     recipe = Recipe(normalisation="none", negation_marking=True)
     return normalise(docs, recipe).select("doc_id", joined_text().alias("text"))
 
 
 @add("stemmed_tokens")
 def _(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder).select("doc_id", "text")
     return normalise(docs, RECIPES["sw-naive+stem"]).select("doc_id", joined_text().alias("stems"))
 
 
 @add("stem_table")
 def _(spark, folder):
     """Surface word and stem of every distinct word of the texts."""
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     words = docs.select(F.explode(tx.tokenize(tx.clean_text(F.col("text")))).alias("word")).distinct()
     return words.select("word", stem_tokens(F.array("word"))[0].alias("stem"))
 
@@ -153,7 +153,7 @@ n AS (SELECT doc_id, pos, coalesce(nouns.lemma, token) AS token FROM v LEFT JOIN
 g AS (SELECT doc_id, string_agg(token, ' ' ORDER BY pos) AS text FROM n GROUP BY doc_id)""") + """
 SELECT t.doc_id, coalesce(g.text, '') AS text FROM t LEFT JOIN g USING (doc_id)""")
 def _(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder).select("doc_id", "text")
     return normalise(docs, DEFAULT, lemmas=derived_lemmas(spark, folder)).select(
         "doc_id", joined_text().alias("text")
     )
@@ -163,7 +163,7 @@ def _(spark, folder):
     SELECT doc_id, CAST({s.word_count('text')} AS INTEGER) AS words, CAST(length(text) AS INTEGER) AS chars FROM documents""")
 def _(spark, folder):
     text = F.col("text")
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         "doc_id", tx.word_count(text).alias("words"), F.length(text).alias("chars")
     )
 
@@ -174,12 +174,12 @@ def _probe_sql(probes):
 
 @add("construction_probes", f"SELECT doc_id, {_probe_sql(PROBES)} FROM documents")
 def _(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", *tx.probe_flags(F.col("text")))
+    return documents(spark, folder).select("doc_id", *tx.probe_flags(F.col("text")))
 
 
 @add("construction_probes_extended", f"SELECT doc_id, {_probe_sql(EXTENDED_PROBES)} FROM documents")
 def _(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", *tx.probe_flags(F.col("text"), EXTENDED_PROBES))
+    return documents(spark, folder).select("doc_id", *tx.probe_flags(F.col("text"), EXTENDED_PROBES))
 
 
 @add("text_slices", """
@@ -188,7 +188,7 @@ def _(spark, folder):
       replace(substr(text, 1, 78), chr(10), ' ') AS one_line FROM documents""")
 def _(spark, folder):
     text = F.col("text")
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         "doc_id", F.substring(text, 1, 400).alias("first_400"),
         F.concat(F.substring(text, 1, 300), F.when(F.length(text) > 300, "...").otherwise("")).alias("first_300"),
         F.translate(F.substring(text, 1, 78), "\n", " ").alias("one_line"),
@@ -287,7 +287,7 @@ r AS MATERIALIZED (
   SELECT term, pos, neg, round(ln(((pos + 1.0) / (SELECT CAST(sum(pos) AS DOUBLE) FROM c))
     / ((neg + 1.0) / (SELECT CAST(sum(neg) AS DOUBLE) FROM c))), 9) AS log_ratio FROM c WHERE pos + neg >= 40)""") + s.rounded("""
 (SELECT 'negative' AS side, * FROM r ORDER BY log_ratio, term LIMIT 18) UNION ALL
-(SELECT 'positive' AS side, * FROM r ORDER BY log_ratio DESC, term LIMIT 18)""", "log_ratio"))
+(SELECT 'positive' AS side, * FROM r ORDER BY log_ratio DESC, term LIMIT 18)""", "log_ratio", digits=9), digits=9)
 def _(spark, folder):
     recipe = RECIPES["sw-keepneg"]
     return feat.discriminative_terms(normalise(reviews(spark, folder), recipe))

@@ -36,6 +36,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core on a table that sits in few files or row groups.
+
+    A table with at least as many scan partitions as there are cores, which is
+    any large one, is returned as it is: its rows are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores, key)
+
+
 _local_scratch: dict[str, str] = {}
 
 
