@@ -185,7 +185,7 @@ def counted(terms: Column) -> Column:
             ),
         )
 
-    return let(F.array_sort(terms), runs)
+    return let(F.sort_array(terms), runs)
 
 
 def probe_flags(text: Column, probes=PROBES) -> list[Column]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from reviewlytics.config import MAX_FEATURES
 from reviewlytics.functions.text import counted, ngrams
 from reviewlytics.operators.ranking import rank_by_range
-from reviewlytics.runtime import settle
+from reviewlytics.runtime import lookup, settle
 
 
 @dataclass(frozen=True)
@@ -34,14 +34,24 @@ TFIDF = VectorOptions()
 NBSVM = VectorOptions(binary=True, sublinear_tf=False, use_idf=False)
 
 
+def count_terms(docs: DataFrame, ngram_max: int = 2) -> DataFrame:
+    """Add the counted n-grams as column ``terms_<n>``, for use by several fits.
+
+    Counting happens inside the row, so nothing is shuffled.
+    """
+    return docs.withColumn(f"terms_{ngram_max}", counted(ngrams(F.col("tokens"), ngram_max)))
+
+
 def term_rows(docs: DataFrame, keep: list[str], ngram_max: int = 2, outer: bool = False) -> DataFrame:
     """One row per document and distinct n-gram: ``keep..., term, tf``.
 
-    Counting happens inside the row, so nothing is shuffled. ``outer`` keeps a
-    row with a NULL term for documents without tokens.
+    Uses what :func:`count_terms` left, or counts now. ``outer`` keeps a row
+    with a NULL term for documents without tokens.
     """
+    ready = f"terms_{ngram_max}"
+    terms = F.col(ready) if ready in docs.columns else counted(ngrams(F.col("tokens"), ngram_max))
     spread = F.inline_outer if outer else F.inline
-    return docs.select(*keep, spread(counted(ngrams(F.col("tokens"), ngram_max))))
+    return docs.select(*keep, spread(terms))
 
 
 def tf_weight(tf: Column, options: VectorOptions) -> Column:
@@ -102,7 +112,8 @@ def with_idf(vocab: DataFrame, sizes: DataFrame, keys: list[str], options: Vecto
     if not options.use_idf:
         return vocab.withColumn("idf", F.lit(1.0))
     smooth = (F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))
-    return vocab.join(sizes, keys).withColumn("idf", F.log(smooth) + F.lit(1.0)).drop("n_docs")
+    known = lookup(vocab, sizes, keys).withColumn("idf", F.log(smooth) + F.lit(1.0)).drop("n_docs")
+    return settle(known, "idf")
 
 
 def tfidf(
@@ -111,11 +122,11 @@ def tfidf(
 ) -> DataFrame:
     """Weights of known terms, scaled to unit length per document.
 
-    One shuffle, by document. The vocabulary has at most ``max_features`` rows
-    per fit; it is broadcast when its files are small enough, and joined by
-    shuffle (with adaptive splitting of hot terms) when they are not.
+    One shuffle, by document. The vocabulary, at most ``max_features`` rows
+    per fit, is a :func:`reviewlytics.runtime.lookup`.
     """
-    raw = terms.join(vocab_idf.select(*keys, "term", "idf"), [*keys, "term"]).withColumn(
+    known = vocab_idf.select(*keys, "term", "idf")
+    raw = lookup(terms, known, [*keys, "term"]).withColumn(
         "weight", tf_weight(F.col("tf"), options) * F.col("idf")
     )
     if options.normalise:
@@ -147,7 +158,7 @@ def log_count_ratio(sums: DataFrame, keys: list[str], alpha: float = 1.0) -> Dat
 
 def scale_by_ratio(weighted: DataFrame, ratio: DataFrame, keys: list[str]) -> DataFrame:
     """Multiply each weight by its term's log-count ratio."""
-    return weighted.join(ratio.select(*keys, "term", "r"), [*keys, "term"]).withColumn(
+    return lookup(weighted, ratio.select(*keys, "term", "r"), [*keys, "term"]).withColumn(
         "scaled", F.col("weight") * F.col("r")
     )
 

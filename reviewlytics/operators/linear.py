@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from reviewlytics.config import LABEL_NAMES
 from reviewlytics.operators.features import VectorOptions, term_rows, tf_weight
+from reviewlytics.runtime import lookup
 
 
 @dataclass
@@ -59,14 +60,14 @@ def score(docs: DataFrame, model: LinearModel, keep: list[str], doc_key: str = "
     """
     options, keys = model.options, model.keys
     terms = term_rows(docs, [*keys, doc_key, *keep], options.ngram_max, outer=True)
-    matched = terms.join(model.weights.select(*keys, "term", "idf", "weight"), [*keys, "term"], "left")
+    matched = lookup(terms, model.weights.select(*keys, "term", "idf", "weight"), [*keys, "term"], "left")
     x = tf_weight(F.col("tf"), options) * F.col("idf")
     sums = matched.groupBy(*keys, doc_key, *keep).agg(
         F.coalesce(F.sum(x * F.col("weight")), F.lit(0.0)).alias("_dot"),
         F.coalesce(F.sqrt(F.sum(x * x)), F.lit(1.0)).alias("_norm"),
     )
     dot = F.col("_dot") / F.col("_norm") if options.normalise else F.col("_dot")
-    return sums.join(model.bias, keys).select(
+    return lookup(sums, model.bias, keys).select(
         *keys, doc_key, *keep, F.round(logistic(F.col("bias") + dot), 9).alias("score")
     )
 
@@ -100,7 +101,7 @@ def contributions(docs: DataFrame, model: LinearModel, doc_key: str = "doc_id")
     options, keys = model.options, model.keys
     terms = term_rows(docs, [*keys, doc_key], options.ngram_max)
     x = tf_weight(F.col("tf"), options) * F.col("idf")
-    rows = terms.join(model.weights.select(*keys, "term", "idf", "weight"), [*keys, "term"]).withColumn("_x", x)
+    rows = lookup(terms, model.weights.select(*keys, "term", "idf", "weight"), [*keys, "term"]).withColumn("_x", x)
     if options.normalise:
         doc = Window.partitionBy(*keys, doc_key)
         rows = rows.withColumn("_x", F.col("_x") / F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(doc)))

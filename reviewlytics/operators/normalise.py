@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewlytics.functions import text as tx
 from reviewlytics.functions.arrow import stem_tokens, unescape_html_fully
+from reviewlytics.runtime import lookup
 
 
 @dataclass(frozen=True)
@@ -81,9 +82,10 @@ def lemmatise(docs: DataFrame, lemmas: DataFrame, keys: list[str]) -> DataFrame:
     verbs = lemmas.filter("pos = 'v'").select(F.col("surface").alias("_bare"), F.col("lemma").alias("_verb"))
     nouns = lemmas.filter("pos = 'n'").select(F.col("surface").alias("_mid"), F.col("lemma").alias("_noun"))
     spread = docs.select(*keys, *rest, F.posexplode_outer("tokens").alias("_pos", "_token"))
+    bare = spread.withColumn("_bare", tx.bare(F.col("_token")))
     found = (
-        spread.withColumn("_bare", tx.bare(F.col("_token"))).join(verbs, "_bare", "left")
-        .withColumn("_mid", F.coalesce("_verb", "_bare")).join(nouns, "_mid", "left")
+        lookup(lookup(bare, verbs, ["_bare"], "left").withColumn("_mid", F.coalesce("_verb", "_bare")),
+               nouns, ["_mid"], "left")
         .withColumn("_new", F.concat(
             F.coalesce("_noun", "_mid"), F.when(F.endswith("_token", F.lit("_NEG")), "_NEG").otherwise("")
         ))

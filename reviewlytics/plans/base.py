@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlytics.operators import naive_bayes, sampling
+from reviewlytics.operators.features import count_terms
 from reviewlytics.operators.linear import LinearModel, score, with_prediction
 from reviewlytics.operators.normalise import RAW, normalise
 from reviewlytics.operators.reports import corpus_words
@@ -76,8 +77,16 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def review_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """Reviews with ``tokens`` in place of the text, computed once."""
-    return settled_once(spark, folder, "review-tokens", lambda: normalise(reviews(spark, folder), RAW))
+    """Reviews with ``tokens`` and counted terms in place of the text, computed once."""
+    return settled_once(
+        spark, folder, "review-tokens", lambda: count_terms(normalise(reviews(spark, folder), RAW))
+    )
+
+
+def model_columns(docs: DataFrame) -> DataFrame:
+    """What a fit or a scorer reads."""
+    names = ("fit", "doc_id", "label", "tokens", "terms_2")
+    return docs.select(*[c for c in names if c in docs.columns])
 
 
 def folded_tokens(spark: SparkSession, folder: str, k: int = FOLDS) -> DataFrame:
@@ -100,7 +109,7 @@ def full_model(spark: SparkSession, folder: str) -> LinearModel:
 
     def weights() -> DataFrame:
         nonlocal model
-        docs = one_fit(review_tokens(spark, folder)).select("fit", "doc_id", "label", "tokens")
+        docs = model_columns(one_fit(review_tokens(spark, folder)))
         model = naive_bayes.fit(docs, ["fit"], (ALPHA,))
         return model.weights.join(model.bias, "fit")
 
@@ -117,7 +126,7 @@ def out_of_fold(spark: SparkSession, folder: str) -> DataFrame:
     """
     def build() -> DataFrame:
         folded = folded_tokens(spark, folder)
-        train = fold_training(folded).select("fit", "doc_id", "label", "tokens")
+        train = model_columns(fold_training(folded))
         model = naive_bayes.fit(train, ["fit"], (ALPHA,))
         target = folded.withColumn("fit", F.col("fold"))
         scored = score(target, model, ["film_id", "corpus", "label"])
@@ -143,6 +152,6 @@ def derived_lemmas(spark: SparkSession, folder: str) -> DataFrame:
         return long.select(F.col("word").alias("surface"), F.lit(pos).alias("pos"), lemma).join(base, "lemma")
 
     both = forms("ed", "v").unionByName(forms("s", "n"))
-    return both.select("surface", "pos", "lemma")
+    return settled_once(spark, folder, "lemmas", lambda: both.select("surface", "pos", "lemma"))
 
 

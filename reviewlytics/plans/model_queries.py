@@ -13,7 +13,7 @@ from reviewlytics.operators.lexicon import lexicon_scores
 from reviewlytics.operators.normalise import RECIPES, Recipe, normalise
 from reviewlytics.plans import sql as s
 from reviewlytics.plans.base import (
-    ALPHA, Registry, derived_lemmas, fold_training, folded_tokens, full_model, one_fit, out_of_fold,
+    ALPHA, Registry, derived_lemmas, fold_training, folded_tokens, full_model, model_columns, one_fit, out_of_fold,
     review_tokens, reviews,
 )
 from reviewlytics.runtime import settle, settled_once, table
@@ -168,7 +168,7 @@ def cross_validated(spark, folder) -> DataFrame:
     """Every review scored out of fold for every smoothing value."""
     def build():
         folded = folded_tokens(spark, folder, K)
-        model = naive_bayes.fit(fold_training(folded, K).select(DOC), ["fit"], ALPHAS, vary_alpha=True)
+        model = naive_bayes.fit(model_columns(fold_training(folded, K)), ["fit"], ALPHAS, vary_alpha=True)
         return _score_grid(folded.withColumn("fit", F.col("fold")), model, ["label"])
 
     return settled_once(spark, folder, "cross-validated", build)
@@ -308,7 +308,7 @@ def _(spark, folder):
 @add("recipe_ablation_all")
 def _(spark, folder):
     """All eight recipes, with stems and lemmas."""
-    lemmas = settle(derived_lemmas(spark, folder), "lemmas")
+    lemmas = derived_lemmas(spark, folder)
     return ablation(recipe_tokens(spark, folder, RECIPES, lemmas))
 
 
@@ -365,13 +365,15 @@ CURVE_CTES = s.with_(s.REVIEWS, s.LABELLED, s.TOKENS, SPLIT, CURVE)
 def learning_curve(spark, folder) -> DataFrame:
     """All sizes, draws and smoothing values fitted and scored in one job."""
     def build():
-        tokens = review_tokens(spark, folder).withColumn("part", sampling.split_part())
+        tokens = review_tokens(spark, folder).select(
+            "doc_id", "label", "terms_2", sampling.split_part().alias("part")
+        )
         pool = tokens.filter("part = 'train'").select("doc_id", "label")
         drawn = sampling.stratified_subsamples(pool, list(SIZES), pool.count())
         drawn = settle(drawn.select("doc_id", F.concat_ws("/", "train_size", "draw").alias("fit")), "drawn")
-        train = tokens.join(drawn, "doc_id").select(DOC)
+        train = model_columns(tokens.join(drawn, "doc_id"))
         model = naive_bayes.fit(train, ["fit"], ALPHAS, vary_alpha=True)
-        held_out = tokens.filter("part = 'test'").select("doc_id", "label", "tokens")
+        held_out = tokens.filter("part = 'test'").drop("part")
         fits = model.bias.agg(F.collect_set("fit").alias("fits")).scalar()
         scored = _score_grid(held_out.withColumn("fit", F.explode(fits)), model, ["label"])
         size = model.weights.groupBy("fit", "alpha").agg(F.count("*").cast("double").alias("n_features"))
@@ -433,13 +435,13 @@ def _(spark, folder):
     k = TRANSFER_FOLDS
     home = folded_tokens(spark, folder, k)
     inner = fold_training(home, k).withColumn("fit", F.concat_ws("/", "corpus", "fit"))
-    train = home.withColumn("fit", F.col("corpus")).select(DOC).unionByName(inner.select(DOC))
+    train = model_columns(home.withColumn("fit", F.col("corpus"))).unionByName(model_columns(inner))
     model = naive_bayes.fit(train, ["fit"], (ALPHA,))
     corpora = home.agg(F.collect_set("corpus").alias("c")).scalar()
     target = home.withColumn("evaluated_on", F.col("corpus"))
     abroad = target.withColumn("fit", F.explode(corpora)).filter("fit <> corpus")
     at_home = target.withColumn("fit", F.concat_ws("/", "corpus", "fold"))
-    cols = [*DOC, "evaluated_on"]
+    cols = ["fit", "doc_id", "label", "terms_2", "evaluated_on"]
     scored = linear.with_prediction(linear.score(
         abroad.select(cols).unionByName(at_home.select(cols)), model, ["label", "evaluated_on"]
     ))

@@ -12,7 +12,7 @@ from reviewlytics.operators import sampling
 from reviewlytics.operators.normalise import DEFAULT, RECIPES, Recipe, joined_text, normalise
 from reviewlytics.plans import sql as s
 from reviewlytics.plans.base import (
-    Registry, derived_lemmas, documents, labelled, one_fit, review_tokens, reviews,
+    Registry, derived_lemmas, documents, labelled, model_columns, one_fit, review_tokens, reviews,
 )
 from reviewlytics.runtime import table
 
@@ -197,7 +197,7 @@ def _(spark, folder):
 
 # -- features ------------------------------------------------------------------ #
 def _one(spark, folder):
-    return one_fit(review_tokens(spark, folder)).select("fit", "doc_id", "label", "tokens")
+    return model_columns(one_fit(review_tokens(spark, folder)))
 
 
 FEATURES = s.with_(s.REVIEWS, s.TOKENS, s.ONE_FIT, s.tfidf("f", "one_fit"))

@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -65,20 +67,58 @@ def scratch_folder(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
+_settled_bytes: dict[str, int] = {}
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """A row's size in memory: its texts, and eight bytes per column."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields
+             if isinstance(f.dataType, T.StringType)]
+    size = F.lit(8 * len(df.columns)).cast("bigint")
+    for text in texts:
+        size = size + text
+    return size
+
+
 def settle(df: DataFrame, name: str = "t") -> DataFrame:
     """Compute ``df`` once: write it to the shared folder and read it back.
 
-    Unlike a cache this survives the loss of executors and cuts the lineage.
-    The reader knows the size of the files, so a later join broadcasts the
-    table when that size is below ``spark.sql.autoBroadcastJoinThreshold`` and
-    shuffles it otherwise; nothing here forces a broadcast.
+    Unlike a cache this survives the loss of executors, and it cuts the
+    lineage. The size of the rows is measured while they are written, for
+    :func:`lookup` to decide by.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark).rstrip('/')}/settled/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    seen = Observation()
+    df.observe(seen, F.sum(_row_bytes(df)).alias("bytes")).write.mode("errorifexists").parquet(path)
+    _settled_bytes[os.path.basename(path)] = seen.get["bytes"] or 0
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a settled table, or of any other one by adding up its rows."""
+    folders = {os.path.basename(os.path.dirname(f)) for f in df.inputFiles()}
+    if folders and folders <= _settled_bytes.keys():
+        return sum(_settled_bytes[f] for f in folders)
+    return df.agg(F.sum(_row_bytes(df)).alias("bytes")).first()["bytes"] or 0
+
+
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def lookup(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join many ``rows`` with a table that is usually small.
+
+    ``small`` is broadcast when its measured size allows that. Otherwise both
+    sides are shuffled and sorted, where adaptive execution splits hot keys.
+    ``rows`` is never broadcast: it may be the product of an explode, whose
+    size the optimizer underestimates.
+    """
+    if measured_bytes(small) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(small), on, how)
+    return rows.join(small.hint("merge"), on, how)
+
+
 _settled: dict[tuple, DataFrame] = {}
 
 
