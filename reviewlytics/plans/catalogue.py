@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from reviewlytics.plans import model_queries, text_queries
+from reviewlytics.plans import model_queries, report_queries, text_queries
 from reviewlytics.plans.base import Query
 
-_PARTS = (text_queries.registry, model_queries.registry)
+_PARTS = (text_queries.registry, model_queries.registry, report_queries.registry)
 
 
 def queries() -> dict[str, Query]:
