@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from reviewlytics.plans import model_queries, report_queries, text_queries
+from reviewlytics.plans import model_queries, report_queries, text_queries, training_queries
 from reviewlytics.plans.base import Query
 
-_PARTS = (text_queries.registry, model_queries.registry, report_queries.registry)
+_PARTS = (
+    text_queries.registry, model_queries.registry, report_queries.registry, training_queries.registry,
+)
 
 
 def queries() -> dict[str, Query]:
