@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,40 +67,34 @@ def scratch_folder(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
-_settled_bytes: dict[str, int] = {}
-
-
-def _row_bytes(df: DataFrame) -> Column:
-    """A row's size in memory: its texts, and eight bytes per column."""
-    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields
-             if isinstance(f.dataType, T.StringType)]
-    size = F.lit(8 * len(df.columns)).cast("bigint")
-    for text in texts:
-        size = size + text
-    return size
-
-
 def settle(df: DataFrame, name: str = "t") -> DataFrame:
     """Compute ``df`` once: write it to the shared folder and read it back.
 
     Unlike a cache this survives the loss of executors, and it cuts the
-    lineage. The size of the rows is measured while they are written, for
-    :func:`lookup` to decide by.
+    lineage.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark).rstrip('/')}/settled/{name}-{uuid.uuid4().hex}"
-    seen = Observation()
-    df.observe(seen, F.sum(_row_bytes(df)).alias("bytes")).write.mode("errorifexists").parquet(path)
-    _settled_bytes[os.path.basename(path)] = seen.get["bytes"] or 0
+    df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_measured: dict[tuple, int] = {}
+
+
 def measured_bytes(df: DataFrame) -> int:
-    """Size of a settled table, or of any other one by adding up its rows."""
-    folders = {os.path.basename(os.path.dirname(f)) for f in df.inputFiles()}
-    if folders and folders <= _settled_bytes.keys():
-        return sum(_settled_bytes[f] for f in folders)
-    return df.agg(F.sum(_row_bytes(df)).alias("bytes")).first()["bytes"] or 0
+    """Size of the rows in memory: their texts, and eight bytes per column.
+
+    Adds up the columns asked for, once per table.
+    """
+    key = (frozenset(os.path.dirname(f) for f in df.inputFiles()), tuple(df.columns))
+    if not key[0] or key not in _measured:
+        size = F.lit(8 * len(df.columns)).cast("bigint")
+        for field in df.schema.fields:
+            if isinstance(field.dataType, T.StringType):
+                size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
+        _measured[key] = df.agg(F.sum(size).alias("bytes")).first()["bytes"] or 0
+    return _measured[key]
 
 
 BROADCAST_BYTES = 64 * 1024 * 1024
