@@ -1,8 +1,6 @@
 """Logistic regression, linear SVM and NB-SVM, trained by ``pyspark.ml``.
 
-Texts become sparse vectors inside their row (a broadcast vocabulary of at
-most ``max_features`` terms), so building the training set shuffles nothing.
-A trained model is turned into the weight table of
+Texts become sparse vectors by one shuffle of numbered weights. A trained model is turned into the weight table of
 :class:`reviewlytics.operators.linear.LinearModel`.
 """
 
@@ -15,7 +13,7 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import ElementwiseProduct
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
@@ -23,53 +21,64 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlytics.config import PARAM_GRIDS
-from reviewlytics.functions.text import ngrams
+from reviewlytics.functions.text import let
 from reviewlytics.operators import features as feat
 from reviewlytics.operators import naive_bayes
 from reviewlytics.operators.linear import LinearModel, score, with_prediction
-from reviewlytics.runtime import settle
+from reviewlytics.runtime import lookup, settle
 
 
 @dataclass
 class TextVectors:
-    """A fitted vocabulary with its inverse document frequencies."""
+    """A fitted vocabulary: ``index`` is ``term, idf, i``, of ``size`` rows."""
 
-    terms: list[str]
-    idf: np.ndarray
+    index: DataFrame
+    size: int
     options: feat.VectorOptions
 
     @staticmethod
     def fit(docs: DataFrame, options: feat.VectorOptions) -> "TextVectors":
-        """Learn from ``docs`` (doc_id, label, tokens). The bounded vocabulary
-        is collected, since the vectoriser and the solver need it whole."""
+        """Learn from ``docs`` (doc_id, label, tokens). The solvers hold one
+        number per term, hence the bounded vocabulary is numbered in one place."""
+        if options.max_features is None:
+            raise ValueError("solvers need a bounded vocabulary")
         keyed = docs.withColumn("fit", F.lit("all"))
         rows = feat.term_rows(keyed, ["fit", "doc_id", "label"], options.ngram_max)
         sizes = settle(keyed.groupBy("fit").agg(F.count("*").alias("n_docs")), "sizes")
         known = feat.with_idf(feat.vocabulary(rows, ["fit"], options), sizes, ["fit"], options)
-        local = known.select("term", "idf").toPandas().sort_values("term")
-        return TextVectors(local["term"].tolist(), local["idf"].to_numpy(), options)
+        local = known.select("term", "idf").toPandas().sort_values("term", ignore_index=True)
+        local["i"] = np.arange(len(local), dtype=np.int32)
+        index = docs.sparkSession.createDataFrame(local, "term string, idf double, i int")
+        return TextVectors(settle(index, "index"), len(local), options)
 
     def transform(self, docs: DataFrame, keep: list[str]) -> DataFrame:
-        """``keep..., features``, written once because solvers read it often."""
-        o = self.options
-        counter = CountVectorizerModel.from_vocabulary(self.terms, "_terms", "_counts", binary=o.binary)
-        if o.binary:
-            counter.setBinary(True)
-        counted = counter.transform(docs.withColumn("_terms", ngrams(F.col("tokens"), o.ngram_max)))
-        v = F.unwrap_udt("_counts")
-        weigh = (lambda x: F.lit(1.0) + F.log(x)) if o.sublinear_tf and not o.binary else (lambda x: x)
-        plain = counted.select(*keep, F.struct(
-            v["type"].alias("type"), v["size"].alias("size"), v["indices"].alias("indices"),
-            F.transform(v["values"], weigh).alias("values"),
-        ).alias("_raw"))
-        rows = _read_as_vectors(settle(plain, "vectors"), "_raw")
-        if o.use_idf:
-            rows = ElementwiseProduct(
-                scalingVec=Vectors.dense(self.idf), inputCol="_raw", outputCol="_idf"
-            ).transform(rows).drop("_raw").withColumnRenamed("_idf", "_raw")
-        if not o.normalise:
-            return rows.withColumnRenamed("_raw", "features")
-        return Normalizer(p=2.0, inputCol="_raw", outputCol="features").transform(rows).drop("_raw")
+        """``doc_id, keep..., features``, written once because solvers read it often.
+
+        Terms become numbers by a lookup; one shuffle gathers each document's
+        numbered weights, which are then scaled to unit length in their row.
+        """
+        rows = lookup(
+            feat.term_rows(docs, ["doc_id", *keep], self.options.ngram_max, outer=True), self.index, ["term"], "left"
+        )
+        weight = feat.tf_weight(F.col("tf"), self.options) * F.col("idf")
+        entry = F.when(F.col("i").isNotNull(), F.struct(F.col("i"), weight.alias("w")))
+        grouped = rows.groupBy("doc_id", *keep).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
+
+        def length(e):
+            if not self.options.normalise:
+                return F.lit(1.0)
+            return F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+
+        def vector(e, n):
+            return F.struct(
+                F.lit(0).cast("tinyint").alias("type"), F.lit(self.size).alias("size"),
+                F.transform(e, lambda x: x["i"]).alias("indices"),
+                F.transform(e, lambda x: x["w"] / n).alias("values"),
+            )
+
+        bound = let(F.col("_e"), lambda e: let(length(e), lambda n: vector(e, n)))
+        plain = grouped.select("doc_id", *keep, bound.alias("features"))
+        return _read_as_vectors(settle(plain, "vectors"), "features")
 
 
 def _read_as_vectors(settled: DataFrame, column: str) -> DataFrame:
@@ -119,7 +128,7 @@ def _prepared(name: str, train: DataFrame, keep: list[str]):
     vectors = vec.transform(train, keep)
     ratio = None
     if name == "nbsvm":
-        ratio = ratio_vector(vectors, len(vec.terms))
+        ratio = ratio_vector(vectors, vec.size)
         vectors = scaled(vectors, ratio)
     return vec, vectors, ratio
 
@@ -128,8 +137,9 @@ def _as_linear(name: str, vec: TextVectors, ratio, fitted, c: float, train: Data
     coef = fitted.coefficients.toArray()
     weight = coef * ratio if ratio is not None else coef
     spark = train.sparkSession
-    local = pd.DataFrame({"fit": "all", "term": vec.terms, "idf": vec.idf, "weight": weight})
-    weights = settle(spark.createDataFrame(local, "fit string, term string, idf double, weight double"), "weights")
+    numbered = pd.DataFrame({"i": np.arange(vec.size, dtype=np.int32), "weight": weight})
+    table = spark.createDataFrame(numbered, "i int, weight double").join(vec.index, "i")
+    weights = settle(table.select(F.lit("all").alias("fit"), "term", "idf", "weight"), "weights")
     bias = settle(spark.createDataFrame([("all", float(fitted.intercept))], "fit string, bias double"), "bias")
     return LinearModel(weights, bias, ["fit"], vec.options, {"model": name, "parameter": float(c)})
 
@@ -181,7 +191,7 @@ def _fold_accuracies(name: str, docs: DataFrame, fold: int, grid, max_iter: int,
     if name == "naive_bayes":
         out = []
         for alpha in grid:
-            model = train_naive_bayes(train_docs.select("doc_id", "label", "tokens"), alpha)
+            model = train_naive_bayes(train_docs, alpha)
             out.append({"fold": fold, "parameter": alpha, "accuracy": _accuracy(predict(test_docs, model, ["label"]))})
         return out
     vec, vectors, ratio = _prepared(name, train_docs, ["label"])
@@ -220,8 +230,7 @@ def best_parameter(runs: pd.DataFrame) -> tuple[float, float]:
 def tune(name: str, docs: DataFrame, k: int = 5, grid=None, max_iter: int = 100) -> LinearModel:
     """Choose the parameter by cross-validation and refit on everything."""
     parameter, accuracy = best_parameter(cross_validate(name, docs, k, grid, max_iter))
-    rows = docs.select("doc_id", "label", "tokens")
-    model = train_naive_bayes(rows, parameter) if name == "naive_bayes" else train(name, rows, parameter, max_iter)
+    model = train_naive_bayes(docs, parameter) if name == "naive_bayes" else train(name, docs, parameter, max_iter)
     model.meta["cv_accuracy"] = accuracy
     return model
 

@@ -20,7 +20,7 @@ _models: dict[tuple, linear.LinearModel] = {}
 
 def _parts(spark, folder):
     docs = review_tokens(spark, folder).withColumn("part", sampling.split_part())
-    cols = ["doc_id", "label", "corpus", "tokens"]
+    cols = ["doc_id", "label", "corpus", "tokens", "terms_2"]
     return docs.filter("part = 'train'").select(cols), docs.filter("part = 'test'").select(cols)
 
 
@@ -28,7 +28,7 @@ def trained(spark, folder, name: str) -> linear.LinearModel:
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _models:
         train, _test = _parts(spark, folder)
-        rows = train.select("doc_id", "label", "tokens")
+        rows = train.select("doc_id", "label", "tokens", "terms_2")
         extra = {} if name == "naive_bayes" else {"max_iter": MAX_ITER}
         _models[key] = models.build_model(name, rows, **extra)
     return _models[key]
@@ -112,7 +112,7 @@ def _(spark, folder):
     """NB-SVM of the largest corpus on every corpus it was not trained on."""
     docs = review_tokens(spark, folder)
     home = docs.filter("corpus = 'en'")
-    model = models.train("nbsvm", home.select("doc_id", "label", "tokens"), 1.0, MAX_ITER)
+    model = models.train("nbsvm", home.select("doc_id", "label", "tokens", "terms_2"), 1.0, MAX_ITER)
     scored = models.predict(docs.filter("corpus <> 'en'"), model, ["corpus", "label"])
     metrics = evaluate.class_metrics(scored, ["corpus"]).select(
         F.lit("en").alias("trained_on"), F.col("corpus").alias("evaluated_on"), "n", "accuracy", "f1_macro"

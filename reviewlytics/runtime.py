@@ -79,16 +79,16 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_measured: dict[tuple, int] = {}
+_measured: dict[int, int] = {}
 
 
 def measured_bytes(df: DataFrame) -> int:
     """Size of the rows in memory: their texts, and eight bytes per column.
 
-    Adds up the columns asked for, once per table.
+    Added up once per distinct plan.
     """
-    key = (frozenset(os.path.dirname(f) for f in df.inputFiles()), tuple(df.columns))
-    if not key[0] or key not in _measured:
+    key = df.semanticHash()
+    if key not in _measured:
         size = F.lit(8 * len(df.columns)).cast("bigint")
         for field in df.schema.fields:
             if isinstance(field.dataType, T.StringType):
