@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlytics.config import LABEL_NAMES, PROBES
-from reviewlytics.functions.text import clean_text, probe_flags, word_count
+from reviewlytics.functions.text import clean_text, let, probe_flags, word_count
 from reviewlytics.operators.linear import confidence
 
 LENGTH_EDGES = tuple(float(e) for e in np.logspace(0.5, 3.6, 46))
@@ -99,7 +99,7 @@ def length_histogram(docs: DataFrame, corpus: str = "corpus", text: str = "text"
     """
     sized = docs.select(corpus, word_count(F.col(text)).cast("double").alias("words"))
     edges = F.array(*[F.lit(e) for e in LENGTH_EDGES])
-    index = F.size(F.filter(edges, lambda e: e <= F.col("words"))) - 1
+    index = let(F.col("words"), lambda w: F.size(F.filter(edges, lambda e: e <= w))) - 1
     last = len(LENGTH_EDGES) - 2
     index = F.when(F.col("words") == F.lit(LENGTH_EDGES[-1]), last).otherwise(index)
     counts = sized.groupBy(corpus, index.alias("bin")).agg(F.count("*").alias("n"))
