@@ -153,7 +153,7 @@ def log_count_ratio(sums: DataFrame, keys: list[str], alpha: float = 1.0) -> Dat
     )
     totals = smoothed.groupBy(*keys).agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
     ratio = F.log((F.col("p") / F.col("_p")) / (F.col("q") / F.col("_q")))
-    return smoothed.join(totals, keys).select(*keys, "term", "p", "q", ratio.alias("r"))
+    return settle(smoothed.join(totals, keys).select(*keys, "term", "p", "q", ratio.alias("r")), "ratio")
 
 
 def scale_by_ratio(weighted: DataFrame, ratio: DataFrame, keys: list[str]) -> DataFrame:

@@ -16,9 +16,13 @@ SCORE_DIGITS = 9
 SCORE_BUCKETS = 4096
 
 
-def rank_by_hash(df: DataFrame, by: list[str], key: str, seed, out: str = "rank") -> DataFrame:
+def rank_by_hash(
+    df: DataFrame, by: list[str], key: str, seed, out: str = "rank", size: str | None = None
+) -> DataFrame:
     """Number rows 1, 2, ... within ``by`` in the order of ``md5(seed:key)``.
 
+    ``size`` names a column for the number of rows of the group.
+
     The leading three hex digits split each group into 4,096 even buckets, so
     a group that holds most of the table is still numbered by many tasks.
     ``key`` must be unique within a group.
@@ -26,9 +30,10 @@ def rank_by_hash(df: DataFrame, by: list[str], key: str, seed, out: str = "rank"
     hashed = df.withColumn("_h", seeded_hash(seed, key)).withColumn("_b", F.substring("_h", 1, 3))
     within = Window.partitionBy(*by, "_b").orderBy("_h", key)
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = [F.sum("_n").over(Window.partitionBy(*by)).alias(size)] if size else []
     offsets = (
         hashed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
-        .select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        .select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), *whole)
     )
     return (
         hashed.withColumn("_r", F.row_number().over(within))

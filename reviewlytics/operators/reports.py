@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from reviewlytics.config import LABEL_NAMES, PROBES
 from reviewlytics.functions.text import clean_text, let, probe_flags, word_count
+from reviewlytics.operators.features import most_frequent
 from reviewlytics.operators.linear import confidence
+from reviewlytics.runtime import lookup, settle
 
 LENGTH_EDGES = tuple(float(e) for e in np.logspace(0.5, 3.6, 46))
 
@@ -70,9 +72,6 @@ def vocabulary_overlap(
     words: DataFrame, pairs: list[tuple[str, str]], top: int = 5_000, corpus: str = "corpus"
 ) -> DataFrame:
     """Jaccard index of the ``top`` most frequent words of each pair of corpora."""
-    from reviewlytics.operators.features import most_frequent
-    from reviewlytics.runtime import settle
-
     counts = settle(words.select(corpus, F.col("word").alias("term"), "n"), "corpus-words")
     kept = most_frequent(counts, [corpus], "n", top).select(corpus, "term")
     sides = F.inline(F.array(*[
@@ -195,8 +194,14 @@ def by_length(scored: DataFrame, words: str = "words", n_bins: int = 5) -> DataF
 
 
 def by_construction(scored: DataFrame, probes=PROBES, text: str = "text") -> DataFrame:
-    """Accuracy with and without each construction; flags are narrow."""
-    flagged = scored.select(right().alias("_right"), *probe_flags(F.col(text), probes))
+    """Accuracy with and without each construction.
+
+    Uses flag columns named after the probes where the table has them, so the
+    texts need not travel to the scores.
+    """
+    ready = all(name in scored.columns for name, _ in probes)
+    flags = [F.col(name) for name, _ in probes] if ready else probe_flags(F.col(text), probes)
+    flagged = scored.select(right().alias("_right"), *flags)
     stacked = flagged.select("_right", F.inline(F.array(*[
         F.struct(F.lit(name).alias("construction"), F.col(name).alias("present")) for name, _ in probes
     ])))
@@ -211,13 +216,19 @@ def by_construction(scored: DataFrame, probes=PROBES, text: str = "text") -> Dat
     return out.withColumn("delta_pp", delta)
 
 
-def confident_errors(scored: DataFrame, n: int = 12, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The wrong predictions made with most confidence, with the start of the text."""
+def confident_errors(scored: DataFrame, texts: DataFrame, n: int = 12, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The wrong predictions made with most confidence, with the start of the text.
+
+    The n rows are chosen first; only they meet ``texts`` (doc_id, text).
+    """
     wrong = scored.filter(F.col("pred") != F.col("label")).withColumn(
         "confidence", F.round(confidence(F.col("score")), 9)
     )
-    return wrong.orderBy(F.desc("confidence"), "doc_id").limit(n).select(
-        "doc_id", *keep, "label", "pred", "score", "confidence", F.substring(text, 1, 400).alias("text")
+    worst = settle(wrong.orderBy(F.desc("confidence"), "doc_id").limit(n).select(
+        "doc_id", *keep, "label", "pred", "score", "confidence"
+    ), "worst")
+    return lookup(texts, worst, ["doc_id"]).select(
+        *worst.columns, F.substring("text", 1, 400).alias("text")
     )
 
 

@@ -22,8 +22,7 @@ def stratum_ranks(df: DataFrame, label: str = "label", key: str = "doc_id", seed
     Splits and folds are functions of these two, so texts that carry them are
     split again and again without another shuffle.
     """
-    sizes = df.groupBy(label).agg(F.count("*").alias("stratum_size"))
-    return rank_by_hash(df, [label], key, seed, "stratum_rank").join(sizes, label)
+    return rank_by_hash(df, [label], key, seed, "stratum_rank", "stratum_size")
 
 
 def split_part(test_share: float = 0.2) -> Column:
@@ -90,8 +89,7 @@ def stratified_subsamples(
     ]))
     spread = df.select("*", grid)
     hash_seed = F.concat_ws("/", F.lit(str(seed)), "train_size", "draw")
-    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
-    ranked = rank_by_hash(spread, ["train_size", "draw", label], key, hash_seed, "_rank").join(sizes, label)
+    ranked = rank_by_hash(spread, ["train_size", "draw", label], key, hash_seed, "_rank", "_n")
     quota = F.floor(F.col("train_size") * F.col("_n").cast("double") / F.lit(float(total)) + F.lit(0.5))
     kept = ranked.filter((F.col("_rank") <= quota) | (F.col("train_size") >= total))
     return kept.drop("_rank", "_n")

@@ -71,12 +71,11 @@ def resample(scored: DataFrame, film: str, n_boot: int, seed=SEED) -> DataFrame:
     n - 1, of a review of the same film. Picks meet scores by (film, number),
     so the picks of a large film are spread over all tasks.
     """
-    numbered = rank_by_hash(scored.select(film, "doc_id", "score"), [film], "doc_id", seed, "_number")
-    sizes = scored.groupBy(film).agg(F.count("*").alias("_n"))
+    numbered = rank_by_hash(scored.select(film, "doc_id", "score"), [film], "doc_id", seed, "_number", "_n")
     draws = F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("draw")
     digest = seeded_hash(seed, film, "draw", "doc_id")
     picks = (
-        scored.select(film, "doc_id").join(sizes, film).select("*", draws)
+        numbered.select(film, "doc_id", "_n", draws)
         .select(film, "draw", (hash_number(digest) % F.col("_n") + 1).alias("_number"))
     )
     return picks.join(numbered.select(film, "_number", "score"), [film, "_number"]).select(

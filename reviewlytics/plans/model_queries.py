@@ -136,9 +136,9 @@ def derived_lexicon(spark, folder) -> DataFrame:
     ))
     odds = counts.agg(F.log(F.sum("pos") / F.sum("neg")).alias("o")).scalar()
     valence = F.log((F.col("pos") + F.lit(1.0)) / (F.col("neg") + F.lit(1.0))) - odds
-    return counts.filter(F.col("pos") + F.col("neg") >= MIN_LEXICON_COUNT).select(
+    return settle(counts.filter(F.col("pos") + F.col("neg") >= MIN_LEXICON_COUNT).select(
         "word", F.round(valence, 3).alias("valence")
-    )
+    ), "lexicon")
 
 
 @add("lexicon_baseline", s.with_(s.REVIEWS, s.TOKENS, LEXICON) + s.rounded("""

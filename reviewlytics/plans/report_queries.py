@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewlytics.config import RULES, SEED
-from reviewlytics.functions.text import word_count
+from reviewlytics.functions.text import probe_flags, word_count
 from reviewlytics.operators import evaluate, reports, sampling, verdict
 from reviewlytics.operators.reports import LENGTH_EDGES
 from reviewlytics.plans import sql as s
@@ -315,8 +315,8 @@ def _(spark, folder):
       CAST(min(words) AS INTEGER) AS min_words, CAST(max(words) AS INTEGER) AS max_words, quantile_cont(words, 0.5) AS median_words, count(*) AS n, avg({OK}) AS accuracy
     FROM texts, edges GROUP BY 1""", "median_words", "accuracy"))
 def _(spark, folder):
-    sized = scored_texts(spark, folder).withColumn("words", word_count(F.col("text"))).drop("text")
-    return reports.by_length(settle(sized, "sized"))
+    sized = documents(spark, folder).select("doc_id", word_count(F.col("text")).alias("words"))
+    return reports.by_length(settle(out_of_fold(spark, folder).join(sized, "doc_id"), "sized"))
 
 
 def _construction_arm(name: str, flag: str) -> str:
@@ -333,7 +333,8 @@ def _construction_sql(flags: dict[str, str]) -> str:
 
 @add("accuracy_by_construction", _construction_sql(s.PROBE_FLAGS))
 def _(spark, folder):
-    return reports.by_construction(scored_texts(spark, folder))
+    flags = documents(spark, folder).select("doc_id", *probe_flags(F.col("text")))
+    return reports.by_construction(out_of_fold(spark, folder).join(flags, "doc_id"))
 
 
 OWN_PROBES = (("restriction", r"\b(only|just|solo|nur|seulement)\b"), ("question", r"\?"), ("plural_article", r"\b(les|los|las|die)\b"))
@@ -348,7 +349,8 @@ def _(spark, folder):
     SELECT doc_id, film_id, label, pred, score, round(abs(score - 0.5) * 2.0, 9) AS confidence, substr(text, 1, 400) AS text
     FROM texts WHERE pred <> label ORDER BY confidence DESC, doc_id LIMIT 12""", digits=9)
 def _(spark, folder):
-    return reports.confident_errors(scored_texts(spark, folder), keep=("film_id",))
+    texts = table(spark, folder, "documents").select("doc_id", "text")
+    return reports.confident_errors(out_of_fold(spark, folder), texts, keep=("film_id",))
 
 
 # -- corpora ------------------------------------------------------------------------------ #

@@ -14,7 +14,7 @@ from reviewlytics.plans import sql as s
 from reviewlytics.plans.base import (
     Registry, derived_lemmas, documents, labelled, model_columns, one_fit, review_tokens, reviews,
 )
-from reviewlytics.runtime import table
+from reviewlytics.runtime import settle, table
 
 registry = Registry()
 add = registry.add
@@ -239,7 +239,7 @@ def _(spark, folder):
 def _weighted(spark, folder, options):
     docs = _one(spark, folder)
     terms = feat.term_rows(docs, ["fit", "doc_id", "label"], options.ngram_max)
-    sizes = docs.groupBy("fit").agg(F.count("*").alias("n_docs"))
+    sizes = settle(docs.groupBy("fit").agg(F.count("*").alias("n_docs")), "sizes")
     known = feat.with_idf(feat.vocabulary(terms, ["fit"], options), sizes, ["fit"], options)
     return feat.tfidf(terms, known, ["fit"], options)
 
@@ -248,7 +248,7 @@ def _weighted(spark, folder, options):
 def _(spark, folder):
     docs = _one(spark, folder)
     vocab = feat.vocabulary(feat.term_rows(docs, ["fit", "doc_id", "label"]), ["fit"])
-    sizes = docs.groupBy("fit").agg(F.count("*").alias("n_docs"))
+    sizes = settle(docs.groupBy("fit").agg(F.count("*").alias("n_docs")), "sizes")
     return feat.with_idf(vocab, sizes, ["fit"]).select("term", "df", "idf")
 
 
