@@ -17,7 +17,7 @@ from reviewlytics.operators.features import count_terms
 from reviewlytics.operators.linear import LinearModel, score, with_prediction
 from reviewlytics.operators.normalise import RAW, normalise
 from reviewlytics.operators.reports import corpus_words
-from reviewlytics.runtime import settled_once, spread, table
+from reviewlytics.runtime import settled_once, ship_package, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOLDS = 3
@@ -33,7 +33,11 @@ class Registry:
 
     def add(self, name: str, sql: str | None = None, digits: int = 6) -> Callable[[Query], Query]:
         def register(query: Query) -> Query:
-            self.queries[name] = lambda spark, folder: tidy(query(spark, folder), digits)
+            def run(spark: SparkSession, folder: str) -> DataFrame:
+                ship_package(spark)
+                return tidy(query(spark, folder), digits)
+
+            self.queries[name] = run
             if sql is not None:
                 self.sql[name] = sql
             return query

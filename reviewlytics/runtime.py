@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,6 +35,19 @@ def session(app: str = "reviewlytics", cores: str = "*", **conf: str) -> SparkSe
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever they were started."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        stem = os.path.join(tempfile.mkdtemp(prefix="reviewlytics-"), "reviewlytics")
+        spark.sparkContext.addPyFile(shutil.make_archive(stem, "zip", home, "reviewlytics"))
+        _shipped.add(app)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
