@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlytics.llm import bpe, exact_dedup, near_dedup, packing, quality_rules, substring_dedup, wavelet
+from reviewlytics.llm import (
+    bpe, exact_dedup, license_scan, line_dedup, lm_scores, near_dedup, packing, quality_rules, substring_dedup, wavelet,
+)
 from reviewlytics.llm import sql as llm_sql
 from reviewlytics.runtime import table
 
@@ -29,10 +31,18 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, folder, "documents")).drop("tag")
+
+
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), TOKENIZER).drop("tag")
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_groups(table(spark, folder, "documents")).drop("tag")
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents")).drop("tag")
 
@@ -48,12 +58,18 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    good = table(spark, folder, "labels").filter("quality = 1").select("doc_id")
+    return lm_scores.cross_entropy_difference(table(spark, folder, "documents"), good).drop("tag")
+
+
 def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, folder, "documents"), shingle=2).drop("tag")
 
 
 _QUERIES = (
-    op1_substring_dedup, op2_bpe, op4_best_fit_packing, op6_exact_dedup, op7_token_files, op8_quality_rules, op10_near_dedup,
+    op1_substring_dedup, op2_bpe, op3_license_scan, op4_best_fit_packing, op5_line_dedup, op6_exact_dedup, op7_token_files,
+    op8_quality_rules, op9_lm_scores, op10_near_dedup,
 )
 
 

@@ -30,16 +30,17 @@ def _forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(x, r) for x, r in pairs if x != r], columns=["u", "v"], dtype="int64")
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
+def components(links: DataFrame, a: str, b: str, native: bool = False) -> DataFrame:
     """``node``, ``comp``: the least node reachable, for each node that has a link.
 
     Batches of links shrink to local forests by union-find; large and small
     stars in turn join these, each turn a few shuffles of (node, node) rows,
     until nothing changes. A node of any degree is only ever aggregated, or
     joined to one row. Each turn's links are written to the shared folder.
+    ``native`` leaves out the local forests: DataFrame operations only.
     """
     links = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
-    edges = settle(links.mapInPandas(_forest, "u long, v long"), "links")
+    edges = settle(links if native else links.mapInPandas(_forest, "u long, v long"), "links")
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
