@@ -12,6 +12,7 @@ where each was found, and give the words to remove.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -26,7 +27,7 @@ from reviewlytics.llm.wordhash import Words, mix, prefix_sums, run_hash, slide
 from reviewlytics.runtime import ship_package
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-FOUND = "key long, doc long, tag long, at long, n int, sure boolean"
+FOUND = "key long, check int, doc long, tag long, at long, n int, sure boolean"
 
 
 def _k(span: int) -> int:
@@ -39,7 +40,7 @@ class Graph:
     def __init__(self, words: Words, span: int):
         n, k = len(words.hash), _k(span)
         self.words, self.span, self.wide = words, span, span - k + 1
-        self.sums = prefix_sums(words.hash)
+        self.sums, self.checks = prefix_sums(words.hash), prefix_sums(words.hash, 1)
         room = words.room()
         kmer = np.full(n, _NONE)
         kmer[: max(0, n - k + 1)] = run_hash(self.sums, np.arange(max(0, n - k + 1)), k)
@@ -60,26 +61,32 @@ class Graph:
         ok = (before >= 0) & (text[self.vertex[before]] == text[self.window]) if len(self.vertex) else np.zeros(len(self.window), bool)
         self.before = np.where(ok, before, -1)
 
-    def edges(self) -> np.ndarray:
-        """Per vertex the hash of all words of the windows from it up to the next vertex."""
+    def hashes(self, start: np.ndarray, n) -> tuple[np.ndarray, np.ndarray]:
+        """A key and an independent check (32 bits) of the ``n`` words from ``start``."""
+        check = run_hash(self.checks, start, n, 1) >> np.uint64(32)
+        return run_hash(self.sums, start, n), check.astype(np.uint32).view(np.int32)
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per vertex the hashes of all words of the windows from it up to the next vertex."""
         v, ends = self.vertex, self.words.first[1:][self.text[self.vertex]]
         nxt = np.append(v[1:], 0)
         inner = np.append(self.text[v[1:]] == self.text[v[:-1]], False) if len(v) else np.zeros(0, bool)
         to = np.where(inner, np.minimum(nxt + self.span - 1, ends), ends)
-        return run_hash(self.sums, v, to - v, 1)
+        return self.hashes(v, to - v)
 
     def place(self, word: np.ndarray) -> np.ndarray:
         """Position of a word within its text."""
         return word - self.words.first[self.text[word]]
 
 
-def _records(key, batch, text, at, n=None, sure=None) -> pa.RecordBatch:
+def _records(key, check, batch, text, at, n=None, sure=None) -> pa.RecordBatch:
     """Rows of FOUND. Of equal keys in this batch only the first needs a partner from elsewhere.
 
-    The others are sure already; like all sure rows they get a key of their
-    own, so a key that fills the corpus meets at most once per batch.
+    The others are sure already; they get keys of their own (and n = 0 where
+    none is given), so a key that fills the corpus meets once per batch.
     """
     if sure is None:
+        #: n, where given, stays: 0 marks a witness.
         _, first, where, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         sure = count[where] > 1
         rest = sure.copy()
@@ -88,63 +95,69 @@ def _records(key, batch, text, at, n=None, sure=None) -> pa.RecordBatch:
         rest = sure
     doc, tag = (batch[c].to_numpy()[text] for c in ("doc", "tag"))
     key = np.where(rest, mix(doc.view(np.uint64) ^ mix(tag.view(np.uint64) + at.astype(np.uint64))), key)
-    n = np.ones(len(key), np.int32) if n is None else n.astype(np.int32)
+    n = np.where(rest, 0, 1).astype(np.int32) if n is None else n.astype(np.int32)
     return pa.RecordBatch.from_arrays(
-        [pa.array(x) for x in (key.view(np.int64), doc, tag, at.astype(np.int64), n, sure)],
-        ["key", "doc", "tag", "at", "n", "sure"],
+        [pa.array(x) for x in (key.view(np.int64), check, doc, tag, at.astype(np.int64), n, sure)],
+        ["key", "check", "doc", "tag", "at", "n", "sure"],
     )
 
 
 def _vertices(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    """Two rows per vertex, for its k-mer (at = 2 * place) and for its edge (2 * place + 1)."""
+    """Two rows per vertex, for its k-mer (at = 4 * place) and for its edge (4 * place + 1)."""
     for batch in pieces(batches):
         graph = Graph(Words(batch["text"]), span)
         v = graph.vertex
         if len(v):
-            at, text = 2 * graph.place(v), graph.text[v]
-            yield _records(
-                np.concatenate((graph.kmer[v], graph.edges())), batch, np.concatenate((text, text)), np.concatenate((at, at + 1)),
-            )
+            at, text = 4 * graph.place(v), graph.text[v]
+            (kmer, one), (edge, two) = graph.hashes(v, _k(span)), graph.edges()
+            key, check = np.concatenate((kmer, edge)), np.concatenate((one, two))
+            yield _records(key, check, batch, np.concatenate((text, text)), np.concatenate((at, at + 1)))
 
 
 def _windows(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    """Runs of windows in repeated edges (sure), and each other window whose least k-mer repeats."""
+    """Runs of windows in repeated edges (sure), and each other window whose least k-mer repeats.
+
+    The latter may equal a window in a repeated edge, so one text of each edge
+    sends its windows too, as witnesses (n = 0).
+    """
     for batch in pieces(batches):
         graph = Graph(Words(batch["text"]), span)
         marks = batch["marks"]
         at = np.asarray(pc.list_flatten(marks))
         text = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(marks)))
-        word = graph.words.first[text] + (at >> 1)
-        edge = np.zeros(len(graph.kmer) + 1, bool)
+        word = graph.words.first[text] + (at >> 2)
+        edge, lead = np.zeros((2, len(graph.kmer) + 1), bool)
         edge[word[at % 2 == 1]] = True
+        lead[word[at % 4 == 3]] = True
         again = np.unique(graph.kmer[word[at % 2 == 0]])
         window, before = graph.window, graph.before
         if not len(window):
             continue
-        settled = (before >= 0) & edge[graph.vertex[before]] if len(graph.vertex) else np.zeros(len(window), bool)
-        open_ = window[~settled]
-        open_ = open_[np.isin(graph.least[open_], again)]
+        vertex = np.where(before >= 0, graph.vertex[before], len(graph.kmer))
+        settled = edge[vertex]
+        single = (~settled & np.isin(graph.least[window], again)) | lead[vertex]
+        open_ = window[single]
         if len(open_):
-            yield _records(run_hash(graph.sums, open_, span), batch, graph.text[open_], graph.place(open_))
+            yield _records(*graph.hashes(open_, span), batch, graph.text[open_], graph.place(open_), ~settled[single])
         window = window[settled]
         if len(window):
             breaks = (np.diff(window) != 1) | (graph.text[window[1:]] != graph.text[window[:-1]])
             start = np.concatenate(([0], np.flatnonzero(breaks) + 1))
             run = np.diff(np.append(start, len(window)))
             start = window[start]
-            yield _records(graph.kmer[start], batch, graph.text[start], graph.place(start), run, np.ones(len(start), bool))
+            none = np.zeros(len(start), np.int32)
+            yield _records(graph.kmer[start], none, batch, graph.text[start], graph.place(start), run, np.ones(len(start), bool))
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """The rows whose key occurs twice at least."""
-    count = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    return rows.withColumn("__n", count).filter((F.col("__n") > 1) | F.col("sure"))
+    """The rows whose key and check (96 bits of their words) occur twice at least."""
+    same = Window.partitionBy("key", "check")
+    counted = rows.withColumns({"__n": F.count(F.lit(1)).over(same), "__least": F.min("doc").over(same)})
+    return counted.filter((F.col("__n") > 1) | F.col("sure"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """Counts, the kept text and its hash per row of a batch."""
-    import hashlib
-
     for batch in pieces(batches):
         words = Words(batch["text"])
         counts = words.counts()
@@ -202,8 +215,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship_package(docs.sparkSession)
     own = keyed(docs, id_col, text_col)
     marks = _repeated(own.mapInArrow(partial(_vertices, span=span), FOUND))
-    marks = marks.groupBy("doc", "tag").agg(F.sort_array(F.collect_set("at")).alias("marks"))
-    windows = _repeated(own.join(marks.hint("merge"), ["doc", "tag"]).mapInArrow(partial(_windows, span=span), FOUND))
+    lead = F.when((F.col("n") > 0) & (F.col("doc") == F.col("__least")) & (F.col("at") % 2 == 1), 2).otherwise(0)
+    marks = marks.groupBy("doc", "tag").agg(F.sort_array(F.collect_set(F.col("at") + lead)).alias("marks"))
+    windows = _repeated(own.join(marks.hint("merge"), ["doc", "tag"]).mapInArrow(partial(_windows, span=span), FOUND)).filter("n > 0")
     cover = windows.groupBy("doc", "tag").agg(
         F.collect_list("at").alias("starts"), F.collect_list(F.col("at") + F.col("n") + (span - 1)).alias("ends"),
     )
