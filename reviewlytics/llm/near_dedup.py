@@ -19,7 +19,7 @@ from reviewlytics.runtime import settle, ship_package
 #: At a similarity of 0.8 a pair of sets shares no band with a probability of 7e-6.
 SLOTS, BANDS = 150, 30
 HEADS = 4
-HEAD_BATCH, MEMBER_BLOCK = 48, 192
+HEAD_BATCH, MEMBER_BLOCK = 128, 256
 
 
 def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
