@@ -13,15 +13,19 @@ NO_ID = -(1 << 63)
 PIECE_BYTES = 4 << 20
 
 
+def _tag(text):
+    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:
     """``doc``, ``tag``, ``text``: two columns, never null, that tell rows apart, and the text, null as empty.
 
-    ``tag`` hashes the text, so rows that repeat a doc_id with other texts stay
-    apart and rows that repeat both are equal in every respect.
+    ``tag`` hashes the text (32 bits), so rows that repeat a doc_id with other
+    texts stay apart and rows that repeat both are equal in every respect.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
-    return docs.select(doc.alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"), *more)
+    return docs.select(doc.alias("doc"), _tag(text).alias("tag"), text.alias("text"), *more)
 
 
 def given_id(name: str = "doc"):
@@ -48,5 +52,5 @@ def replaced(docs: DataFrame, id_col: str, text_col: str, change: DataFrame, how
     """``docs``, whole rows, joined with ``change`` on their row keys (``__doc``, ``__tag``)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.withColumns({
-        "__doc": F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)), "__tag": F.xxhash64(text),
+        "__doc": F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)), "__tag": _tag(text),
     }).join(change, ["__doc", "__tag"], how).drop("__doc", "__tag")

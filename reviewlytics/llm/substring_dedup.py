@@ -31,7 +31,7 @@ FOUND = "key long, check int, doc long, tag long, at long, n int, sure boolean"
 
 
 def _k(span: int) -> int:
-    return max(1, span * 16 // 35)
+    return max(1, span * 12 // 35)
 
 
 class Graph:
