@@ -149,12 +149,16 @@ def class_report(scored: DataFrame, by: list[str]) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-def mcnemar(predictions: DataFrame, best: str, model: str = "model") -> DataFrame:
+def mcnemar(predictions: DataFrame, best: str | None = None, model: str = "model") -> DataFrame:
     """Exact McNemar test of every other model against ``best``.
 
-    ``predictions`` is long: model, doc_id, label, pred.
+    ``predictions`` is long: model, doc_id, label, pred. Without ``best``, it is
+    the model of highest accuracy, of equal ones the last by name.
     """
     right = F.col("pred") == F.col("label")
+    if best is None:
+        accuracy = predictions.groupBy(model).agg(F.avg(right.cast("int")).alias("_right"))
+        best = accuracy.agg(F.max_by(model, F.struct("_right", model))).first()[0]
     ours = predictions.filter(F.col(model) == best).select("doc_id", right.alias("_a"))
     theirs = predictions.filter(F.col(model) != best).select(model, "doc_id", right.alias("_b"))
     counts = theirs.join(ours, "doc_id").groupBy(model).agg(

@@ -44,14 +44,6 @@ def stratified_split(
     return ranked.withColumn("part", split_part(test_share)).drop("stratum_rank", "stratum_size")
 
 
-def stratified_folds(
-    df: DataFrame, k: int = 5, label: str = "label", key: str = "doc_id", seed=SEED
-) -> DataFrame:
-    """Add ``fold``."""
-    ranked = stratum_ranks(df, label, key, seed)
-    return ranked.withColumn("fold", fold_number(k)).drop("stratum_rank", "stratum_size")
-
-
 def threshold_split(df: DataFrame, key: str = "doc_id", test_share: float = 0.2, seed=SEED) -> DataFrame:
     """Add ``part`` by comparing the hash with the share: narrow, no counts.
 

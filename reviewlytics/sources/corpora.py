@@ -92,12 +92,17 @@ def polarity_lines(spark: SparkSession, paths: dict[str, int], seed=SEED) -> Dat
 
 
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The Parquet copy at ``path``; built and written when it is not there."""
+    """The Parquet copy at ``path``; built and written when it is not there.
+
+    A copy that is there but can't be read is an error, and is left alone.
+    """
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    build().write.parquet(path)
+    return spark.read.parquet(path)
 
 
 class Corpora:
@@ -122,7 +127,7 @@ def review_list(spark: SparkSession, path: str) -> DataFrame:
     under ``reviews``; any other file holds one review per line.
     """
     if not path.endswith(".json"):
-        lines = spark.read.text(path).select(F.trim("value").alias("text"))
+        lines = spark.read.text(path).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("text"))
         return lines.filter("text <> ''")
     whole = spark.read.text(path, wholetext=True)
     listed = F.coalesce(

@@ -14,16 +14,16 @@ from reviewlytics.system import SentimentSystem
 
 def review_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Non-blank lines of the files that appear in ``folder``."""
-    return spark.readStream.text(folder).select(F.trim("value").alias("text")).filter("text <> ''")
+    return spark.readStream.text(folder).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("text")).filter("text <> ''")
 
 
 def score_stream(lines: DataFrame, system: SentimentSystem, out: str, checkpoint: str):
     """Score each micro-batch with the batch operators and append it to Parquet."""
     def write(batch: DataFrame, batch_id: int) -> None:
         # A batch that is run again after a failure overwrites its own folder.
-        keyed = batch.withColumn("doc_id", F.xxhash64("text")).dropDuplicates(["doc_id"])
+        keyed = batch.withColumn("doc_id", F.sha2("text", 256)).dropDuplicates(["doc_id"])
         scored = system.score(keyed)
-        batch.withColumn("doc_id", F.xxhash64("text")).join(scored, "doc_id").write.mode("overwrite").parquet(
+        batch.withColumn("doc_id", F.sha2("text", 256)).join(scored, "doc_id").write.mode("overwrite").parquet(
             f"{out}/batch={batch_id}"
         )
 
