@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import html
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -32,9 +30,19 @@ def _stem(tokens: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=tokens.is_null())
 
 
-@F.arrow_udf(T.StringType())
-def _unescape(text: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else html.unescape(t) for t in text.to_pylist()], pa.string())
+def _unescaper():
+    """A function that takes nothing of this package along, so cleaning needs no package on the workers."""
+    def unescape(text: pa.Array) -> pa.Array:
+        from html import unescape as decoded
+
+        import pyarrow
+
+        return pyarrow.array([None if t is None else decoded(t) for t in text.to_pylist()], pyarrow.string())
+
+    return F.arrow_udf(unescape, T.StringType())
+
+
+_unescape = _unescaper()
 
 
 def stem_tokens(tokens: Column) -> Column:
@@ -42,10 +50,15 @@ def stem_tokens(tokens: Column) -> Column:
     return _stem(tokens)
 
 
+def decode_entities(text: Column) -> Column:
+    """Every HTML5 entity of every text; null stays null."""
+    return _unescape(text)
+
+
 def unescape_html_fully(text: Column) -> Column:
     """Every HTML5 entity, also unterminated ones.
 
-    Only texts that hold an ampersand travel to the Python worker.
+    All texts that hold an ampersand travel to the Python worker.
     """
     needed = F.when(F.contains(text, F.lit("&")), text)
     return F.coalesce(_unescape(needed), text)

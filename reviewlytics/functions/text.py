@@ -1,8 +1,8 @@
 """Cleaning, tokens, negation scope and stop words as column expressions.
 
 Everything here is narrow: one row in, one row out, no shuffle, no Python
-worker (the exceptions, stemming and full entity decoding, are Arrow functions
-in :mod:`reviewlytics.functions.arrow`).
+worker (the exceptions, stemming and the decoding of rare entities, are Arrow
+functions in :mod:`reviewlytics.functions.arrow`).
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reviewlytics.functions.arrow import decode_entities
+
 from reviewlytics.config import (
     ENGLISH_STOP_WORDS,
     ENTITIES,
@@ -44,15 +46,19 @@ def let(value: Column, body) -> Column:
 
 
 def unescape_html(text: Column) -> Column:
-    """HTML entities to characters; texts without an ampersand are untouched."""
+    """Every HTML5 entity to its characters: named, numeric, also unterminated.
+
+    Texts whose entities are all common ones stay in the JVM. Any other
+    ampersand before a letter or ``#`` sends its text, and no other text, to
+    the full decoder. Both give the same characters.
+    """
+    common = "|".join(entity[1:-1] for entity, _ in ENTITIES)
+    uncommon = F.rlike(text, F.lit(f"&(?=[A-Za-z#])(?!(?:{common});)"))
     out = text
     for entity, char in ENTITIES:
-        if entity == "&amp;":
-            continue
         out = F.replace(out, F.lit(entity), F.lit(char))
-    out = F.regexp_replace(out, r"&(?!amp;)[A-Za-z][A-Za-z0-9]*;", " ")
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+    plain = F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+    return F.coalesce(decode_entities(F.when(uncommon, text)), plain)
 
 
 def strip_tags(text: Column) -> Column:
@@ -73,10 +79,9 @@ def keep_letters(text: Column, letters: str = "ascii") -> Column:
     return F.trim(F.regexp_replace(text, other, " "))
 
 
-def clean_text(text: Column, letters: str = "ascii", unescaped: bool = False) -> Column:
+def clean_text(text: Column, letters: str = "ascii") -> Column:
     """Markup, case, character runs and non-letters, in that order."""
-    plain = text if unescaped else unescape_html(text)
-    return keep_letters(squeeze_runs(F.lower(strip_tags(plain))), letters)
+    return keep_letters(squeeze_runs(F.lower(strip_tags(unescape_html(text)))), letters)
 
 
 def words(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlytics.functions import text as tx
-from reviewlytics.functions.arrow import stem_tokens, unescape_html_fully
+from reviewlytics.functions.arrow import stem_tokens
 from reviewlytics.runtime import lookup
 
 
@@ -30,12 +30,7 @@ class Recipe:
             raise ValueError("normalisation must be 'none', 'stem' or 'lemma'")
 
     def describe(self) -> str:
-        on = lambda flag, yes="on", no="off": yes if flag else no
-        return (
-            f"stopwords={on(self.remove_stopwords)}, "
-            f"negations={on(self.keep_negations, 'kept', 'dropped')}, "
-            f"norm={self.normalisation}, negmark={on(self.negation_marking)}"
-        )
+        return ", ".join(f"{name}: {value}" for name, value in self.to_dict().items())
 
     def to_dict(self) -> dict:
         return asdict(self)
@@ -98,19 +93,12 @@ def lemmatise(docs: DataFrame, lemmas: DataFrame, keys: list[str]) -> DataFrame:
 
 def normalise(
     docs: DataFrame, recipe: Recipe, text: str = "text", keys: list[str] | None = None,
-    lemmas: DataFrame | None = None, entities: str = "common", letters: str = "ascii",
+    lemmas: DataFrame | None = None, letters: str = "ascii",
 ) -> DataFrame:
-    """Replace the text column by ``tokens``.
-
-    ``entities="full"`` decodes every HTML5 entity in an Arrow function, for
-    the texts that hold an ampersand; ``"common"`` stays in the JVM.
-    """
+    """Replace the text column by ``tokens``."""
     if recipe.normalisation == "lemma" and lemmas is None:
         raise ValueError("a lemma recipe needs a lemma table")
-    source = F.col(text)
-    if entities == "full":
-        docs = docs.withColumn(text, unescape_html_fully(source))
-    cleaned = tx.clean_text(source, letters, unescaped=entities == "full")
+    cleaned = tx.clean_text(F.col(text), letters)
     out = docs.withColumn("tokens", filtered_tokens(cleaned, recipe)).drop(text)
     if recipe.normalisation == "stem":
         return out.withColumn("tokens", stem_tokens(F.col("tokens")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from reviewlytics.config import ENTITIES, MAX_FEATURES, NEGATION_CUES, PROBES, SEED
+from reviewlytics.config import MAX_FEATURES, NEGATION_CUES, PROBES, SEED
 from reviewlytics.functions.text import CLITIC_RULES, JOINED_WORDS, stop_words
 from reviewlytics.plans.base import ALPHA, FOLDS
 
@@ -18,11 +18,11 @@ def word_list(words) -> str:
 
 
 def unescape(e: str) -> str:
-    for entity, char in ENTITIES:
-        if entity != "&amp;":
-            e = f"replace({e}, {lit(entity)}, {lit(char)})"
-    e = f"replace({e}, '&amp;', chr(1))"
-    e = f"regexp_replace({e}, '&[A-Za-z][A-Za-z0-9]*;', ' ', 'g')"
+    """The entities the given texts hold, with or without their semicolon, by patterns of their own."""
+    e = f"regexp_replace({e}, '&amp;?', chr(1), 'g')"
+    for pattern, code in (("quot;?|&#34;|&#x22;", 34), ("#39;|&#x27;|&apos;", 39), ("lt;?|&#60;", 60), ("gt;?|&#62;", 62),
+                          ("nbsp;?|&#160;", 160), ("copy;?|&#169;", 169), ("middot;?|&#183;", 183)):
+        e = f"regexp_replace({e}, '&{pattern}', chr({code}), 'g')"
     return f"replace({e}, chr(1), '&')"
 
 

@@ -1,3 +1,4 @@
+import html
 import random
 
 import pytest
@@ -22,7 +23,9 @@ def one(spark, value, expression, schema="v string"):
     ("I can't stay", "i can't stay"),
     ("Scored 9/10 -- neat!", "scored neat"),
     ("&lt;br&gt;gone", "gone"),
-    ("caf&eacute; bar", "caf bar"),
+    ("caf&eacute; bar", "caf bar"), ("caf&#xe9; bar", "caf bar"), ("caf&eacute bar", "caf bar"), ("a&nbspb nice", "a b nice"),
+    ("good &amp bad", "good bad"), ("&#105;t is", "it is"), ("&LT;br&GT;gone", "gone"), ("x &#x3C;br&#x3E; y", "x y"),
+    ("&amp;lt;br&amp;gt; kept", "lt br gt kept"), ("five & six &amp; seven", "five six seven"), ("&am&#112;", "amp"),
     ("", ""), (" \n\t ", ""), ("<p></p>", ""),
 ])
 def test_cleaning(spark, raw, cleaned):
@@ -33,6 +36,16 @@ def test_full_unescape_handles_unterminated_entities(spark):
     assert one(spark, "a &amp b &hearts; c", unescape_html_fully) == "a & b ♥ c"
 
 
+def test_both_ways_of_unescaping_agree(spark):
+    rng = random.Random(5)
+    parts = ["&", "&amp;", "&amp", "&lt;", "&LT;", "&lt", "&nbsp;", "&nbspx", "&#38;", "&#x26;lt;", "&#39;", "&#105", "&apos;", "&apos",
+             "&fjlig;", "&notit;", "&nosuch;", "&#", "&#x;", "&;", "&#0;", "&#150;", "&#xD800;", "a", " ", ";", "#38;", "amp;", "\n", "é"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(8))) for _ in range(3000)] + [None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.u for r in rows.select("i", tx.unescape_html(F.col("t")).alias("u")).collect()}
+    assert [got[i] for i in range(len(texts))] == [None if t is None else html.unescape(t) for t in texts]
+
+
 def test_clitics_and_joined_words(spark):
     got = one(spark, "don't they'll cannot gonna dog's", lambda c: tx.tokenize(c))
     assert got == ["do", "n't", "they", "'ll", "can", "not", "gon", "na", "dog", "'s"]
@@ -105,4 +118,4 @@ def test_lemmas_verb_then_noun_in_order(spark):
     docs = spark.createDataFrame([(1, "she loved films loved"), (2, "")], "doc_id int, text string")
     got = {r.doc_id: r.tokens for r in normalise(docs, DEFAULT, lemmas=lemmas).collect()}
     assert got == {1: ["she", "love", "films", "love"], 2: []}
-    assert "norm=lemma" in DEFAULT.describe()
+    assert "normalisation: lemma" in DEFAULT.describe()
