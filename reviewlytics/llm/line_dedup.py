@@ -18,10 +18,13 @@ EDIT_SIMILARITY = 0.9
 _LANES, _LANE_BITS = 3, 21
 
 
-def normalised_line(line):
-    """Lower case, everything but letters as one blank; a line without letters stays as it is."""
-    plain = F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}]+", " "))
-    return F.when(plain == "", line).otherwise(plain)
+def normalised_line(lines: DataFrame) -> DataFrame:
+    """``line`` in lower case, everything but letters as one blank; a line without letters stays as it is.
+
+    The letters are a column of their own: within one expression they would be worked out twice.
+    """
+    plain = F.trim(F.regexp_replace(F.lower("line"), r"[^\p{L}]+", " "))
+    return lines.withColumn("__plain", plain).withColumn("line", F.when(F.col("__plain") == "", F.col("line")).otherwise(F.col("__plain"))).drop("__plain")
 
 
 def simhashes(lines: DataFrame) -> DataFrame:
@@ -82,7 +85,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     own = keyed(docs, id_col, text_col)
     lines = own.select("doc", "tag", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike("[^ \\t-\\r]"))
-    lines = lines.withColumn("line", normalised_line(F.col("line"))).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
+    lines = normalised_line(lines).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
     named = settle(lines.select("h1", "h2", "line").distinct().withColumn("name", F.monotonically_increasing_id()), "lines")
     hashes = settle(simhashes(named), "simhashes")
 
