@@ -61,21 +61,15 @@ def stratified_folds(
     return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
-def repeats_for(size: int, total: int) -> int:
-    """More draws where the subsample is small and its result noisy."""
-    if size >= total:
-        return 1
-    return 5 if size <= 2_500 else 3
-
-
 def stratified_subsamples(
-    df: DataFrame, sizes: list[int], total: int, label: str = "label", key: str = "doc_id", seed=SEED
+    df: DataFrame, draws: dict[int, int], total: int, label: str = "label", key: str = "doc_id", seed=SEED
 ) -> DataFrame:
     """``train_size, draw`` and the rows drawn for each, by class share.
 
-    Sizes at or above ``total`` take every row, once.
+    ``draws`` holds the number of draws of each size. Sizes at or above
+    ``total``, the number of rows, take every row, once.
     """
-    plan = [(s, r) for s in sizes for r in range(repeats_for(s, total))]
+    plan = [(s, r) for s, n in draws.items() for r in range(1 if s >= total else n)]
     grid = F.inline(F.array(*[
         F.struct(F.lit(s).alias("train_size"), F.lit(r).alias("draw")) for s, r in plan
     ]))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewlytics.config import TRAIN_SIZE_LADDER
 from reviewlytics.operators import naive_bayes, sampling
 from reviewlytics.operators.features import count_terms
 from reviewlytics.operators.linear import LinearModel, score, with_prediction
@@ -21,6 +22,23 @@ from reviewlytics.runtime import settled_once, ship_package, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOLDS = 3
+#: Draws per size of the ladder; all rows are drawn once.
+CURVE_DRAWS = {size: 5 if size <= 2_500 else 3 for size in TRAIN_SIZE_LADDER}
+
+
+def curve_draws(total: int) -> dict[int, int]:
+    """The sizes below ``total`` with their draws, then ``total`` itself."""
+    return {size: n for size, n in CURVE_DRAWS.items() if size < total} | {total: 1}
+
+
+def curve_plan_sql(rows: str) -> str:
+    """The same as a relation (train_size, draw), for the rows of a relation."""
+    values = ", ".join(f"({size}, {draw})" for size, n in CURVE_DRAWS.items() for draw in range(n))
+    return f"""ladder(train_size, draw) AS (VALUES {values}),
+plan AS MATERIALIZED (
+  SELECT train_size, draw FROM ladder WHERE train_size < (SELECT count(*) FROM {rows})
+  UNION ALL SELECT CAST(count(*) AS INTEGER), 0 FROM {rows})"""
+
 ALPHA = 0.5
 
 

@@ -13,6 +13,7 @@ from reviewlytics.operators.lexicon import lexicon_scores
 from reviewlytics.operators.normalise import RECIPES, Recipe, normalise
 from reviewlytics.plans import sql as s
 from reviewlytics.plans.base import (
+    curve_draws, curve_plan_sql,
     ALPHA, Registry, derived_lemmas, fold_training, folded_tokens, full_model, model_columns, one_fit, out_of_fold,
     review_tokens, reviews,
 )
@@ -332,17 +333,15 @@ def _(spark, folder):
     return counts.withColumn("p_value", evaluate.mcnemar_p_value(F.col("n01"), F.col("n10")))
 
 
-SIZES = (50, 100, 200, 300)
-_DRAWS = ", ".join(f"({size}, {draw})" for size in SIZES for draw in range(5))
 CURVE = f"""pool AS MATERIALIZED (SELECT doc_id, label FROM split WHERE part = 'train'),
-plan(train_size, draw) AS (VALUES {_DRAWS}),
+{curve_plan_sql("pool")},
 drawn AS MATERIALIZED (
   SELECT doc_id, label, train_size, draw, train_size || '/' || draw AS fit FROM (
     SELECT doc_id, label, train_size, draw, count(*) OVER (PARTITION BY train_size, draw, label) AS n_label,
       count(*) OVER (PARTITION BY train_size, draw) AS total,
       row_number() OVER (PARTITION BY train_size, draw, label ORDER BY
         md5('{SEED}/' || train_size || '/' || draw || ':' || doc_id), doc_id) AS rank
-    FROM pool, plan WHERE draw = 0 OR train_size < (SELECT count(*) FROM pool))
+    FROM pool, plan)
   WHERE rank <= floor(train_size * CAST(n_label AS DOUBLE) / total + 0.5) OR train_size >= total),
 c_train AS MATERIALIZED (SELECT d.fit, t.doc_id, t.label, t.tokens FROM drawn d JOIN review_tokens t USING (doc_id)),
 c_test AS MATERIALIZED (
@@ -369,7 +368,8 @@ def learning_curve(spark, folder) -> DataFrame:
             "doc_id", "label", "terms_2", sampling.split_part().alias("part")
         )
         pool = tokens.filter("part = 'train'").select("doc_id", "label")
-        drawn = sampling.stratified_subsamples(pool, list(SIZES), pool.count())
+        total = pool.count()
+        drawn = sampling.stratified_subsamples(pool, curve_draws(total), total)
         drawn = settle(drawn.select("doc_id", F.concat_ws("/", "train_size", "draw").alias("fit")), "drawn")
         train = model_columns(tokens.join(drawn, "doc_id"))
         model = naive_bayes.fit(train, ["fit"], ALPHAS, vary_alpha=True)

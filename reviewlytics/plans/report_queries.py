@@ -154,7 +154,8 @@ def _(spark, folder):
 
 
 # -- film verdicts ------------------------------------------------------------------- #
-N_BOOT = 400
+#: Draws of an interval, and of the rules' evaluation over many subsamples.
+N_BOOT, N_BOOT_EVALUATION = 2_000, 400
 VERDICT = ("score", "ci_low", "ci_high", "share_positive", "polarisation")
 VERDICT_COLUMNS = "film_id, method, n_reviews, sentiment, score, ci_low, ci_high, share_positive, polarisation, decisive"
 ALL_RULES = oof(s.compare_rules("scored", N_BOOT))
@@ -249,7 +250,7 @@ def _(spark, folder):
     return verdict.pooling_depth(out_of_fold(spark, folder))
 
 
-@add("film_rule_evaluation", ALL_RULES.rstrip() + ",\n" + GOLD + f""",
+@add("film_rule_evaluation", oof(s.compare_rules("scored", N_BOOT_EVALUATION)).rstrip() + ",\n" + GOLD + f""",
 judged AS (SELECT film_id, method AS rule, CAST(sentiment = 'positive' AS INTEGER) AS pred, CAST(decisive AS DOUBLE) AS sure FROM verdicts
   UNION ALL SELECT film_id, 'single review (baseline)', CAST(arg_min(score, {s.md5(SEED, 'doc_id')}) >= 0.5 AS INTEGER), NULL FROM scored GROUP BY film_id),
 subsets AS (SELECT 'all films' AS subset, * FROM judged JOIN gold USING (film_id) WHERE n_reviews >= 5
@@ -257,7 +258,7 @@ subsets AS (SELECT 'all films' AS subset, * FROM judged JOIN gold USING (film_id
     SELECT subset, rule, count(*) AS n_films, avg(CAST(pred = gold AS DOUBLE)) AS accuracy, avg(sure) * 100.0 AS decisive_pct
     FROM subsets GROUP BY subset, rule""", "accuracy", "decisive_pct"))
 def _(spark, folder):
-    return verdict.evaluate_rules(out_of_fold(spark, folder), n_boot=N_BOOT)
+    return verdict.evaluate_rules(out_of_fold(spark, folder), n_boot=N_BOOT_EVALUATION)
 
 
 SCENARIOS = f"""{GOLD},

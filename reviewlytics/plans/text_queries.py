@@ -12,6 +12,7 @@ from reviewlytics.operators import sampling
 from reviewlytics.operators.normalise import DEFAULT, RECIPES, Recipe, joined_text, normalise
 from reviewlytics.plans import sql as s
 from reviewlytics.plans.base import (
+    curve_draws, curve_plan_sql,
     Registry, derived_lemmas, documents, labelled, model_columns, one_fit, review_tokens, reviews,
 )
 from reviewlytics.runtime import settle, table
@@ -315,23 +316,22 @@ def _(spark, folder):
     return sampling.stratified_folds(labelled(spark, folder), 5)
 
 
-SIZES = (50, 100, 200, 300)
-_PLAN = ", ".join(f"({size}, {draw})" for size in SIZES for draw in range(5))
-SUBSAMPLES = f"""plan(train_size, draw) AS (VALUES {_PLAN}),
+SUBSAMPLES = f"""{curve_plan_sql("labelled")},
 drawn AS MATERIALIZED (
   SELECT doc_id, label, train_size, draw FROM (
     SELECT doc_id, label, train_size, draw, count(*) OVER (PARTITION BY train_size, draw, label) AS n_label,
       count(*) OVER (PARTITION BY train_size, draw) AS total,
       row_number() OVER (PARTITION BY train_size, draw, label ORDER BY
         md5('{SEED}/' || train_size || '/' || draw || ':' || doc_id), doc_id) AS rank
-    FROM labelled, plan WHERE draw = 0 OR train_size < (SELECT count(*) FROM labelled))
+    FROM labelled, plan)
   WHERE rank <= floor(train_size * CAST(n_label AS DOUBLE) / total + 0.5) OR train_size >= total)"""
 
 
 @add("stratified_subsamples", s.with_(s.LABELLED, SUBSAMPLES) + "SELECT * FROM drawn")
 def _(spark, folder):
     rows = labelled(spark, folder)
-    return sampling.stratified_subsamples(rows, list(SIZES), rows.count())
+    total = rows.count()
+    return sampling.stratified_subsamples(rows, curve_draws(total), total)
 
 
 @add("sample_documents", f"SELECT doc_id, n_chars FROM documents ORDER BY {H}, doc_id LIMIT 2000")

@@ -9,6 +9,7 @@ from reviewlytics.functions.stats import binomial_quantiles, mcnemar_p
 from reviewlytics.operators import evaluate, features, linear, models, naive_bayes, reports, sampling, verdict
 from reviewlytics.operators.normalise import RAW, normalise
 from reviewlytics.operators.ranking import rank_by_hash, rank_by_range
+from reviewlytics.plans.base import curve_draws
 from reviewlytics.runtime import lookup, settle
 
 TOY = [
@@ -115,9 +116,9 @@ def test_splits_keep_class_shares(spark):
     parts = sampling.stratified_split(df).groupBy("label", "part").count().collect()
     assert {(r.label, r.part): r["count"] for r in parts} == {
         (0, "test"): 16, (0, "train"): 64, (1, "test"): 4, (1, "train"): 16}
-    drawn = sampling.stratified_subsamples(df, [10, 100], 100).groupBy("train_size", "draw").count().collect()
+    drawn = sampling.stratified_subsamples(df, {10: 5, 100: 5}, 100).groupBy("train_size", "draw").count().collect()
     assert {(r.train_size, r.draw): r["count"] for r in drawn} == {**{(10, d): 10 for d in range(5)}, (100, 0): 100}
-    assert [sampling.repeats_for(n, 25_000) for n in (200, 5_000, 25_000)] == [5, 3, 1]
+    assert curve_draws(5_000) == {200: 5, 500: 5, 1_000: 5, 2_500: 5, 5_000: 1} and curve_draws(60) == {60: 1}
 
 
 def test_auc_and_average_precision_against_brute_force(spark):
