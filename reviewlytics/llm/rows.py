@@ -13,19 +13,21 @@ NO_ID = -(1 << 63)
 PIECE_BYTES = 4 << 20
 
 
-def _tag(text):
-    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
+def row_key(id_col: str, text_col: str):
+    """The columns ``doc`` and ``tag`` of a row: its id, and a hash of its text."""
+    return F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:
     """``doc``, ``tag``, ``text``: two columns, never null, that tell rows apart, and the text, null as empty.
 
-    ``tag`` hashes the text (32 bits), so rows that repeat a doc_id with other
-    texts stay apart and rows that repeat both are equal in every respect.
+    ``tag`` hashes the text (64 bits: among rows without an id nothing else tells
+    texts apart), so rows that repeat a doc_id with other texts stay apart and
+    rows that repeat both are equal in every respect.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
-    return docs.select(doc.alias("doc"), _tag(text).alias("tag"), text.alias("text"), *more)
+    doc, tag = row_key(id_col, text_col)
+    return docs.select(doc.alias("doc"), tag.alias("tag"), text.alias("text"), *more)
 
 
 def given_id(name: str = "doc"):
@@ -50,7 +52,5 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 def replaced(docs: DataFrame, id_col: str, text_col: str, change: DataFrame, how: str = "left") -> DataFrame:
     """``docs``, whole rows, joined with ``change`` on their row keys (``__doc``, ``__tag``)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumns({
-        "__doc": F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)), "__tag": _tag(text),
-    }).join(change, ["__doc", "__tag"], how).drop("__doc", "__tag")
+    doc, tag = row_key(id_col, text_col)
+    return docs.withColumns({"__doc": doc, "__tag": tag}).join(change, ["__doc", "__tag"], how).drop("__doc", "__tag")
