@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlytics.llm import exact_dedup, near_dedup, packing, quality_rules, substring_dedup
-from reviewlytics.llm.rows import NO_ID, replaced
+from reviewlytics.llm.rows import NO_ID, replaced, row_key
 from reviewlytics.runtime import settle, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,25 +16,43 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 ORACLE_SQL = None
 
 
-def _only_kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``verdicts`` (doc_id, tag, kept) keep, one of each set of whole repeats of an id and text."""
-    kept = verdicts.filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__doc"), F.col("tag").alias("__tag"))
-    return replaced(docs, "doc_id", "text", kept.distinct(), "left_semi")
+def _one_per_group(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """One row of ``docs`` per group of ``members`` (doc, tag, group): its candidates are given, the least key among them stays.
+
+    Rows that share that key are whole repeats of id and text; the least of
+    them stays. Most keys have one candidate and need no look at their rows.
+    """
+    chosen = members.groupBy("group").agg(F.min(F.struct("doc", "tag")).alias("key"), F.count(F.lit(1)).alias("n"))
+    chosen = settle(chosen.select(F.col("key.doc").alias("__doc"), F.col("key.tag").alias("__tag"), "n"), "chosen")
+    sole = replaced(docs, "doc_id", "text", chosen.filter("n = 1").drop("n"), "left_semi")
+    several = chosen.filter("n > 1").select("__doc", "__tag")
+    doc, tag = row_key("doc_id", "text")
+    rows = replaced(docs, "doc_id", "text", several, "left_semi").select(doc.alias("__doc"), tag.alias("__tag"), F.struct(*docs.columns).alias("__row"))
+    return sole.union(rows.groupBy("__doc", "__tag").agg(F.min("__row").alias("__row")).select("__row.*"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the rules, or the rules for their host, refuse go."""
-    return _only_kept(docs, quality_rules.quality_verdicts(docs))
+    verdicts = quality_rules.quality_verdicts(docs).filter("kept")
+    kept = verdicts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__doc"), F.col("tag").alias("__tag"))
+    return replaced(docs, "doc_id", "text", kept.distinct(), "left_semi")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one of the largest id stays."""
-    return _only_kept(docs, exact_dedup.exact_groups(docs))
+    """Of equal texts one row stays: of the largest id, then of the least tag."""
+    kept = exact_dedup.exact_groups(docs).filter("kept")
+    return _one_per_group(docs, kept.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "tag", F.col("text_sha256").alias("group")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-copies (five-word shingles, similarity 0.8) the one of the least id stays."""
-    return _only_kept(docs, near_dedup.near_groups(docs))
+    """Of each group of near-copies (five-word shingles, similarity 0.8) one row stays: of the least id, then of the least tag.
+
+    Texts without words are no near-copies: of these only whole repeats go.
+    """
+    members = near_dedup.near_members(docs).filter("doc = component")
+    has = F.col("n") > 0
+    group = F.struct(has.alias("has"), F.coalesce("group", "doc").alias("a"), F.when(has, 0).otherwise(F.col("tag")).alias("b"))
+    return _one_per_group(docs, members.select("doc", "tag", group.alias("group")))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

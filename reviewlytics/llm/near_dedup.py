@@ -128,12 +128,13 @@ def _labelled(entries: DataFrame, links: DataFrame) -> DataFrame:
     return entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+def near_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Groups of texts whose shingle sets are alike: one row per row of ``docs``.
 
-    Columns: doc_id, tag (hash of the text), n_shingles, component_id (least
-    doc_id reachable over links), kept (doc_id = component_id). Two sets are
-    linked if 100 * intersection >= percent * union.
+    Columns: doc, tag (the row key), n (shingles), group (a number, null for
+    texts without shingles), component (least doc reachable over links). Groups
+    may share a component where ids repeat or are null; their numbers differ.
+    Two sets are linked if 100 * intersection >= percent * union.
 
     1. Each text becomes a set of shingle hashes, 128 bits that identify the
        set, a SuperMinHash signature of 150 slots and its 30 band keys. Texts
@@ -185,9 +186,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = sets.select("fp1", "fp2", "low", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     nodes = settle(nodes, "nodes")
     lowest = nodes.groupBy("comp").agg(F.min("low").alias("component"))
-    found = rows.drop("keys").join(nodes.join(lowest, "comp").select("fp1", "fp2", "component"), ["fp1", "fp2"], "left")
-    component = F.coalesce("component", "doc")
-    return found.select(
-        given_id().alias("doc_id"), "tag", F.col("n").alias("n_shingles"),
-        F.when(component != F.lit(-(1 << 63)), component).alias("component_id"), (component == F.col("doc")).alias("kept"),
+    found = rows.drop("keys").join(
+        nodes.join(lowest, "comp").select("fp1", "fp2", F.col("comp").alias("group"), "component"), ["fp1", "fp2"], "left",
+    )
+    return found.select("doc", "tag", "n", "group", F.coalesce("component", "doc").alias("component"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``near_members`` by given ids: doc_id, tag (hash of the text), n_shingles, component_id, kept (doc_id = component_id)."""
+    return near_members(docs, id_col, text_col, shingle, percent).select(
+        given_id().alias("doc_id"), "tag", F.col("n").alias("n_shingles"), given_id("component").alias("component_id"),
+        (F.col("component") == F.col("doc")).alias("kept"),
     )
