@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlytics.llm.rows import given_id, keyed, pieces
-from reviewlytics.llm.wordhash import Words
+from reviewlytics.llm.wordhash import Words, mix
 from reviewlytics.runtime import settle, ship_package
 
-#: Words of the shared vocabulary; all others are one unknown word. Fits two bytes, and both models' word counts fit a broadcast.
-VOCABULARY = 16_384
 #: Weight of the word model behind each bigram count.
 SMOOTHING = 100.0
 GROUP_TOKENS = 4 << 20
 HELD = 4 << 20
+_START, _UNKNOWN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_PAIR, _WORD, _HISTORY = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
 def _tally(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -48,57 +48,47 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _to_ids(batches: Iterator[pa.RecordBatch], words: np.ndarray, order: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Each text as two-byte vocabulary ids; len(words) stands for unknown words."""
-    for batch in pieces(batches):
-        own = Words(batch["text"], lower=True)
-        at = np.searchsorted(words, own.hash)
-        at[at == len(words)] = 0
-        ids = (np.where(words[at] == own.hash, order[at], len(words)) if len(words) else np.zeros(len(own.hash))).astype("<u2")
-        raw, cuts = ids.tobytes(), (own.first * 2).tolist()
-        texts = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch["doc"], batch["tag"], pa.array(texts, pa.binary())], ["doc", "tag", "ids"])
-
-
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds a group: consecutive texts of one task, GROUP_TOKENS tokens or one text."""
+    """Adds a group: consecutive texts of one task, GROUP_TOKENS tokens or one text. And each text's tokens."""
     part, number, have = TaskContext.get().partitionId(), 0, 0
-    for batch in batches:
-        groups = []
-        for n in (len(x) // 2 for x in batch["ids"].to_pylist()):
+    for batch in pieces(batches):
+        groups, sizes = [], Words(batch["text"]).counts()
+        for n in sizes.tolist():
             if have and have + n > GROUP_TOKENS:
                 number, have = number + 1, 0
             have += n
             groups.append(part << 32 | number)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(groups, pa.int64())], [*batch.schema.names, "group"])
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(groups, pa.int64()), pa.array(sizes, pa.int64())], [*batch.schema.names, "group", "n_tokens"],
+        )
 
 
-def _pairs(ids: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
-    """Bigram keys of all texts in a row; each text begins after ``start``."""
-    before = np.empty(len(ids), np.int64)
+def _keys(texts: pa.Array, known: np.ndarray | None) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Tokens per text, and per token the keys of its bigram, of its word and of its history. Keys of different kinds differ."""
+    words = Words(texts, lower=True)
+    ids, sizes = words.hash, words.counts()
+    if known is not None:
+        at = np.minimum(np.searchsorted(known, ids), max(len(known) - 1, 0))
+        ids = np.where(known[at] == ids, ids, _UNKNOWN) if len(known) else np.full(len(ids), _UNKNOWN)
+    before = np.empty(len(ids), np.uint64)
     before[1:] = ids[:-1]
-    first = np.cumsum(sizes) - sizes
-    before[first[sizes > 0]] = start
-    return before * (start + 1) + ids
+    before[words.first[:-1][sizes > 0]] = _START
+    keys = mix(mix(before ^ _PAIR) + ids), mix(ids ^ _WORD), mix(before ^ _HISTORY)
+    return sizes, tuple(k.view(np.int64) for k in keys)
 
 
-def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    texts = batch["ids"].to_pylist()
-    return np.frombuffer(b"".join(texts), "<u2").astype(np.int64), np.array([len(x) // 2 for x in texts])
-
-
-def _pair_counts(batches: Iterator[pa.RecordBatch], start: int) -> Iterator[pa.RecordBatch]:
-    """(group, pair, target, every): counts within each group."""
+def _key_counts(batches: Iterator[pa.RecordBatch], known: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(group, key, target, every): counts within each group."""
     now, held = None, []
 
     def flush() -> pa.RecordBatch:
-        p, t, n = _tally(*map(np.concatenate, zip(*held, strict=True)))
+        k, t, n = _tally(*map(np.concatenate, zip(*held, strict=True)))
         held.clear()
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(p), now)), pa.array(p), pa.array(t), pa.array(n)], ["group", "pair", "target", "every"],
+            [pa.array(np.full(len(k), now)), pa.array(k), pa.array(t), pa.array(n)], ["group", "key", "target", "every"],
         )
 
-    for batch in pieces(batches, "ids"):
+    for batch in pieces(batches):
         group = np.asarray(batch["group"])
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(group)]))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -106,106 +96,102 @@ def _pair_counts(batches: Iterator[pa.RecordBatch], start: int) -> Iterator[pa.R
                 yield flush()
             now = int(group[a])
             part = batch.slice(a, b - a)
-            ids, sizes = _read(part)
-            held.append((_pairs(ids, sizes, start), np.repeat(np.asarray(part["target"]), sizes), np.ones(len(ids), np.int64)))
+            sizes, keys = _keys(part["text"], known)
+            target = np.repeat(np.asarray(part["target"]), sizes)
+            held.extend(_tally(k, target, np.ones(len(k), np.int64)) for k in keys)
     if held:
         yield flush()
 
 
-def _score(batches: Iterator[pa.RecordBatch], start: int, models: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Losses of the texts of each group; its bigram counts come first."""
-    now, keys, sums = None, [], []
+def _score(batches: Iterator[pa.RecordBatch], known: np.ndarray | None, sums: tuple[int, int], slots: int) -> Iterator[pa.RecordBatch]:
+    """Losses of the texts of each group; the corpus counts of its keys come first."""
+    now, keys, seen = None, [], []
     table: tuple[np.ndarray, np.ndarray] | None = None
-    words = [(w + 1) / (w.sum() + len(w)) for w in models[:2]]
-    for batch in pieces(batches, "ids"):
+    for batch in pieces(batches):
         group, kind = np.asarray(batch["group"]), np.asarray(batch["kind"])
         cuts = np.concatenate(([0], np.flatnonzero((np.diff(group) != 0) | (np.diff(kind) != 0)) + 1, [len(group)]))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if group[a] != now:
-                now, keys, sums, table = group[a], [], [], None
+                now, keys, seen, table = group[a], [], [], None
             part = batch.slice(a, b - a)
             if kind[a] == 0:
-                keys.append(np.asarray(part["pair"]))
-                sums.append(np.stack([np.asarray(part["target"]), np.asarray(part["every"])]))
+                keys.append(np.asarray(part["key"]))
+                seen.append(np.stack([np.asarray(part["target"]), np.asarray(part["every"])]))
                 continue
             if table is None:
-                p = np.concatenate(keys) if keys else np.empty(0, np.int64)
-                order = np.argsort(p)
-                table = p[order], (np.concatenate(sums, axis=1)[:, order] if keys else np.empty((2, 0), np.int64))
-            ids, sizes = _read(part)
-            pair = _pairs(ids, sizes, start)
-            # Bigrams that the table doesn't have stand once in the corpus: here.
-            counts = np.stack([np.repeat(np.asarray(part["target"]), sizes), np.ones(len(ids), np.int64)])
-            if len(table[0]):
-                at = np.minimum(np.searchsorted(table[0], pair), len(table[0]) - 1)
-                counts = np.where(table[0][at] == pair, table[1][:, at], counts)
+                k = np.concatenate(keys) if keys else np.empty(0, np.int64)
+                order = np.argsort(k)
+                table = k[order], (np.concatenate(seen, axis=1)[:, order] if keys else np.empty((2, 0), np.int64))
+                keys, seen = [], []
+            sizes, own = _keys(part["text"], known)
+            # Keys that the table doesn't have stand once in the corpus: here.
+            once = np.stack([np.repeat(np.asarray(part["target"]), sizes), np.ones(len(own[0]), np.int64)])
+            counts = []
+            for k in own:
+                at = np.minimum(np.searchsorted(table[0], k), max(len(table[0]) - 1, 0))
+                counts.append(np.where(table[0][at] == k, table[1][:, at], once) if len(table[0]) else once)
             owner, losses = np.repeat(np.arange(len(sizes)), sizes), []
-            for seen, word, history in zip(counts, words, models[2:], strict=True):
-                chance = (seen + SMOOTHING * word[ids]) / (history[pair // (start + 1)] + SMOOTHING)
+            for total, pair, word, history in zip(sums, *counts, strict=True):
+                chance = (pair + SMOOTHING * (word + 1) / (total + slots)) / (history + SMOOTHING)
                 losses.append(np.bincount(owner, -np.log2(chance), len(sizes)) / np.maximum(sizes, 1))
             yield pa.RecordBatch.from_arrays(
-                [part["doc"], part["tag"], pa.array(sizes), pa.array(losses[0]), pa.array(losses[1])],
+                [part["doc"], part["tag"], pa.array(sizes, pa.int64()), pa.array(losses[0]), pa.array(losses[1])],
                 ["doc", "tag", "n_tokens", "target_loss", "background_loss"],
             )
 
 
 def cross_entropy_difference(
-    docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY,
+    docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None,
 ) -> DataFrame:
     """Loss per token of each text under a target and a background model, and their difference (less is more like the target).
 
     ``target`` holds the ids (column ``id_col``) of the texts that the target
     model is learnt from; the background model is learnt from all. Both are
-    bigram models over one vocabulary, the most frequent words of all texts
-    (ties by hash), backed by word models. Columns: doc_id, tag, n_tokens,
-    target_loss, background_loss, difference.
+    bigram models over the words of all texts, backed by word models. Columns:
+    doc_id, tag, n_tokens, target_loss, background_loss, difference.
+
+    Words, bigrams and histories (a bigram's first word, or the start of a
+    text) are known by 64-bit hashes and counted in one table. Texts are dealt
+    into groups of some four million tokens. A group sends each of its keys
+    once with its counts, gets the corpus counts of those that stand twice
+    anywhere, and is scored with these. Only three totals pass the driver.
 
-    Words are counted over all texts; only the vocabulary and its counts
-    (``vocabulary`` + 2 numbers each) pass the driver. Texts are then kept as
-    two-byte ids in groups of some four million. A group sends each of its
-    bigrams once with its counts, gets the corpus counts of those that stand
-    twice anywhere, and is scored with these.
+    Callers who want fewer words can give ``vocabulary``: only so many, the
+    most frequent ones (ties by hash), are told apart then, and these pass the
+    driver.
 
     Null and empty texts have no tokens and losses of 0. Ids in ``target`` may
     be null, repeat or be unknown; all rows of an id in it are target texts.
     Null ids are no targets. Repeated rows count as often as they stand there.
     Extra columns are not looked at.
     """
-    if not 0 < vocabulary < 65_000:
-        raise ValueError("vocabulary ids must fit two bytes")
     ship_package(docs.sparkSession)
     own = keyed(docs, id_col, text_col)
     counted = own.mapInArrow(_word_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "hash").limit(vocabulary).collect()
-    words = np.array([r["hash"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(words)
-    start = len(words) + 1
-    ids = own.mapInArrow(partial(_to_ids, words=words[order], order=order), "doc long, tag long, ids binary")
+    if vocabulary is None:
+        known, n_words = None, counted.count()
+    else:
+        top = counted.orderBy(F.desc("n"), "hash").limit(vocabulary).collect()
+        known, n_words = np.sort(np.array([r["hash"] for r in top], np.int64).view(np.uint64)), len(top)
     chosen = target.select(F.col(id_col).cast("bigint").alias("doc")).filter("doc is not null").distinct().withColumn("target", F.lit(1))
-    ids = ids.join(chosen, "doc", "left").withColumn("target", F.coalesce(F.col("target").cast("bigint"), F.lit(0).cast("bigint")))
-    ids = settle(ids.select("doc", "tag", "ids", "target").mapInArrow(_grouped, "doc long, tag long, ids binary, target long, group long"), "word-ids")
-
-    pairs = settle(ids.mapInArrow(partial(_pair_counts, start=start), "group long, pair long, target long, every long"), "pairs")
-    shape = F.struct(F.sum("target").alias("t"), F.sum("every").alias("n"))
-    models = []
-    for key in (F.col("pair") % (start + 1), F.floor(F.col("pair") / (start + 1))):
-        rows = pairs.groupBy(key.cast("int").alias("word")).agg(shape.alias("c")).select("word", "c.t", "c.n").collect()
-        both = np.zeros((2, start + 1), np.int64)
-        for word, t, n in rows:
-            both[:, word] = t, n
-        models.append(both)
-    whole = Window.partitionBy("pair")
-    known = pairs.select("group", "pair", F.sum("target").over(whole).alias("target"), F.sum("every").over(whole).alias("every"))
+    texts = own.join(chosen, "doc", "left").withColumn("target", F.coalesce(F.col("target").cast("bigint"), F.lit(0).cast("bigint")))
+    shape = "doc long, tag long, text string, target long, group long, n_tokens long"
+    texts = settle(texts.select("doc", "tag", "text", "target").mapInArrow(_grouped, shape), "grouped-texts")
+    totals = texts.agg(F.sum(F.col("n_tokens") * F.col("target")).alias("t"), F.sum("n_tokens").alias("n")).first()
+
+    keys = texts.select("text", "target", "group").mapInArrow(partial(_key_counts, known=known), "group long, key long, target long, every long")
+    whole = Window.partitionBy("key")
+    counts = keys.select("group", "key", F.sum("target").over(whole).alias("target"), F.sum("every").over(whole).alias("every"))
     empty = F.lit(None)
-    model_rows = known.filter("every > 1").select(
-        "group", F.lit(0).alias("kind"), "pair", "target", "every", empty.cast("bigint").alias("doc"), empty.cast("bigint").alias("tag"),
-        empty.cast("binary").alias("ids"),
+    model_rows = counts.filter("every > 1").select(
+        "group", F.lit(0).alias("kind"), "key", "target", "every", empty.cast("bigint").alias("doc"), empty.cast("bigint").alias("tag"),
+        empty.cast("string").alias("text"),
     )
-    text_rows = ids.select("group", F.lit(1).alias("kind"), empty.cast("bigint").alias("pair"), "target", empty.cast("bigint").alias("every"), "doc", "tag", "ids")
+    text_rows = texts.select("group", F.lit(1).alias("kind"), empty.cast("bigint").alias("key"), "target", empty.cast("bigint").alias("every"), "doc", "tag", "text")
     dealt = model_rows.union(text_rows).repartition("group").sortWithinPartitions("group", "kind")
-    models = [models[0][0], models[0][1], models[1][0], models[1][1]]
     scored = dealt.mapInArrow(
-        partial(_score, start=start, models=models), "doc long, tag long, n_tokens long, target_loss double, background_loss double",
+        partial(_score, known=known, sums=(totals["t"] or 0, totals["n"] or 0), slots=n_words + 2),
+        "doc long, tag long, n_tokens long, target_loss double, background_loss double",
     )
     return scored.select(
         given_id().alias("doc_id"), "tag", "n_tokens", "target_loss", "background_loss",
