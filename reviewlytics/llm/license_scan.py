@@ -2,102 +2,167 @@
 
 from __future__ import annotations
 
+import importlib.resources
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from reviewlytics.llm.rows import given_id, keyed, pieces
 from reviewlytics.runtime import ship_package
 
-#: Fixed values: (license, wording) of common public notices. Callers can give more.
-TEMPLATES = (
+#: Fixed values: (license, wording) of common public notices.
+NOTICES = (
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Released under the ISC License."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+
+
+def _full_texts() -> tuple[tuple[str, str], ...]:
+    """(license, text) of the files in ``license_texts``, read from the package, which may be an archive."""
+    folder = importlib.resources.files(__package__).joinpath("license_texts")
+    return tuple((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted(folder.iterdir(), key=lambda f: f.name))
+
+
+#: Notices and full texts. Callers can give others.
+TEMPLATES = NOTICES + _full_texts()
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 
-def bigrams(text: str) -> set[tuple[str, str]]:
-    """Distinct neighbours among the normalised words: lower case, no punctuation, one spelling of license."""
-    words = _WORD.findall(text.lower().replace("licence", "license"))
-    return set(zip(words, words[1:], strict=False))
+def normalised_words(text: str) -> list[str]:
+    """The words in lower case, no punctuation, one spelling of license."""
+    return _WORD.findall(text.lower().replace("licence", "license"))
 
 
-def units(text: str) -> Iterator[tuple[int, int, str]]:
-    """First line, number of lines and text of each line, each paragraph of several lines, and the whole text."""
-    lines = text.split("\n")
+def units(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """First line and number of lines of each line, each paragraph of several lines, and the whole text."""
     first, blocks = None, 0
     for i, line in enumerate([*lines, ""]):
         if line.strip():
             if i < len(lines):
-                yield i, 1, line
+                yield i, 1
             first = i if first is None else first
         elif first is not None:
             blocks += 1
             if i - first > 1:
-                yield first, i - first, "\n".join(lines[first:i])
+                yield first, i - first
             first = None
     if blocks > 1:
-        yield 0, len(lines), text
+        yield 0, len(lines)
 
 
 class Scanner:
     def __init__(self, templates: Sequence[tuple[str, str]], percent: int):
         self.percent = percent
-        self.sets = [(name, grams) for name, text in templates if (grams := bigrams(text))]
+        #: Per template its license, distinct bigrams and number of bigrams.
+        self.sets = []
+        for name, text in templates:
+            words = normalised_words(text)
+            if grams := set(zip(words, words[1:], strict=False)):
+                self.sets.append((name, grams, len(words) - 1))
         self.where: dict[tuple[str, str], list[int]] = {}
-        for k, (_, grams) in enumerate(self.sets):
+        for k, (_, grams, _) in enumerate(self.sets):
             for g in grams:
                 self.where.setdefault(g, []).append(k)
-        #: A unit of more bigrams than this is too large for any template.
-        self.most = max((len(g) for _, g in self.sets), default=0) * (200 - percent) // percent
+
+    def _shared(self, grams: set[tuple[str, str]], among=None) -> dict[int, int]:
+        """Per template its bigrams among ``grams``, where they are enough for the Dice coefficient of any unit."""
+        shared: dict[int, int] = {}
+        for g in grams & self.where.keys():
+            for k in self.where[g]:
+                shared[k] = shared.get(k, 0) + 1
+        return {
+            k: n for k, n in sorted(shared.items())
+            if (among is None or k in among) and (200 - self.percent) * n >= self.percent * len(self.sets[k][1])
+        }
 
     def scan(self, text: str) -> dict[str, tuple[int, int, int, int]]:
-        """Per license (2 * shared, sum of sizes, first line, lines) of its best unit; the first of equals."""
+        """Per license (2 * shared, sum of sizes, first line, lines) of its best unit or window; the first of equals, units first."""
         best: dict[str, tuple[int, int, int, int]] = {}
-        for line, lines, unit in units(text):
-            grams = bigrams(unit)
-            if len(grams) > self.most:
-                continue
-            shared: dict[int, int] = {}
-            for g in grams & self.where.keys():
-                for k in self.where[g]:
-                    shared[k] = shared.get(k, 0) + 1
-            for k, n in shared.items():
-                name, own = self.sets[k]
-                total = len(own) + len(grams)
-                # Dice can't exceed 2 * smaller / total: the size bound.
-                if 200 * min(len(own), len(grams)) < self.percent * total or 200 * n < self.percent * total:
-                    continue
-                if name not in best or 2 * n * best[name][1] > best[name][0] * total:
-                    best[name] = (2 * n, total, line, lines)
+        words = normalised_words(text)
+        pairs = list(zip(words, words[1:], strict=False))
+        # The text has all bigrams of its units and windows, so few templates are left for these.
+        alive = self._shared(set(pairs))
+        if not alive:
+            return best
+        lines = text.split("\n")
+        first = np.concatenate(([0], np.cumsum([len(normalised_words(x)) for x in lines])))
+
+        def offer(k: int, shared: int, size: int, line: int, count: int) -> None:
+            name, total = self.sets[k][0], len(self.sets[k][1]) + size
+            if 200 * shared >= self.percent * total and (name not in best or 2 * shared * best[name][1] > best[name][0] * total):
+                best[name] = (2 * shared, total, line, count)
+
+        for line, count in units(lines):
+            grams = set(pairs[first[line] : max(first[line], first[line + count] - 1)])
+            for k, n in self._shared(grams, alive).items():
+                offer(k, n, len(grams), line, count)
+        for k in alive:
+            name, own, length = self.sets[k]
+            for shared, start, end in self._windows(pairs, own, length):
+                # A window has its shared bigrams at least: no later one can be better.
+                if name in best and 2 * shared * best[name][1] <= best[name][0] * (len(own) + shared):
+                    break
+                line, last = (int(np.searchsorted(first, i, side="right")) - 1 for i in (start, end))
+                offer(k, shared, len(set(pairs[start:end])), line, last - line + 1)
         return best
 
+    def _windows(self, pairs: list[tuple[str, str]], own: set[tuple[str, str]], length: int) -> list[tuple[int, int, int]]:
+        """(shared, start, end) of the windows of ``length`` bigrams that start with one of ``own``, cut after the last such.
+
+        Those with the most shared bigrams come first. Windows with too few for
+        the Dice coefficient are left out.
+        """
+        hits = [i for i, g in enumerate(pairs) if g in own]
+        found, held, j = [], {}, 0
+        for i in hits:
+            while j < len(hits) and hits[j] < i + length:
+                held[pairs[hits[j]]] = held.get(pairs[hits[j]], 0) + 1
+                j += 1
+            if (200 - self.percent) * len(held) >= self.percent * len(own):
+                found.append((len(held), i, hits[j - 1] + 1))
+            held[pairs[i]] -= 1
+            if not held[pairs[i]]:
+                del held[pairs[i]]
+        found.sort(key=lambda x: -x[0])
+        return found
+
 
 def license_scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, percent: int = 80,
 ) -> DataFrame:
     """One row per text and license found in it: doc_id, tag, license, dice, line_no (from 0), n_lines.
 
-    Every line, every paragraph of several lines and the whole text is compared
-    with each template that shares a bigram with it and whose size allows a
-    Dice coefficient of ``percent`` / 100; the best unit of a license is given,
-    the first of equals. Templates are a list that the caller bounds. No
-    shuffle. Null and empty texts, and one-word units, match nothing. Null ids
+    Every line, every paragraph of several lines, the whole text, and every
+    window of as many words as the template (cut to its first and last bigram
+    that the template has) is compared with each template that has enough
+    bigrams in the text for a Dice coefficient of ``percent`` / 100; the best
+    of a license is given, the first of equals. Templates, short notices and
+    full texts, are a list that the caller bounds. No shuffle. Null and empty texts, and one-word units, match nothing. Null ids
     come back null, rows that repeat an id are scanned like others, and extra
     columns are not looked at.
     """
