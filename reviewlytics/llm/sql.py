@@ -66,4 +66,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, a =
 FROM broken JOIN refused ON broken.source IS NOT DISTINCT FROM refused.source
 """
 
-QUERIES = {"op1_substring_dedup": OP1, "op6_exact_dedup": OP6, "op8_quality_rules": OP8}
+#: Shares in billionths; their products have 128 bits.
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+word AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM word GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT lang, source, term, count(*) AS n FROM word JOIN kept USING (lang, term) GROUP BY lang, source, term),
+size AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+p AS (
+  SELECT grp.lang, grp.source, kept.term, coalesce(cnt.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(cnt.n, 0) + 1)) // (coalesce(t.n, 0) + size.v) AS p,
+    1 + (1000000000::HUGEINT * (kept.n + 1)) // (size.n + size.v) AS q
+  FROM grp JOIN kept USING (lang) JOIN size USING (lang) LEFT JOIN cnt USING (lang, source, term)
+    LEFT JOIN (SELECT lang, source, sum(n) AS n FROM cnt GROUP BY lang, source) t ON t.lang = grp.lang AND t.source = grp.source
+),
+pair AS (
+  SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source
+),
+every AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(pair.value, 0)::BIGINT AS value
+  FROM grp x JOIN grp y ON x.lang = y.lang AND x.source <> y.source
+    LEFT JOIN pair ON pair.lang = x.lang AND pair.source = x.source AND pair.item = y.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM p WHERE n > 0 AND p > q
+)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM every
+QUALIFY part = 'pair' OR rank <= 200
+"""
+
+QUERIES = {"op1_substring_dedup": OP1, "op6_exact_dedup": OP6, "op8_quality_rules": OP8, "op12_divergence_audit": OP12}
