@@ -1,154 +1,61 @@
-"""Logistic regression, linear SVM and NB-SVM, trained by ``pyspark.ml``.
+"""Logistic regression, linear SVM and NB-SVM: many fits in one solver; tuning and nested validation.
 
-Texts become sparse vectors by one shuffle of numbered weights. A trained model is turned into the weight table of
-:class:`reviewlytics.operators.linear.LinearModel`.
+A trained model is turned into the weight table of :class:`reviewlytics.operators.linear.LinearModel`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.feature import ElementwiseProduct
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlytics.config import PARAM_GRIDS
-from reviewlytics.functions.text import let
 from reviewlytics.operators import features as feat
 from reviewlytics.operators import naive_bayes
 from reviewlytics.operators.linear import LinearModel, score, with_prediction
+from reviewlytics.operators.solvers import TOLERANCE, Fit, SharedVectors
 from reviewlytics.runtime import lookup, settle
 
-
-@dataclass
-class TextVectors:
-    """A fitted vocabulary: ``index`` is ``term, idf, i``, of ``size`` rows."""
-
-    index: DataFrame
-    size: int
-    options: feat.VectorOptions
-
-    @staticmethod
-    def fit(docs: DataFrame, options: feat.VectorOptions) -> "TextVectors":
-        """Learn from ``docs`` (doc_id, label, tokens). The solvers hold one
-        number per term, hence the bounded vocabulary is numbered in one place."""
-        if options.max_features is None:
-            raise ValueError("solvers need a bounded vocabulary")
-        keyed = docs.withColumn("fit", F.lit("all"))
-        rows = feat.term_rows(keyed, ["fit", "doc_id", "label"], options.ngram_max)
-        sizes = settle(keyed.groupBy("fit").agg(F.count("*").alias("n_docs")), "sizes")
-        known = feat.with_idf(feat.vocabulary(rows, ["fit"], options), sizes, ["fit"], options)
-        local = known.select("term", "idf").toPandas().sort_values("term", ignore_index=True)
-        local["i"] = np.arange(len(local), dtype=np.int32)
-        index = docs.sparkSession.createDataFrame(local, "term string, idf double, i int")
-        return TextVectors(settle(index, "index"), len(local), options)
-
-    def transform(self, docs: DataFrame, keep: list[str]) -> DataFrame:
-        """``doc_id, keep..., features``, written once because solvers read it often.
-
-        Terms become numbers by a lookup; one shuffle gathers each document's
-        numbered weights, which are then scaled to unit length in their row.
-        """
-        rows = lookup(
-            feat.term_rows(docs, ["doc_id", *keep], self.options.ngram_max, outer=True), self.index, ["term"], "left"
-        )
-        weight = feat.tf_weight(F.col("tf"), self.options) * F.col("idf")
-        entry = F.when(F.col("i").isNotNull(), F.struct(F.col("i"), weight.alias("w")))
-        grouped = rows.groupBy("doc_id", *keep).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
-
-        def length(e):
-            if not self.options.normalise:
-                return F.lit(1.0)
-            return F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-
-        def vector(e, n):
-            return F.struct(
-                F.lit(0).cast("tinyint").alias("type"), F.lit(self.size).alias("size"),
-                F.transform(e, lambda x: x["i"]).alias("indices"),
-                F.transform(e, lambda x: x["w"] / n).alias("values"),
-            )
-
-        bound = let(F.col("_e"), lambda e: let(length(e), lambda n: vector(e, n)))
-        plain = grouped.select("doc_id", *keep, bound.alias("features"))
-        return _read_as_vectors(settle(plain, "vectors"), "features")
-
-
-def _read_as_vectors(settled: DataFrame, column: str) -> DataFrame:
-    """Read the struct (type, size, indices, values) of a settled table as a vector."""
-    fields = [
-        T.StructField(f.name, VectorUDT() if f.name == column else f.dataType) for f in settled.schema.fields
-    ]
-    folder = settled.inputFiles()[0].rsplit("/", 1)[0]
-    return settled.sparkSession.read.schema(T.StructType(fields)).parquet(folder)
-
-
-def ratio_vector(vectors: DataFrame, size: int, alpha: float = 1.0) -> np.ndarray:
-    """Log-count ratio of every feature: map-side sums by index, no dense rows."""
-    v = F.unwrap_udt("features")
-    entries = vectors.select("label", F.inline(F.arrays_zip(v["indices"].alias("i"), v["values"].alias("w"))))
-    sums = entries.groupBy("i").agg(
-        F.sum(F.when(F.col("label") == 1, F.col("w")).otherwise(F.lit(0.0))).alias("p"),
-        F.sum(F.when(F.col("label") == 0, F.col("w")).otherwise(F.lit(0.0))).alias("q"),
-    ).toPandas()
-    p, q = np.full(size, alpha), np.full(size, alpha)
-    p[sums["i"]] += sums["p"]
-    q[sums["i"]] += sums["q"]
-    return np.log((p / p.sum()) / (q / q.sum()))
-
-
-def scaled(vectors: DataFrame, ratio: np.ndarray) -> DataFrame:
-    product = ElementwiseProduct(scalingVec=Vectors.dense(ratio), inputCol="features", outputCol="_scaled")
-    return product.transform(vectors).drop("features").withColumnRenamed("_scaled", "features")
+#: What the solvers minimise, beside half the squared weights and intercept.
+LOSSES = {"linear_svm": "squared_hinge", "logistic_regression": "logistic", "nbsvm": "logistic"}
 
 
 def options_of(name: str) -> feat.VectorOptions:
     return feat.NBSVM if name == "nbsvm" else feat.TFIDF
 
 
-def solver(name: str, c: float, n: int, max_iter: int):
-    """The estimator whose penalty equals cost ``c`` on ``n`` documents."""
-    common = dict(featuresCol="features", labelCol="label", regParam=1.0 / (c * n), maxIter=max_iter,
-                  standardization=False)
-    if name == "linear_svm":
-        return LinearSVC(**common)
-    return LogisticRegression(elasticNetParam=0.0, **common)
+def shared_vectors(name: str, docs: DataFrame, n_sets: int = 1, n_parts: int = 1) -> SharedVectors:
+    return SharedVectors(docs, options_of(name), n_sets, n_parts, ratio=name == "nbsvm")
 
 
-def _prepared(name: str, train: DataFrame, keep: list[str]):
-    """Vectoriser, training vectors and, for NB-SVM, the ratio."""
-    vec = TextVectors.fit(train, options_of(name))
-    vectors = vec.transform(train, keep)
-    ratio = None
-    if name == "nbsvm":
-        ratio = ratio_vector(vectors, vec.size)
-        vectors = scaled(vectors, ratio)
-    return vec, vectors, ratio
+def fit_all(name: str, vectors: SharedVectors, sets: list[int], grid, tolerance: float = TOLERANCE) -> list[Fit]:
+    """A fit of each training set and grid point, sets changing fastest."""
+    if name == "naive_bayes":
+        return [f for f in vectors.naive_bayes(tuple(grid)) if f.train in sets]
+    return vectors.minimise(LOSSES[name], [Fit(i, float(c)) for c in grid for i in sets], tolerance)
 
 
-def _as_linear(name: str, vec: TextVectors, ratio, fitted, c: float, train: DataFrame) -> LinearModel:
-    coef = fitted.coefficients.toArray()
-    weight = coef * ratio if ratio is not None else coef
-    spark = train.sparkSession
-    numbered = pd.DataFrame({"i": np.arange(vec.size, dtype=np.int32), "weight": weight})
-    table = spark.createDataFrame(numbered, "i int, weight double").join(vec.index, "i")
-    weights = settle(table.select(F.lit("all").alias("fit"), "term", "idf", "weight"), "weights")
-    bias = settle(spark.createDataFrame([("all", float(fitted.intercept))], "fit string, bias double"), "bias")
-    return LinearModel(weights, bias, ["fit"], vec.options, {"model": name, "parameter": float(c)})
+def as_linear(name: str, vectors: SharedVectors, fit: Fit) -> LinearModel:
+    spark = vectors.spark
+    bias = spark.createDataFrame([("all", fit.bias)], "fit string, bias double")
+    meta = {
+        "model": name, "parameter": fit.cost, "loss": fit.loss, "gradient": fit.gradient, "gradient_at_zero": fit.gradient_at_zero,
+        "newton_steps": fit.newton_steps, "products": fit.products, "converged": fit.converged,
+    }
+    return LinearModel(settle(vectors.weight_table(fit), "weights"), bias, ["fit"], vectors.options, meta)
 
 
-def train(name: str, docs: DataFrame, c: float, max_iter: int = 100) -> LinearModel:
+def train(name: str, docs: DataFrame, c: float, tolerance: float = TOLERANCE) -> LinearModel:
     """Fit one linear model on ``docs`` (doc_id, label, tokens)."""
-    vec, vectors, ratio = _prepared(name, docs, ["label"])
-    fitted = solver(name, c, docs.count(), max_iter).fit(vectors)
-    return _as_linear(name, vec, ratio, fitted, c, docs)
+    vectors = shared_vectors(name, docs)
+    try:
+        return as_linear(name, vectors, *fit_all(name, vectors, [0], (c,), tolerance))
+    finally:
+        vectors.close()
 
 
 def train_naive_bayes(docs: DataFrame, alpha: float = 0.5) -> LinearModel:
@@ -176,81 +83,126 @@ def predict(docs: DataFrame, model: LinearModel, keep: list[str]) -> DataFrame:
     return with_prediction(score(docs.withColumn("fit", F.lit("all")), model, keep)).drop("fit")
 
 
-def _accuracy(scored: DataFrame) -> float:
-    return scored.agg(F.avg((F.col("pred") == F.col("label")).cast("double"))).first()[0]
+def leave_out(fold: str, k: int) -> dict:
+    """Columns ``trains`` and ``held`` for ``k`` sets, each of all folds but one."""
+    others = F.filter(F.array(*[F.lit(i) for i in range(k)]), lambda i: i != F.col(fold))
+    return {"trains": others, "held": F.array(F.col(fold).cast("int"))}
+
+
+def _report(fit: Fit) -> dict:
+    share = fit.gradient / fit.gradient_at_zero if fit.gradient_at_zero else 0.0
+    return {"parameter": fit.cost, "newton_steps": fit.newton_steps, "products": fit.products, "gradient_share": share, "converged": fit.converged}
 
 
-def _fold_accuracies(name: str, docs: DataFrame, fold: int, grid, max_iter: int, parallelism: int) -> list[dict]:
-    """Accuracy on one fold of every grid point trained on the others.
+def cross_validate(name: str, docs: DataFrame, k: int, grid=None, tolerance: float = TOLERANCE) -> pd.DataFrame:
+    """``fold, accuracy, parameter`` and the solver's record over ``docs`` (doc_id, label, tokens, fold).
 
-    Vocabulary, frequencies and ratio come from the training folds alone. The
-    vectors are shared; the points are fitted at the same time.
+    Vocabulary, frequencies and ratio of a fold come from the other folds
+    alone. All folds and grid points are fitted, and judged, together.
     """
-    train_docs = docs.filter(F.col("fold") != fold)
-    test_docs = docs.filter(F.col("fold") == fold)
-    if name == "naive_bayes":
-        out = []
-        for alpha in grid:
-            model = train_naive_bayes(train_docs, alpha)
-            out.append({"fold": fold, "parameter": alpha, "accuracy": _accuracy(predict(test_docs, model, ["label"]))})
-        return out
-    vec, vectors, ratio = _prepared(name, train_docs, ["label"])
-    vectors = settle(vectors, "train-vectors")
-    held_out = vec.transform(test_docs, ["label"])
-    if ratio is not None:
-        held_out = scaled(held_out, ratio)
-    held_out = settle(held_out, "test-vectors")
-    n = train_docs.count()
-
-    def one(c: float) -> dict:
-        fitted = solver(name, c, n, max_iter).fit(vectors)
-        scored = fitted.transform(held_out).withColumn("pred", F.col("prediction").cast("int"))
-        return {"fold": fold, "parameter": float(c), "accuracy": _accuracy(scored)}
-
-    with ThreadPool(parallelism) as pool:
-        out = pool.map(one, grid)
-    return out
-
-
-def cross_validate(
-    name: str, docs: DataFrame, k: int, grid=None, max_iter: int = 100, parallelism: int = 4
-) -> pd.DataFrame:
-    """``fold, parameter, accuracy`` over ``docs`` (doc_id, label, tokens, fold)."""
     points = PARAM_GRIDS[name] if grid is None else grid
-    rows = [r for fold in range(k) for r in _fold_accuracies(name, docs, fold, points, max_iter, parallelism)]
-    return pd.DataFrame(rows)
+    vectors = shared_vectors(name, docs.withColumns(leave_out("fold", k)), k)
+    try:
+        fits = fit_all(name, vectors, list(range(k)), points, tolerance)
+        right = vectors.accuracies(fits)
+    finally:
+        vectors.close()
+    return pd.DataFrame([{"fold": f.train, "accuracy": float(a), **_report(f)} for f, a in zip(fits, right, strict=True)])
 
 
 def best_parameter(runs: pd.DataFrame) -> tuple[float, float]:
     """Parameter with the highest mean accuracy (the smallest on ties), and that accuracy."""
-    means = runs.groupby("parameter")["accuracy"].mean()
+    means = runs.groupby("parameter")["accuracy"].mean().round(9)
     return float(means.idxmax()), float(means.max())
 
 
-def tune(name: str, docs: DataFrame, k: int = 5, grid=None, max_iter: int = 100) -> LinearModel:
+def tune(name: str, docs: DataFrame, k: int = 5, grid=None, tolerance: float = TOLERANCE) -> LinearModel:
     """Choose the parameter by cross-validation and refit on everything."""
-    parameter, accuracy = best_parameter(cross_validate(name, docs, k, grid, max_iter))
-    model = train_naive_bayes(docs, parameter) if name == "naive_bayes" else train(name, docs, parameter, max_iter)
+    parameter, accuracy = best_parameter(cross_validate(name, docs, k, grid, tolerance))
+    model = train_naive_bayes(docs, parameter) if name == "naive_bayes" else train(name, docs, parameter, tolerance)
     model.meta["cv_accuracy"] = accuracy
     return model
 
 
 def nested_accuracy(
-    name: str, docs: DataFrame, outer: int = 5, inner: int = 3, grid=None, max_iter: int = 100
+    name: str, docs: DataFrame, outer: int = 5, inner: int = 3, grid=None, tolerance: float = TOLERANCE
 ) -> pd.DataFrame:
     """Accuracy per outer fold of a model tuned on the other folds only.
 
-    ``docs`` has ``stratum_rank``; both levels of folds follow from it.
+    ``docs`` has ``stratum_rank``; both levels of folds follow from it. The
+    inner fits of all outer folds are one run of the solver, the refits another.
     """
-    out = []
+    points = PARAM_GRIDS[name] if grid is None else grid
     rank = F.col("stratum_rank") - 1
-    for fold in range(outer):
-        rest = docs.filter(rank % outer != fold).withColumn("fold", (F.floor(rank / outer) % inner).cast("int"))
-        held_out = docs.filter(rank % outer == fold)
-        model = tune(name, rest, inner, grid, max_iter)
-        out.append({"fold": fold, "parameter": model.meta["parameter"],
-                    "accuracy": _accuracy(predict(held_out, model, ["label"]))})
-    return pd.DataFrame(out)
+    out, own = (rank % outer).cast("int"), (F.floor(rank / outer) % inner).cast("int")
+    # Set o * inner + i: outer fold o is left out, and i of the rest; set outer * inner + o: outer fold o alone.
+    sets = [(o, i) for o in range(outer) for i in range(inner)] + [(o, None) for o in range(outer)]
+
+    def chosen(rule) -> Column:
+        return F.array_compact(F.array(*[F.when(rule(o, i), F.lit(n)) for n, (o, i) in enumerate(sets)]))
+
+    placed = docs.withColumns({
+        "trains": chosen(lambda o, i: (out != o) & (F.lit(True) if i is None else own != i)),
+        "held": chosen(lambda o, i: out == o if i is None else (out != o) & (own == i)),
+    })
+    vectors = shared_vectors(name, placed, len(sets))
+    try:
+        fits = fit_all(name, vectors, list(range(outer * inner)), points, tolerance)
+        runs = pd.DataFrame([{"outer": sets[f.train][0], "parameter": f.cost, "accuracy": a} for f, a in zip(fits, vectors.accuracies(fits), strict=True)])
+        best = [best_parameter(runs[runs["outer"] == o])[0] for o in range(outer)]
+        if name == "naive_bayes":
+            refits = [f for f in vectors.naive_bayes(tuple(points)) for o in range(outer) if f.train == outer * inner + o and f.cost == best[o]]
+        else:
+            refits = vectors.minimise(LOSSES[name], [Fit(outer * inner + o, best[o]) for o in range(outer)], tolerance)
+        right = vectors.accuracies(refits)
+    finally:
+        vectors.close()
+    return pd.DataFrame([
+        {"fold": sets[f.train][0], "accuracy": float(a), **_report(f)} for f, a in zip(refits, right, strict=True)
+    ]).sort_values("fold", ignore_index=True)
+
+
+def _slope(kind: str, label, margin):
+    """Derivative of the loss by the margin."""
+    y = F.lit(2.0) * label - F.lit(1.0)
+    if kind == "squared_hinge":
+        return F.lit(-2.0) * y * F.greatest(F.lit(0.0), F.lit(1.0) - y * margin)
+    return -y / (F.lit(1.0) + F.exp(y * margin))
+
+
+def stationarity(docs: DataFrame, model: LinearModel, kind: str, cost: float) -> DataFrame:
+    """How far a weight table is from the least penalised loss: one row, n_docs, n_terms, gradient, gradient_at_zero.
+
+    Recomputed from the table by joins and sums, without the solver: each
+    document's margin, the slope of its loss, and the slopes summed over the
+    documents of each term. A term's penalised weight is its effective weight
+    without the ratio. ``docs``: doc_id, label, tokens.
+    """
+    weights = model.weights.select("term", "idf", "ratio", "weight")
+    terms = feat.term_rows(docs, ["doc_id", "label"], model.options.ngram_max, outer=True)
+    x = feat.tf_weight(F.col("tf"), model.options) * F.col("idf")
+    rows = settle(lookup(terms, weights, ["term"], "left").select("doc_id", "label", "term", "ratio", "weight", x.alias("x")), "weighted-terms")
+    bias = model.bias.first()["bias"]
+    length = F.coalesce(F.sqrt(F.sum(F.col("x") * F.col("x"))), F.lit(1.0)) if model.options.normalise else F.lit(1.0)
+    sums = rows.groupBy("doc_id", "label").agg(F.coalesce(F.sum(F.col("x") * F.col("weight")), F.lit(0.0)).alias("dot"), length.alias("length"))
+    label = F.col("label").cast("double")
+    slopes = settle(sums.select(
+        "doc_id", "length", _slope(kind, label, F.lit(bias) + F.col("dot") / F.col("length")).alias("slope"), _slope(kind, label, F.lit(0.0)).alias("slope_0"),
+    ), "slopes")
+    known = rows.filter("x is not null").select("doc_id", "term", "ratio", "x").join(slopes, "doc_id")
+    per_term = known.groupBy("term").agg(*[
+        (F.sum(F.col("x") / F.col("length") * F.col(s) * F.col("ratio")) * F.lit(float(cost))).alias(s) for s in ("slope", "slope_0")
+    ])
+    own = F.when(F.col("ratio") == 0, F.lit(0.0)).otherwise(F.col("weight") / F.col("ratio"))
+    judged = weights.join(per_term, "term", "left").agg(
+        F.count("*").alias("n_terms"), F.sum((own + F.coalesce("slope", F.lit(0.0))) ** 2).alias("g"), F.sum(F.coalesce("slope_0", F.lit(0.0)) ** 2).alias("g_0"),
+    )
+    whole = slopes.agg(F.count("*").alias("n_docs"), F.sum("slope").alias("b"), F.sum("slope_0").alias("b_0"))
+    c = F.lit(float(cost))
+    return judged.crossJoin(whole).select(
+        "n_docs", "n_terms", F.sqrt(F.col("g") + (F.lit(bias) + c * F.col("b")) ** 2).alias("gradient"),
+        F.sqrt(F.col("g_0") + (c * F.col("b_0")) ** 2).alias("gradient_at_zero"),
+    )
 
 
 def score_with(df: DataFrame, make_predict, text: str = "text", batch_size: int = 64) -> DataFrame:
