@@ -15,7 +15,7 @@ from reviewlytics.llm import (
 )
 from reviewlytics.llm import sql as llm_sql
 from reviewlytics.llm.rows import given_id
-from reviewlytics.runtime import table
+from reviewlytics.runtime import settle, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -73,7 +73,8 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op11_chunked_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coder = (RANKS, public_tokenizers.PATTERN)
-    tokens = chunked_bpe.decode(chunked_bpe.chunked_encode(table(spark, folder, "documents"), *coder), *coder)
+    # The written ids let encoding and decoding take turns in the workers' memory.
+    tokens = chunked_bpe.decode(settle(chunked_bpe.chunked_encode(table(spark, folder, "documents"), *coder), "token-ids"), *coder)
     return tokens.select(
         given_id().alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

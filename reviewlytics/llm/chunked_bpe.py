@@ -21,6 +21,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark import TaskContext
@@ -33,6 +34,7 @@ from reviewlytics.runtime import settle, ship_package
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 16, 1 << 10
 #: Words whose ids a worker keeps, and the longest such word: some 30 MB.
 KEPT_WORDS, KEPT_CHARS = 1 << 17, 40
+DECODED_ROWS = 1024
 
 _PIECE = "doc long, tag long, row long, chunk int, ids array<int>"
 
@@ -47,9 +49,10 @@ class RankEncoder:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as file:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-        self.bytes = [b""] * (max(ranks.values()) + 1)
+        tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            self.bytes[rank] = token
+            tokens[rank] = token
+        self.bytes = pa.array(tokens, pa.binary())
         spaces = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.words = regex.compile(spaces)
         self.native = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -72,8 +75,9 @@ class RankEncoder:
             return b"".join(map(known.__getitem__, words))
         return b"".join(known.get(w) or long[w] for w in words)
 
-    def encode(self, text: str) -> bytes:
-        return self.encode_words(self.words.findall(text))
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text that begins and ends at true boundaries of its own."""
+        return self.native.encode_to_numpy(text, disallowed_special=())
 
     def boundaries(self, text: str, final: bool) -> list[int]:
         """Where words begin if one begins at 0; a match at the end may go on, unless the text is ``final``."""
@@ -89,9 +93,9 @@ def rank_encoder(path: str, pattern: str) -> RankEncoder:
     return RankEncoder(path, pattern)
 
 
-def _id_lists(encoded: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0, *(len(x) // 4 for x in encoded)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
+def _id_lists(encoded: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, encoded)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(encoded).astype(np.int32)))
 
 
 def _whole(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
@@ -140,7 +144,7 @@ def _pieces_encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str)
                 if until is not None and m.start() >= until - at:
                     break
                 words.append(m[0])
-            out.append(coder.encode_words(words))
+            out.append(np.frombuffer(coder.encode_words(words), "<u4"))
         yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc", "tag", "row", "chunk")), _id_lists(out)], ["doc", "tag", "row", "chunk", "ids"])
 
 
@@ -208,7 +212,11 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = rank_encoder(path, pattern).bytes
         for batch in batches:
-            out = [b"".join(map(known.__getitem__, ids or ())) for ids in batch["ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+            for at in range(0, batch.num_rows, DECODED_ROWS):
+                part = batch.slice(at, DECODED_ROWS)
+                size = pc.fill_null(pc.list_value_length(part["ids"]), 0)
+                ends = np.cumsum(np.concatenate(([0], np.asarray(size)))).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(ends), known.take(part["ids"].flatten()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pc.binary_join(tokens, b"")], [*part.schema.names, "decoded"])
 
     return tokens.mapInArrow(joined, shape)
