@@ -19,8 +19,22 @@ def _integer_names(distinct: DataFrame, order: list[str]) -> DataFrame:
     return distinct.sortWithinPartitions(*order).withColumn("name", F.monotonically_increasing_id())
 
 
+def text_blocks(own: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``row``, ``doc``, ``tag``, ``sha``, ``n_blocks``, ``i``, ``block``, ``h1``, ``h2``: all that is read from the texts, written once.
+
+    ``row`` tells rows apart, whatever their ids. Most texts are one block and
+    are not searched for others.
+    """
+    cut = F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % block_chars), F.lit(0))
+    parts = F.when(F.length("text") <= block_chars, F.array("text")).otherwise(cut)
+    rows = own.select(F.monotonically_increasing_id().alias("row"), "doc", "tag", F.sha2("text", 256).alias("sha"), parts.alias("parts"))
+    blocks = rows.select("row", "doc", "tag", "sha", F.size("parts").alias("n_blocks"), F.posexplode("parts").alias("i", "block"))
+    first = F.when(F.col("i") == 0, F.col("sha")).alias("sha")
+    return settle(blocks.select("row", "doc", "tag", first, "n_blocks", "i", "block", F.xxhash64("block").alias("h1"), F.xxhash64(F.lit(7), "block").alias("h2")), "blocks")
+
+
 def _block_names(blocks: DataFrame) -> DataFrame:
-    """``doc``, ``tag``, ``n_blocks``, ``i``, ``name``: equal contents have equal names, others differ.
+    """``blocks`` with ``name`` in place of content and hashes: equal contents have equal names, others differ.
 
     Contents are shuffled once, one row per map task and content; grouping
     compares them in full. Positions find their name by two hashes of the
@@ -37,34 +51,32 @@ def _block_names(blocks: DataFrame) -> DataFrame:
     return settle(found.drop(*address), "named-blocks")
 
 
-def text_names(own: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``doc``, ``tag``, ``n_blocks``, ``name`` of texts: (n_blocks, name) is equal for equal texts only.
+def text_names(blocks: DataFrame) -> DataFrame:
+    """``row``, ``doc``, ``tag``, ``sha``, ``n_blocks``, ``name`` of texts: (n_blocks, name) is equal for equal texts only.
 
     Blocks of fixed size get names; then, turn by turn, neighbouring names are
     paired and the pairs named, until one name is left per text. A text of
     2**r blocks takes r turns, and takes no part in later ones.
     """
-    parts = F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % block_chars), F.lit(0))
-    parts = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(parts)
-    blocks = (
-        own.select("doc", "tag", parts.alias("parts"))
-        .select("doc", "tag", F.size("parts").alias("n_blocks"), F.posexplode("parts").alias("i", "block"))
-        .withColumns({"h1": F.xxhash64("block"), "h2": F.xxhash64(F.lit(7), "block")})
-    )
-    line = _block_names(blocks)
-    done = line.filter("n_blocks = 1").select("doc", "tag", "n_blocks", "name")
-    line, width = line.filter("n_blocks > 1"), 1
+    blocks = _block_names(blocks)
+    text = ["row", "doc", "tag", "sha", "n_blocks"]
+    done = blocks.filter("n_blocks = 1").select(*text, "name")
+    line, width = blocks.filter("n_blocks > 1").select("row", "n_blocks", "i", "name"), 1
+    long = None
     while not line.isEmpty():
         odd = F.col("i") % 2 == 1
-        pairs = line.groupBy("doc", "tag", "n_blocks", F.shiftright("i", 1).alias("i")).agg(
+        pairs = line.groupBy("row", "n_blocks", F.shiftright("i", 1).alias("i")).agg(
             F.max(F.when(~odd, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(odd, F.col("name"))), F.lit(-1)).alias("right"),
         )
         names = settle(_integer_names(pairs.select("left", "right").distinct(), ["left", "right"]), "pair-names")
         line = settle(pairs.join(names, ["left", "right"]).drop("left", "right"), "named-pairs")
         width *= 2
-        done = done.union(line.filter(F.col("n_blocks") <= width).select("doc", "tag", "n_blocks", "name"))
+        ready = line.filter(F.col("n_blocks") <= width).select("row", "name")
+        long = ready if long is None else long.union(ready)
         line = line.filter(F.col("n_blocks") > width)
-    return done.distinct()
+    if long is None:
+        return done
+    return done.union(blocks.filter("n_blocks > 1 and i = 0").select(*text).join(long, "row").select(*text, "name"))
 
 
 def normalised(text):
@@ -85,10 +97,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     DataFrame functions only.
     """
     own = keyed(docs, id_col, text_col).withColumn("text", normalised("text"))
-    names = settle(text_names(own, block_chars), "text-names")
-    rows = own.select("doc", "tag", F.sha2("text", 256).alias("text_sha256")).join(names, ["doc", "tag"])
+    rows = settle(text_names(text_blocks(own, block_chars)), "text-names")
+    # Written, so that the join below is one of two tables, whose hot keys adaptive execution deals out.
     groups = rows.groupBy("n_blocks", "name").agg(F.max("doc").alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    groups = settle(groups, "text-groups")
     return rows.join(groups, ["n_blocks", "name"]).select(
         given_id().alias("doc_id"), "tag", given_id("keep").alias("keep_id"), "group_size",
-        (F.col("doc") == F.col("keep")).alias("kept"), "text_sha256",
+        (F.col("doc") == F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256"),
     )
