@@ -5,7 +5,9 @@ there it is the one that is compatible with the last token of the prefix before
 it. So one pass over a word stores one token per prefix; following these back
 from the end gives exactly the ids that merging would give.
 
-An Aho-Corasick automaton finds all tokens that end at each byte. Words of a
+A suffix automaton of the vocabulary finds the tokens that end at each byte: it
+holds the longest end of the prefix that stands in any token, and its suffix
+links lead on to the tokens that are ends of that, longest first. Words of a
 batch take their prefixes together, prefix by prefix. Two tokens are compatible
 if undoing their merges, latest first, never shows a pair across their border
 that would have merged earlier than a merge just undone.
@@ -16,12 +18,11 @@ from __future__ import annotations
 import functools
 import itertools
 import json
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -36,9 +37,11 @@ WORD_PATTERN = (
 )
 PLAIN_BYTES = (*range(33, 127), *range(161, 173), *range(174, 256))
 
-KEPT_WORDS = 600_000
+#: Words whose ids a worker keeps: some 20 MB a generation, of which there are two.
+KEPT_WORDS = 100_000
+BATCH_BYTES = 2 << 20
+DECODED_ROWS = 1024
 _STOPS = (".", ",", ";", ":", "!", "?")
-_BORDER = "Ā"
 _SLOTS = 1 << 20
 
 
@@ -47,8 +50,8 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in PLAIN_BYTES} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-class Encoder:
-    """The tokenizer of one file."""
+class Vocabulary:
+    """The tokens of one file: bytes and ids, special ones, and merges."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -58,32 +61,118 @@ class Encoder:
             raise ValueError(f"{path}: only byte-level BPE without normalizer or prefix blank is supported")
         byte = _byte_of_char()
         to_bytes = lambda token: bytes(byte[c] for c in token)
-        ids = {to_bytes(t): i for t, i in model["vocab"].items()}
+        self.ids = {to_bytes(t): i for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        size = max([*ids.values(), *self.special.values()]) + 1
-        self.bytes = [b""] * size
+        self.merges = [tuple(to_bytes(x) for x in (m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+        self.size = max([*self.ids.values(), *self.special.values()]) + 1
+        self.stops = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+
+    def parts(self, text: str) -> list[str]:
+        """The text between special tokens, and these."""
+        return self.stops.split(text) if self.stops and any(s in text for s in self.special) else [text]
+
+
+class SuffixAutomaton:
+    """All substrings of a set of tokens, as arrays: it is built once on the driver and sent to the workers.
+
+    A state is a class of substrings that end in the same places of tokens. A
+    token is the longest string of its state: nothing longer ends where it does.
+    ``key`` holds (state, byte) of every step, ascending, and ``to`` where it
+    leads; ``link`` the state of the longest end that is in another class,
+    ``length`` each state's longest string, ``token`` its id or -1, and ``next``
+    the nearest state along the links that is a token's, or -1.
+    """
+
+    def __init__(self, tokens: dict[bytes, int]):
+        step: list[dict[int, int]] = [{}]
+        link, length, token = [-1], [0], [-1]
+
+        def state(size: int, steps: dict[int, int], up: int) -> int:
+            step.append(steps)
+            length.append(size)
+            link.append(up)
+            token.append(-1)
+            return len(step) - 1
+
+        def split(p: int, c: int, q: int) -> int:
+            """The strings of ``q`` that ``p`` and its links reach become a state of their own."""
+            copy = state(length[p] + 1, dict(step[q]), link[q])
+            while p >= 0 and step[p].get(c) == q:
+                step[p][c] = copy
+                p = link[p]
+            link[q] = copy
+            return copy
+
+        for text, name in tokens.items():
+            last = 0
+            for c in text:
+                p, q = last, step[last].get(c)
+                if q is not None:
+                    last = q if length[q] == length[p] + 1 else split(p, c, q)
+                    continue
+                new = state(length[last] + 1, {}, 0)
+                while p >= 0 and c not in step[p]:
+                    step[p][c] = new
+                    p = link[p]
+                if p >= 0:
+                    q = step[p][c]
+                    link[new] = q if length[q] == length[p] + 1 else split(p, c, q)
+                last = new
+            token[last] = name
+        key = np.fromiter(((s << 8 | c) for s, steps in enumerate(step) for c in steps), np.int64)
+        to = np.fromiter((t for steps in step for t in steps.values()), np.int32)
+        order = np.argsort(key)
+        self.key, self.to = key[order], to[order]
+        self.link, self.length, self.token = (np.array(x, np.int32) for x in (link, length, token))
+        self.next = np.full(len(link), -1, np.int32)
+        for s in np.argsort(self.length, kind="stable")[1:].tolist():
+            up = link[s]
+            self.next[s] = up if token[up] >= 0 else self.next[up]
+
+    def advance(self, state: np.ndarray, have: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each state, and the length of the end it stands for, after one more byte."""
+        state, have = state.copy(), have.copy()
+        left = np.arange(len(state))
+        while len(left):
+            key = state[left].astype(np.int64) << 8 | byte[left]
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            found = self.key[at] == key
+            state[left[found]], have[left[found]] = self.to[at[found]], have[left[found]] + 1
+            left = left[~found]
+            # A byte that no token has leaves nothing of the prefix.
+            root = state[left] == 0
+            have[left[root]] = 0
+            left = left[~root]
+            state[left] = self.link[state[left]]
+            have[left] = self.length[state[left]]
+        return state, have
+
+
+class Encoder(Vocabulary):
+    """The tokenizer of one file."""
+
+    def __init__(self, path: str, automaton: SuffixAutomaton | None = None):
+        super().__init__(path)
+        ids, size = self.ids, self.size
+        tokens = [b""] * size
         for token, i in [*ids.items(), *((k.encode(), v) for k, v in self.special.items())]:
-            self.bytes[i] = token
-        self.length = np.array([len(t) for t in self.bytes])
+            tokens[i] = token
+        self.bytes = pa.array(tokens, pa.binary())
+        self.length = np.array([len(t) for t in tokens])
         self.left, self.right = np.arange(size), np.arange(size)
         keys, made = [], []
-        for merge in model["merges"]:
-            a, b = (to_bytes(x) for x in (merge.split(" ") if isinstance(merge, str) else merge))
+        for a, b in self.merges:
             joint = ids[a + b]
             self.left[joint], self.right[joint] = ids[a], ids[b]
             keys.append(ids[a] * size + ids[b])
             made.append(joint)
         order = np.argsort(keys)
-        self.size, self.pairs, self.made = size, np.array(keys)[order], np.array(made)[order]
-        self.automaton = ahocorasick.Automaton()
-        for token, i in ids.items():
-            self.automaton.add_word(token.decode("latin-1"), i)
-        self.automaton.make_automaton()
+        self.pairs, self.made = np.array(keys)[order], np.array(made)[order]
+        self.automaton = automaton or SuffixAutomaton(ids)
         self.words = regex.compile(WORD_PATTERN)
-        self.stops = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.known_pairs, self.known = np.full(_SLOTS, -1), np.zeros(_SLOTS, bool)
-        self.spaced: dict[str, bytes | None] = {}
-        self.bare: dict[str, bytes] = {}
+        self.spaced: tuple[dict, dict] = {}, {}
+        self.bare: tuple[dict, dict] = {}, {}
 
     def compatible(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Whether BPE leaves these tokens side by side; answers are kept by pair."""
@@ -122,44 +211,54 @@ class Encoder:
         if not words:
             return []
         raw = [w.encode() for w in words]
-        text = _BORDER + _BORDER.join(w.decode("latin-1") for w in raw)
-        found = np.fromiter(itertools.chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2)
-        end, token = found[:, 0], found[:, 1]
         lengths = np.array([len(w) for w in raw])
-        border = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]
-        depth = end - border[np.searchsorted(border, end, side="right") - 1]
-        order = np.argsort(depth, kind="stable")
-        end, token, depth = end[order], token[order], depth[order]
+        # Longest first, so that the words that reach a depth are the first ones.
+        order = np.argsort(-lengths, kind="stable")
+        lengths = lengths[order]
+        text = np.frombuffer(b"".join(raw[i] for i in order.tolist()), np.uint8)
+        start = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        # The last token of each prefix, by the place of its last byte.
         last = np.full(len(text), -1)
-        steps = np.searchsorted(depth, np.arange(1, depth[-1] + 2)) if len(depth) else np.zeros(1, int)
-        start = end - self.length[token]
-        for a, b in itertools.pairwise(steps.tolist()):
-            before, t, e = last[start[a:b]], token[a:b], end[a:b]
-            fits = before < 0
-            inner = np.flatnonzero(~fits)
-            if len(inner):
-                fits[inner] = self.compatible(before[inner], t[inner])
-            last[e[fits]] = t[fits]
-        at, owner = border + lengths, np.arange(len(words))
+        deep = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right").tolist()
+        auto, state, have = self.automaton, np.zeros(len(words), np.int32), np.zeros(len(words), np.int32)
+        for depth, n in enumerate(deep):
+            place = start[:n] + depth
+            state, have = auto.advance(state[:n], have[:n], text[place])
+            whole = (auto.token[state] >= 0) & (have == auto.length[state])
+            ends = np.where(whole, state, auto.next[state])
+            left = np.flatnonzero(ends >= 0)
+            while len(left):
+                token = auto.token[ends[left]]
+                before = depth - self.length[token]
+                fits = before < 0
+                inner = np.flatnonzero(~fits)
+                if len(inner):
+                    one = last[start[left[inner]] + before[inner]]
+                    # A prefix without a last token has bytes that no token has.
+                    fits[inner] = (one >= 0) & self.compatible(np.maximum(one, 0), token[inner])
+                last[place[left[fits]]] = token[fits]
+                left = left[~fits]
+                ends[left] = auto.next[ends[left]]
+                left = left[ends[left] >= 0]
+        at, owner = start + lengths - 1, np.arange(len(words))
         taken, whose = [], []
         while len(at):
             t = last[at]
             taken.append(t)
             whose.append(owner)
             at = at - self.length[t]
-            more = at > border[owner]
+            more = at >= start[owner]
             at, owner = at[more], owner[more]
-        flat = np.concatenate(taken[::-1])
-        by = np.argsort(np.concatenate(whose[::-1]), kind="stable")
-        ids = flat[by].astype("<u4").tobytes()
-        cuts = np.concatenate(([0], np.cumsum(np.bincount(np.concatenate(whose), minlength=len(words))))) * 4
+        flat, whose = np.concatenate(taken[::-1]), order[np.concatenate(whose[::-1])]
+        ids = flat[np.argsort(whose, kind="stable")].astype("<u4").tobytes()
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(whose, minlength=len(words))))) * 4
         return [ids[a:b] for a, b in itertools.pairwise(cuts.tolist())]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as the tokenizers library gives them without special tokens of its own."""
         parts, owner = [], []
         for i, text in enumerate(texts):
-            for piece in self.stops.split(text) if self.stops and any(s in text for s in self.special) else (text,):
+            for piece in self.parts(text):
                 parts.append(piece)
                 owner.append(i)
         out: list[list[bytes]] = [[] for _ in texts]
@@ -173,31 +272,36 @@ class Encoder:
         A part that has white space at an end, or is empty, stands beside more
         white space: its text goes through the pattern as a whole.
         """
-        if len(self.spaced) > KEPT_WORDS:
-            self.spaced.clear()
-        if len(self.bare) > KEPT_WORDS:
-            self.bare.clear()
         split = [t.split(" ") for t in texts]
-        self._learn(self.spaced, " ", set(itertools.chain.from_iterable(p[1:] for p in split)))
-        self._learn(self.bare, "", {p[0] for p in split})
+        self.spaced = self._learn(self.spaced, " ", set(itertools.chain.from_iterable(p[1:] for p in split)))
+        self.bare = self._learn(self.bare, "", {p[0] for p in split})
+        bare, spaced = self.bare[0], self.spaced[0]
         out = []
         for text, (head, *tail) in zip(texts, split, strict=True):
             if text in self.special:
                 out.append(self.special[text].to_bytes(4, "little"))
                 continue
-            ids = [self.bare[head], *map(self.spaced.__getitem__, tail)]
+            ids = [bare[head], *map(spaced.__getitem__, tail)]
             if None in ids:
                 words = self.words.findall(text)
-                own = {w: self.spaced.get(w[1:]) if w[0] == " " else None for w in words}
+                own = {w: spaced.get(w[1:]) if w[0] == " " else None for w in words}
                 new = [w for w, known in own.items() if not known]
                 own.update(zip(new, self.encode_words(new), strict=True))
                 ids = map(own.__getitem__, words)
             out.append(b"".join(ids))
         return out
 
-    def _learn(self, known: dict, lead: str, parts: set[str]) -> None:
-        """Add the ids of ``parts``; None for those that stand beside more white space."""
+    def _learn(self, held: tuple[dict, dict], lead: str, parts: set[str]) -> tuple[dict, dict]:
+        """Two generations of known parts, the younger with the ids of all ``parts``.
+
+        None stands for parts beside more white space. What isn't met while a
+        generation fills is forgotten.
+        """
+        known, older = held if len(held[0]) <= KEPT_WORDS else ({}, held[0])
         new, split = parts.difference(known), {}
+        again = new.intersection(older)
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        new -= again
         for part in new:
             if part.isalpha():
                 split[part] = (lead + part,)
@@ -217,27 +321,47 @@ class Encoder:
         table.update(zip(words, self.encode_words(words), strict=True))
         for part, its in split.items():
             known[part] = table[its[0]] if len(its) == 1 else b"".join(map(table.__getitem__, its))
+        return known, older
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, lists: pa.Array) -> pa.Array:
+        """The texts of lists of ids; bytes that aren't UTF-8 become U+FFFD. Null lists are empty texts."""
+        ends = np.cumsum(np.concatenate(([0], np.asarray(pc.fill_null(pc.list_value_length(lists), 0))))).astype(np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), self.bytes.take(lists.flatten())), b"")
+        try:
+            return joined.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """The encoder of a file, built once per Python worker."""
-    return Encoder(path)
+def automaton(path: str) -> SuffixAutomaton:
+    return SuffixAutomaton(Vocabulary(path).ids)
+
+
+_encoders: dict[str, Encoder] = {}
+
 
+def encoder(path: str, sent=None) -> Encoder:
+    """The encoder of a file, built once per Python worker; ``sent`` is its automaton, broadcast."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path, sent.value if sent else automaton(path))
+    return _encoders[path]
 
-class LibraryEncoder(Encoder):
-    """The same ids, with words that are not yet known given to tiktoken, which merges in native code."""
+
+class LibraryEncoder(Vocabulary):
+    """The same ids from tiktoken, which finds words and merges in native code."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        ranks = {t: i for i, t in enumerate(self.bytes) if t and i not in self.special.values()}
-        self.native = tiktoken.Encoding("own", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.native = tiktoken.Encoding("own", pat_str=WORD_PATTERN, mergeable_ranks=self.ids, special_tokens={})
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        return [array("I", self.native.encode_ordinary(w)).tobytes() for w in words]
+    def _part(self, part: str) -> np.ndarray:
+        if part in self.special:
+            return np.array([self.special[part]], "<u4")
+        return self.native.encode_to_numpy(part, disallowed_special=())
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in ([self._part(p) for p in self.parts(t)] for t in texts)]
 
 
 @functools.lru_cache(maxsize=4)
@@ -245,7 +369,7 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def encoded(batch: pa.RecordBatch, coder: Encoder, column: str = "text") -> list[np.ndarray]:
+def encoded(batch: pa.RecordBatch, coder: Encoder | LibraryEncoder, column: str = "text") -> list[np.ndarray]:
     return [np.frombuffer(x, "<u4") for x in coder.encode(batch[column].to_pylist())]
 
 
@@ -257,10 +381,11 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     looked at.
     """
     ship_package(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(automaton(path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            ids = encoded(batch, encoder(path))
+        for batch in pieces(batches, limit=BATCH_BYTES):
+            ids = encoded(batch, encoder(path, sent))
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate(ids).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -271,13 +396,19 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 
 def bpe_decode(tokens: DataFrame, path: str) -> DataFrame:
-    """``tokens`` with ``decoded``: the text of its column ``ids``; bytes that aren't UTF-8 become U+FFFD."""
+    """``tokens`` with ``decoded``: the text of its column ``ids``; bytes that aren't UTF-8 become U+FFFD.
+
+    Null and empty lists give empty texts. All other columns stay, whatever
+    their names; repeated rows are rows like others. No shuffle.
+    """
     ship_package(tokens.sparkSession)
-    shape = f"{', '.join(f'{c} {t}' for c, t in tokens.dtypes)}, decoded string"
+    sent = tokens.sparkSession.sparkContext.broadcast(automaton(path))
+    shape = f"{', '.join(f'`{c}` {t}' for c, t in tokens.dtypes)}, decoded string"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [encoder(path).decode(ids or ()) for ids in batch["ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            for at in range(0, batch.num_rows, DECODED_ROWS):
+                part = batch.slice(at, DECODED_ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns, encoder(path, sent).decode(part["ids"])], [*part.schema.names, "decoded"])
 
     return tokens.mapInArrow(decode, shape)

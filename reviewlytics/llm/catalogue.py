@@ -27,7 +27,8 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    tokens = bpe.bpe_decode(bpe.bpe_encode(table(spark, folder, "documents"), TOKENIZER), TOKENIZER)
+    # The written ids let encoding and decoding take turns in the workers' memory.
+    tokens = bpe.bpe_decode(settle(bpe.bpe_encode(table(spark, folder, "documents"), TOKENIZER), "token-ids"), TOKENIZER)
     return tokens.select(
         F.col("doc").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

@@ -147,7 +147,7 @@ def write_tokens(
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = library_encoder(tokenizer), TaskContext.get().partitionId()
-        depth = max(len(coder.bytes) - 1, end_id).bit_length()
+        depth = max(coder.size - 1, end_id).bit_length()
         number, held, have = 0, [], 0
 
         def close() -> pa.RecordBatch:
