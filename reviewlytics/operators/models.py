@@ -6,6 +6,7 @@ A trained model is turned into the weight table of :class:`reviewlytics.operator
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
@@ -91,7 +92,7 @@ def leave_out(fold: str, k: int) -> dict:
 
 def _report(fit: Fit) -> dict:
     share = fit.gradient / fit.gradient_at_zero if fit.gradient_at_zero else 0.0
-    return {"parameter": fit.cost, "newton_steps": fit.newton_steps, "products": fit.products, "gradient_share": share, "converged": fit.converged}
+    return {"parameter": fit.cost, "n_docs": fit.n_docs, "n_features": fit.n_features, "newton_steps": fit.newton_steps, "products": fit.products, "gradient_share": share, "converged": fit.converged}
 
 
 def cross_validate(name: str, docs: DataFrame, k: int, grid=None, tolerance: float = TOLERANCE) -> pd.DataFrame:
@@ -162,6 +163,51 @@ def nested_accuracy(
     ]).sort_values("fold", ignore_index=True)
 
 
+@dataclass
+class Tuned:
+    """A model chosen by cross-validation, refitted on all training rows; ``runs`` are its folds and grid points."""
+
+    model: LinearModel
+    runs: pd.DataFrame
+    parameter: float
+    cv_accuracy: float
+    accuracy: float
+
+
+def tune_all(docs: DataFrame, k: int = 5, names=tuple(PARAM_GRIDS), grids=None, tolerance: float = TOLERANCE) -> dict[str, Tuned]:
+    """Every model tuned on the training rows of one split, and its accuracy on the rest.
+
+    ``docs``: doc_id, label, tokens, ``part`` (train or test), ``fold`` (0 to
+    k - 1, read for training rows). Models of one vocabulary share its vectors;
+    folds, grid points and refits are sets of the same documents.
+    """
+    grids = grids or PARAM_GRIDS
+    train, none = F.col("part") == "train", F.array().cast("array<int>")
+    others = F.concat(leave_out("fold", k)["trains"], F.array(F.lit(k)))
+    placed = docs.withColumns({
+        "trains": F.when(train, others).otherwise(none),
+        "held": F.when(train, F.array(F.col("fold").cast("int"))).otherwise(F.array(F.lit(k))),
+    })
+    out: dict[str, Tuned] = {}
+    for shared in ([n for n in names if n != "nbsvm"], [n for n in names if n == "nbsvm"]):
+        if not shared:
+            continue
+        vectors = shared_vectors(shared[0], placed, k + 1)
+        try:
+            for name in shared:
+                fits = fit_all(name, vectors, list(range(k)), grids[name], tolerance)
+                accuracy = vectors.accuracies(fits)
+                runs = pd.DataFrame([{"fold": f.train, "accuracy": float(a), **_report(f)} for f, a in zip(fits, accuracy, strict=True)])
+                parameter, cv_accuracy = best_parameter(runs)
+                refit = fit_all(name, vectors, [k], (parameter,), tolerance)
+                model = as_linear(name, vectors, *refit)
+                model.meta["cv_accuracy"] = cv_accuracy
+                out[name] = Tuned(model, runs, parameter, cv_accuracy, float(vectors.accuracies(refit)[0]))
+        finally:
+            vectors.close()
+    return out
+
+
 def _slope(kind: str, label, margin):
     """Derivative of the loss by the margin."""
     y = F.lit(2.0) * label - F.lit(1.0)

@@ -172,7 +172,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], vocabulary, options: feat.VectorO
         value = np.ones(len(tf)) if options.binary else 1.0 + np.log(tf) if options.sublinear_tf else tf
         end = np.concatenate(([0], np.cumsum(found)))[np.cumsum(size)]
         term = np.asarray(term.drop_null(), np.int32)
-        label, place = np.asarray(batch["label"], np.int8), np.asarray(batch["part"], np.int32)
+        label, place = np.asarray(batch["label"], np.int8), np.asarray(batch["slice"], np.int32)
         trains, held = (_members(batch[c], n_sets) for c in ("trains", "held"))
         at = 0
         while at < batch.num_rows:
@@ -208,6 +208,8 @@ class Fit:
     newton_steps: int = 0
     products: int = 0
     converged: bool = False
+    n_docs: int = 0
+    n_features: int = 0
 
 
 class SharedVectors:
@@ -215,7 +217,7 @@ class SharedVectors:
 
     ``docs``: label, tokens or counted terms, and ``trains``, the numbers (0,
     1, ...) of the training sets that a document is in. Optional: ``held``, the
-    sets that it is held out for, and ``part``, the number of a slice that
+    sets that it is held out for, and ``slice``, the number of a part that
     accuracies are told apart by. The vocabulary of each set,
     ``options.max_features`` terms at most, and one number per set and term are
     held by the driver and sent to the workers; documents never are.
@@ -232,7 +234,7 @@ class SharedVectors:
         self.options, self.n_sets, self.n_parts = options, n_sets, n_parts
         self.ratio: np.ndarray | None = None
         none = F.array().cast("array<int>")
-        docs = docs.withColumns({c: d for c, d in (("trains", F.array(F.lit(0))), ("held", none), ("part", F.lit(0))) if c not in docs.columns})
+        docs = docs.withColumns({c: d for c, d in (("trains", F.array(F.lit(0))), ("held", none), ("slice", F.lit(0))) if c not in docs.columns})
         if f"terms_{options.ngram_max}" not in docs.columns:
             docs = feat.count_terms(docs, options.ngram_max)
         inside = [F.count_if(F.array_contains("trains", i)).alias(f"n{i}") for i in range(n_sets)]
@@ -267,7 +269,7 @@ class SharedVectors:
             weights = self._log_shares(p, alpha) - self._log_shares(q, alpha)
             for i, (n, m) in enumerate(zip(positive, negative, strict=True)):
                 bias = ONE_CLASS if m == 0 else -ONE_CLASS if n == 0 else float(np.log(n / m))
-                fits.append(Fit(i, alpha, weights[:, i], bias, converged=True))
+                fits.append(Fit(i, alpha, weights[:, i], bias, converged=True, n_docs=int(n + m), n_features=int((self.idf[:, i] > 0).sum())))
         return fits
 
     def _vocabularies(self, docs: DataFrame) -> tuple[pa.Array, np.ndarray]:
@@ -299,7 +301,7 @@ class SharedVectors:
         context = self.spark.sparkContext
         vocabulary, squares = context.broadcast(self.vocabulary), context.broadcast(self.idf * self.idf)
         stored = docs.select(
-            F.col("label").cast("tinyint").alias("label"), F.col("part").cast("int").alias("part"), "trains", "held",
+            F.col("label").cast("tinyint").alias("label"), F.col("slice").cast("int").alias("slice"), "trains", "held",
             F.col(f"terms_{self.options.ngram_max}").alias("terms"),
         ).mapInArrow(
             partial(_blocks, vocabulary=vocabulary, options=self.options, n_sets=self.n_sets), ", ".join(f"{c} binary" for c in _STORED),
@@ -396,6 +398,7 @@ class SharedVectors:
         for i, f in enumerate(fits):
             f.weights, f.bias, f.loss, f.gradient = theta[:-1, i].copy(), float(theta[-1, i]), float(value[i]), float(now[i])
             f.converged = bool(now[i] <= tolerance * at_zero[i])
+            f.n_docs, f.n_features = int(self.n_docs[f.train]), int((self.idf[:, f.train] > 0).sum())
 
     def _steihaug(self, state, fits, scale, cost, gradient, root, radius, share):
         """Conjugate gradients on the quadratic model of each fit, in units of ``root``, within ``radius``."""
@@ -431,9 +434,6 @@ class SharedVectors:
     def _of(state: dict, some: np.ndarray) -> dict:
         return state | {"sets": state["sets"][some], "weights": np.ascontiguousarray(state["weights"][:, some]), "bias": state["bias"][some]}
 
-    def features(self, fit: Fit) -> int:
-        return int((self.idf[:, fit.train] > 0).sum())
-
     def weight_table(self, fit: Fit) -> DataFrame:
         """``fit, term, idf, ratio, weight``: what a term of weight ``idf`` adds to the margin, ratio included."""
         known = np.flatnonzero(self.idf[:, fit.train] > 0)

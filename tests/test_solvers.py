@@ -118,7 +118,7 @@ def test_nested_validation(spark, docs):
 
 def test_groups_of_fits_and_parts(spark, docs, monkeypatch):
     monkeypatch.setattr("reviewlytics.operators.solvers.PASS_BYTES", 1)
-    placed = docs.withColumns({"held": F.array(F.lit(0)), "part": F.col("fold")})
+    placed = docs.withColumns({"held": F.array(F.lit(0)), "slice": F.col("fold")})
     vectors = SharedVectors(placed, features.TFIDF, 1, 3)
     fits = vectors.minimise("logistic", [Fit(0, 1.0), Fit(0, 8.0)])
     right, n = vectors.hits(fits)
@@ -129,5 +129,5 @@ def test_groups_of_fits_and_parts(spark, docs, monkeypatch):
 def test_capped_vocabulary_of_each_set(spark, docs):
     options = features.VectorOptions(max_features=12)
     vectors = SharedVectors(docs.withColumns(models.leave_out("fold", 3)), options, 3)
-    assert [vectors.features(Fit(i, 1.0)) for i in range(3)] == [12, 12, 12]
+    assert [f.n_features for f in vectors.naive_bayes((1.0,))] == [12, 12, 12]
     vectors.close()
