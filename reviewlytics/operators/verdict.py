@@ -7,6 +7,10 @@ of one film in one task.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +19,14 @@ from reviewlytics.functions.hashing import hash_number, seeded_hash
 from reviewlytics.functions.stats import share_interval
 from reviewlytics.operators.ranking import rank_by_hash, rounded_score, running_totals
 from reviewlytics.operators.sampling import k_per_group, one_per_group
+from reviewlytics.runtime import lookup, settle
 
 POSITIVE = 0.5
 TRIM_PERCENT = 10
 SMALLEST_TRIMMED = 5
+#: Largest film that is drawn review by review; score cells of a larger one, and its draws held at a time.
+IN_ROW = 2_000
+CELLS, DRAWS_AT_ONCE = 4_096, 256
 
 
 def check_rule(rule: str) -> str:
@@ -64,28 +72,80 @@ def rule_scores(scored: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def resample(scored: DataFrame, film: str, n_boot: int, seed=SEED) -> DataFrame:
-    """``n_boot`` draws with replacement per film: ``film, draw, score`` rows.
+def _drawn_in_row(numbered: DataFrame, film: str, n_boot: int, seed) -> DataFrame:
+    """``film`` and the three rules of every draw: films of at most IN_ROW reviews.
 
-    Every review casts one pick per draw: a hash chooses the number, 0 to
-    n - 1, of a review of the same film. Picks meet scores by (film, number),
-    so the picks of a large film are spread over all tasks.
+    A film is one row of scores by number. Every review casts one pick per
+    draw: a hash chooses the number of a review of the same film. Picks are
+    looked up and pooled in the row, so nothing is shuffled but the reviews.
     """
-    numbered = rank_by_hash(scored.select(film, "doc_id", "score"), [film], "doc_id", seed, "_number", "_n")
-    draws = F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("draw")
-    digest = seeded_hash(seed, film, "draw", "doc_id")
-    picks = (
-        numbered.select(film, "doc_id", "_n", draws)
-        .select(film, "draw", (hash_number(digest) % F.col("_n") + 1).alias("_number"))
-    )
-    return picks.join(numbered.select(film, "_number", "score"), [film, "_number"]).select(
-        film, "draw", "score"
+    review = F.struct("_number", F.col("doc_id").cast("string").alias("doc"), rounded_score(F.col("score")).alias("score"))
+    cores = numbered.sparkSession.sparkContext.defaultParallelism
+    films = numbered.groupBy(film).agg(F.sort_array(F.collect_list(review)).alias("_r"))
+    films = films.select(film, F.size("_r").alias("_n"), F.col("_r.doc").alias("_docs"), F.col("_r.score").alias("_scores")).repartition(cores, film)
+    n, score = F.col("_n"), F.col("_s")
+
+    def pick(doc: Column) -> Column:
+        return F.get("_scores", (hash_number(seeded_hash(seed, film, "draw", doc)) % n).cast("int"))
+
+    draws = films.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("draw"))
+    draws = draws.select(film, "_n", F.array_sort(F.transform("_docs", pick)).alias("_s"))
+    low = F.get(score, F.ceil((n - 1) * TRIM_PERCENT / F.lit(100)).cast("int"))
+    high = F.get(score, F.floor((n - 1) * (100 - TRIM_PERCENT) / F.lit(100)).cast("int"))
+    total = lambda scores: F.aggregate(scores, F.lit(0.0), lambda x, y: x + y)
+    draws = draws.withColumn("_kept", F.when(n < SMALLEST_TRIMMED, score).otherwise(F.filter(score, lambda x: (x >= low) & (x <= high))))
+    return draws.select(
+        film, (F.size(F.filter(score, lambda x: x >= F.lit(POSITIVE))) / n).alias("majority"),
+        (total(score) / n).alias("mean_probability"), (total("_kept") / F.size("_kept")).alias("trimmed_mean"),
     )
 
 
-def bootstrap_intervals(scored: DataFrame, film: str = "film_id", n_boot: int = 2_000, seed=SEED) -> DataFrame:
-    """95% percentile intervals of all rules: ``film, <rule>_low, <rule>_high``."""
-    stats = rule_scores(resample(scored, film, n_boot, seed), [film, "draw"])
+def _drawn_by_cells(film: str, n_boot: int, seed):
+    """Draws of a large film from the counts of its score cells: (film, three rules) per draw.
+
+    One draw with replacement is a multinomial over the cells, which NumPy
+    splits cell by cell with conditional binomials. Its work does not grow with
+    the film. Scores within a cell count with the cell's mean.
+    """
+    def draw(cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values("cell")
+        count, mean, positive = (cells[c].to_numpy(float) for c in ("n", "mean", "positive"))
+        total = int(cells["n"].sum())
+        name = cells[film].iloc[0]
+        source = np.random.Generator(np.random.Philox(int(hashlib.md5(f"{seed}:{name}".encode()).hexdigest()[:16], 16)))
+        low, high = -(-(total - 1) * TRIM_PERCENT // 100), (total - 1) * (100 - TRIM_PERCENT) // 100
+        out = []
+        for at in range(0, n_boot, DRAWS_AT_ONCE):
+            drawn = source.multinomial(total, count / count.sum(), min(DRAWS_AT_ONCE, n_boot - at))
+            end = np.cumsum(drawn, axis=1)
+            kept = np.maximum(np.minimum(end, high + 1) - np.maximum(end - drawn, low), 0)
+            out.append(np.column_stack(((drawn @ positive) / total, (drawn @ mean) / total, (kept @ mean) / kept.sum(axis=1))))
+        return pd.DataFrame(np.concatenate(out), columns=list(RULES)).assign(**{film: name})[[film, *RULES]]
+
+    return draw
+
+
+def bootstrap_intervals(
+    scored: DataFrame, film: str = "film_id", n_boot: int = 2_000, seed=SEED, in_row: int | None = None
+) -> DataFrame:
+    """95% percentile intervals of all rules: ``film, <rule>_low, <rule>_high``.
+
+    Films of at most ``in_row`` reviews are drawn review by review, larger ones
+    as multinomials over CELLS score cells, where a draw's sampling error is far
+    above a cell's width. Neither shuffles reviews x draws.
+    """
+    bound = IN_ROW if in_row is None else in_row
+    rows = scored.select(film, "doc_id", "score")
+    sizes = settle(rows.groupBy(film).agg(F.count("*").alias("_n")), "film-sizes")
+    numbered = rank_by_hash(lookup(rows, sizes.filter(F.col("_n") <= bound).select(film), [film]), [film], "doc_id", seed, "_number", "_n")
+    cell = F.least(F.floor(F.col("score") * F.lit(float(CELLS))), F.lit(CELLS - 1)).alias("cell")
+    cells = lookup(rows, sizes.filter(F.col("_n") > bound).select(film), [film]).groupBy(film, cell).agg(
+        F.count("*").alias("n"), F.avg("score").alias("mean"), F.avg((F.col("score") >= F.lit(POSITIVE)).cast("double")).alias("positive"),
+    )
+    shape = f"{film} {rows.schema[film].dataType.simpleString()}, " + ", ".join(f"{r} double" for r in RULES)
+    stats = _drawn_in_row(numbered, film, n_boot, seed).select(film, *RULES).unionByName(
+        cells.groupBy(film).applyInPandas(_drawn_by_cells(film, n_boot, seed), shape)
+    )
     ends = F.array(F.lit(0.025), F.lit(0.975))
     wide = stats.groupBy(film).agg(*[F.percentile(rule, ends).alias(rule) for rule in RULES])
     return wide.select(film, *[
@@ -113,7 +173,7 @@ def film_verdicts(
 
     Majority votes need no resampling: their interval is binomial and comes
     from two counts, so the whole verdict is a single aggregation. The other
-    rules resample, which costs reviews x ``n_boot`` hashed picks.
+    rules resample.
     """
     check_rule(method)
     rows = group_scores(scored, film)

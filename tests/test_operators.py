@@ -212,6 +212,22 @@ def test_verdicts(spark):
     assert "NEGATIVE" not in lines["clear"] and "not statistically decisive" in lines["split"]
 
 
+def test_large_films_have_the_interval_of_small_ones(spark):
+    rng = np.random.default_rng(8)
+    df = films(spark, {"even": rng.random(150), "high": rng.beta(5, 2, 400), "ties": rng.choice([0.2, 0.5, 0.9], 300)})
+    rows, cells = (
+        {r.film_id: r for r in verdict.bootstrap_intervals(df, n_boot=2_000, in_row=n).collect()} for n in (1_000, 0)
+    )
+    for name, one in rows.items():
+        for rule in verdict.RULES:
+            for end in ("low", "high"):
+                a, b = one[f"{rule}_{end}"], cells[name][f"{rule}_{end}"]
+                width = one[f"{rule}_high"] - one[f"{rule}_low"]
+                assert abs(a - b) <= 0.15 * width + (0.02 if name == "ties" else 0.002), (name, rule, end)
+    again = {r.film_id: r for r in verdict.bootstrap_intervals(df.repartition(5), n_boot=2_000, in_row=0).collect()}
+    assert {k: tuple(round(x, 9) for x in v[1:]) for k, v in cells.items()} == {k: tuple(round(x, 9) for x in v[1:]) for k, v in again.items()}
+
+
 def test_length_bins_keep_ties_together(spark):
     words = [1] * 30 + [2] * 30 + [3, 4, 5, 6, 7, 8, 9, 10] * 5
     df = spark.createDataFrame([(i, w, 1, 1) for i, w in enumerate(words)], "doc_id int, words int, label int, pred int")
