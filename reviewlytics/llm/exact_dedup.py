@@ -19,36 +19,36 @@ def _integer_names(distinct: DataFrame, order: list[str]) -> DataFrame:
     return distinct.sortWithinPartitions(*order).withColumn("name", F.monotonically_increasing_id())
 
 
-def text_blocks(own: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``row``, ``doc``, ``tag``, ``sha``, ``n_blocks``, ``i``, ``block``, ``h1``, ``h2``: all that is read from the texts, written once.
+def text_blocks(own: DataFrame, block_chars: int) -> DataFrame:
+    """Blocks of all texts with two hashes each; ``row`` tells rows apart, whatever their ids, once it is written.
 
-    ``row`` tells rows apart, whatever their ids. Most texts are one block and
-    are not searched for others.
+    Most texts are one block and are not searched for others.
     """
     cut = F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % block_chars), F.lit(0))
     parts = F.when(F.length("text") <= block_chars, F.array("text")).otherwise(cut)
     rows = own.select(F.monotonically_increasing_id().alias("row"), "doc", "tag", F.sha2("text", 256).alias("sha"), parts.alias("parts"))
     blocks = rows.select("row", "doc", "tag", "sha", F.size("parts").alias("n_blocks"), F.posexplode("parts").alias("i", "block"))
-    first = F.when(F.col("i") == 0, F.col("sha")).alias("sha")
-    return settle(blocks.select("row", "doc", "tag", first, "n_blocks", "i", "block", F.xxhash64("block").alias("h1"), F.xxhash64(F.lit(7), "block").alias("h2")), "blocks")
+    return blocks.withColumns({"h1": F.xxhash64("block"), "h2": F.xxhash64(F.lit(7), "block")})
 
 
 def _block_names(blocks: DataFrame) -> DataFrame:
-    """``blocks`` with ``name`` in place of content and hashes: equal contents have equal names, others differ.
+    """``row``, ``doc``, ``tag``, ``sha``, ``n_blocks``, ``i``, ``name``: equal contents have equal names, others differ.
 
-    Contents are shuffled once, one row per map task and content; grouping
-    compares them in full. Positions find their name by two hashes of the
-    content. Should these ever be equal for two contents, positions find it by
-    the content itself.
+    Texts are read twice, once for what is known of each block and once for
+    contents, which are shuffled once, one row per map task and content;
+    grouping compares them in full. Positions find their name by two hashes of
+    the content. Should these ever be equal for two contents, positions find it
+    by the content itself.
     """
     address = ["h1", "h2"]
+    first = F.when(F.col("i") == 0, F.col("sha")).alias("sha")
+    places = settle(blocks.select("row", "doc", "tag", first, "n_blocks", "i", *address), "blocks")
     named = _integer_names(blocks.select(*address, "block").distinct(), ["block"])
     names = settle(named.select(*address, "name"), "block-names")
-    if names.groupBy(*address).count().filter("count > 1").isEmpty():
-        found = blocks.drop("block").join(names, address)
-    else:
-        found = blocks.join(settle(named, "block-names"), [*address, "block"]).drop("block")
-    return settle(found.drop(*address), "named-blocks")
+    if not names.groupBy(*address).count().filter("count > 1").isEmpty():
+        places = settle(blocks.select("row", "doc", "tag", first, "n_blocks", "i", *address, "block"), "blocks")
+        names, address = settle(named, "block-names"), [*address, "block"]
+    return settle(places.join(names, address).drop(*address), "named-blocks")
 
 
 def text_names(blocks: DataFrame) -> DataFrame:
