@@ -23,6 +23,11 @@ SHARD_TOKENS = 1 << 20
 _HEAD = struct.Struct("<4sIQ")
 
 
+def _cell(depth: int) -> type:
+    """The number type of ids of so many bits while they move through the planes."""
+    return np.uint16 if depth <= 16 else np.uint32
+
+
 class WaveletMatrix:
     """A sequence of ids as one bit-plane per bit, highest first, each with the ones counted every RANK_BITS bits.
 
@@ -50,16 +55,20 @@ class WaveletMatrix:
 
     @staticmethod
     def build(ids: np.ndarray, depth: int) -> bytes:
-        blocks = len(ids) // RANK_BITS + 1
-        out, now = [_HEAD.pack(MAGIC, depth, len(ids))], np.asarray(ids, np.uint32)
+        size, blocks = len(ids), len(ids) // RANK_BITS + 1
+        out, now = [_HEAD.pack(MAGIC, depth, size)], np.asarray(ids, _cell(depth))
         for level in range(depth - 1, -1, -1):
-            one = (now >> np.uint32(level) & 1).astype(bool)
-            bits = np.zeros(blocks * RANK_BITS, bool)
-            bits[: len(one)] = one
-            ones = bits.reshape(blocks, RANK_BITS).sum(axis=1)
+            one = now & now.dtype.type(1 << level) != 0
+            bits = np.zeros(blocks * RANK_BITS // 8, np.uint8)
+            bits[: -(-size // 8)] = np.packbits(one)
+            ones = np.bitwise_count(bits.view(np.uint64)).reshape(blocks, -1).sum(axis=1, dtype=np.int64)
             table = np.concatenate(([0], np.cumsum(ones)[:-1])).astype("<u4")
-            now = np.concatenate((now[~one], now[one]))
-            out += [int(len(one) - one.sum()).to_bytes(8, "little"), table.tobytes(), np.packbits(bits).tobytes()]
+            zeros = size - int(ones.sum())
+            after = np.empty_like(now)
+            after[zeros:] = now[one]
+            after[:zeros] = now[np.logical_not(one, out=one)]
+            now = after
+            out += [zeros.to_bytes(8, "little"), table.tobytes(), bits.tobytes()]
         return b"".join(out)
 
     def _rank(self, plane: int, i: int) -> int:
@@ -121,14 +130,15 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids in their order: from the lowest plane up, each undoes its partition."""
-        now = np.zeros(self.size, np.uint32)
+        now = np.zeros(self.size, _cell(self.depth))
         for plane in range(self.depth - 1, -1, -1):
-            one = np.unpackbits(self.bits[plane], count=self.size).astype(bool)
-            up = np.empty(self.size, np.uint32)
-            up[~one] = now[: self.zeros[plane]]
-            up[one] = now[self.zeros[plane] :] | np.uint32(1 << (self.depth - 1 - plane))
+            one, zeros = np.unpackbits(self.bits[plane], count=self.size).view(bool), self.zeros[plane]
+            now[zeros:] |= now.dtype.type(1 << (self.depth - 1 - plane))
+            up = np.empty_like(now)
+            up[one] = now[zeros:]
+            up[np.logical_not(one, out=one)] = now[:zeros]
             now = up
-        return now
+        return now.astype(np.uint32)
 
 
 def write_tokens(
