@@ -14,7 +14,7 @@ counts.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import partial
 
 import numpy as np
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from reviewlytics.operators import features as feat
 from reviewlytics.operators.naive_bayes import ONE_CLASS
+from reviewlytics.operators.ranking import SCORE_DIGITS
 from reviewlytics.runtime import settle, ship_package
 
 #: Nonzero counts in a block of documents; a pass holds so many numbers per fit at a time.
@@ -57,13 +58,22 @@ class Block:
         self.by_column = row[order], self.value[order]
         self.columns, self.column_start = np.unique(self.term[order], return_index=True)
 
-    def times(self, matrix: np.ndarray) -> np.ndarray:
-        """Counts (documents x terms) times ``matrix`` (terms x fits)."""
+    def measure(self, squares: np.ndarray, normalise: bool) -> None:
+        """Set the lengths; ``squares``: each term's squared idf under each training set, 0 where it is unknown."""
+        if normalise:
+            length = np.sqrt(self.times(squares, self.value * self.value))
+            self.length = np.where(length > 0, length, 1.0)
+        else:
+            self.length = np.ones((len(self.label), squares.shape[1]))
+
+    def times(self, matrix: np.ndarray, value: np.ndarray | None = None) -> np.ndarray:
+        """Counts (documents x terms), or other values in their places, times ``matrix`` (terms x fits)."""
+        value = self.value if value is None else value
         out = np.zeros((len(self.label), matrix.shape[1]))
         start = np.concatenate(([0], self.row_end[:-1]))
         full = np.flatnonzero(self.row_end > start)
         if len(full):
-            out[full] = np.add.reduceat(matrix[self.term] * self.value[:, None], start[full], axis=0)
+            out[full] = np.add.reduceat(matrix[self.term] * value[:, None], start[full], axis=0)
         return out
 
     def add_transposed(self, rows: np.ndarray, out: np.ndarray, square: bool = False) -> None:
@@ -84,6 +94,11 @@ def _losses(kind: str, y: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, n
     return np.logaddexp(0.0, -z), -y * p, p * (1.0 - p)
 
 
+def _logistic(margin: np.ndarray) -> np.ndarray:
+    """Scores, with the digits that all scores keep."""
+    return np.round(1.0 / (1.0 + np.exp(-np.maximum(margin, -700.0))), SCORE_DIGITS)
+
+
 def _margins(block: Block, state: dict) -> np.ndarray:
     return block.times(state["weights"]) / block.length[:, state["sets"]] + state["bias"]
 
@@ -133,7 +148,7 @@ def _hits(block: Block, state: dict, out: list[np.ndarray] | None) -> list[np.nd
     shape = state["parts"], state["weights"].shape[1]
     out = out or [np.zeros(shape), np.zeros(shape)]
     mask = block.held[:, state["sets"]].astype(bool)
-    right = ((_margins(block, state) >= 0) == (block.label[:, None] == 1)) & mask
+    right = ((_logistic(_margins(block, state)) >= 0.5) == (block.label[:, None] == 1)) & mask
     for part in np.unique(block.part).tolist():
         out[0][part] += right[block.part == part].sum(axis=0)
         out[1][part] += mask[block.part == part].sum(axis=0)
@@ -143,6 +158,68 @@ def _hits(block: Block, state: dict, out: list[np.ndarray] | None) -> list[np.nd
 _STORED = {"label": np.int8, "part": np.int32, "trains": np.uint8, "held": np.uint8, "row_end": np.int64, "term": np.int32, "value": np.float64}
 
 
+def _over_blocks(blocks: Iterator[Block], step, state) -> Iterator[list[np.ndarray]]:
+    out = None
+    for block in blocks:
+        out = step(block, state.value, out)
+    if out is not None:
+        yield out
+
+
+def _members(lists: pa.Array, n_sets: int) -> np.ndarray:
+    """One byte per document and set: whether the set is in the document's list."""
+    out = np.zeros((len(lists), n_sets), np.uint8)
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    out[np.repeat(np.arange(len(lists)), size), np.asarray(lists.flatten())] = 1
+    return out
+
+
+def _decoded(batch: pa.RecordBatch, known: pa.Array, options: feat.VectorOptions) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Known terms of a batch's documents as numbers, BLOCK_COUNTS or one document at a time: (from, to, ends, terms, values)."""
+    lists = batch["terms"]
+    flat = lists.flatten()
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    term = pc.index_in(flat.field("term"), value_set=known)
+    found = np.asarray(term.is_valid())
+    tf = np.asarray(flat.field("tf").cast(pa.float64()))[found]
+    value = np.ones(len(tf)) if options.binary else 1.0 + np.log(tf) if options.sublinear_tf else tf
+    end = np.concatenate(([0], np.cumsum(found)))[np.cumsum(size)]
+    term = np.asarray(term.drop_null(), np.int32)
+    at = 0
+    while at < batch.num_rows:
+        before = int(end[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(end, before + BLOCK_COUNTS)))
+        yield at, to, end[at:to] - before, term[before : end[to - 1]], value[before : end[to - 1]]
+        at = to
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], vocabulary, options: feat.VectorOptions, n_sets: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        label, place = np.asarray(batch["label"], np.int8), np.asarray(batch["slice"], np.int32)
+        trains, held = (_members(batch[c], n_sets) for c in ("trains", "held"))
+        for at, to, *counts in _decoded(batch, vocabulary.value, options):
+            parts = (label[at:to], place[at:to], trains[at:to], held[at:to], *counts)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], list(_STORED))
+
+
+def _scores(batches: Iterator[pa.RecordBatch], vocabulary, squares, state, options: feat.VectorOptions, n_sets: int, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """The scores of held-out documents, under all fits of their sets at once."""
+    sets = state.value["sets"]
+    for batch in batches:
+        held = _members(batch["held"], n_sets)
+        for at, to, end, term, value in _decoded(batch, vocabulary.value, options):
+            none = np.zeros(to - at, np.int8)
+            block = Block(none, none, held[at:to], held[at:to], end, term, value)
+            block.measure(squares.value, options.normalise)
+            row, fit = np.nonzero(held[at:to][:, sets])
+            margin = _margins(block, state.value)[row, fit]
+            columns = [batch[c].take(pa.array(row + at)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(fit, pa.int32()), pa.array(_logistic(margin))], [*keep, "number", "score"])
+
+
+_STORED = {"label": np.int8, "part": np.int32, "trains": np.uint8, "held": np.uint8, "row_end": np.int64, "term": np.int32, "value": np.float64}
+
+
 def _over_blocks(blocks: Iterator[Block], step, state) -> Iterator[list[np.ndarray]]:
     out = None
     for block in blocks:
@@ -184,13 +261,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], vocabulary, options: feat.VectorO
 
 
 def _read_block(row, squares, normalise: bool) -> Block:
-    """``squares``: each term's squared idf under each training set, 0 where it is unknown."""
     block = Block(*(np.frombuffer(bytes(x), kind) for x, kind in zip(row, _STORED.values(), strict=True)))
-    if normalise:
-        length = np.sqrt(replace(block, value=block.value * block.value).times(squares.value))
-        block.length = np.where(length > 0, length, 1.0)
-    else:
-        block.length = np.ones((len(block.label), squares.value.shape[1]))
+    block.measure(squares.value, normalise)
     return block
 
 
@@ -306,8 +378,9 @@ class SharedVectors:
         ).mapInArrow(
             partial(_blocks, vocabulary=vocabulary, options=self.options, n_sets=self.n_sets), ", ".join(f"{c} binary" for c in _STORED),
         )
+        self._sent = vocabulary, squares
         # Blocks that a lost executor held are made again from the documents.
-        blocks = settle(stored, "blocks").rdd.map(partial(_read_block, squares=squares, normalise=self.options.normalise))
+        blocks = stored.rdd.map(partial(_read_block, squares=squares, normalise=self.options.normalise))
         return blocks.persist(StorageLevel.MEMORY_AND_DISK)
 
     def close(self) -> None:
@@ -341,6 +414,28 @@ class SharedVectors:
         right, docs = self.hits(fits)
         return right.sum(axis=0) / np.maximum(docs.sum(axis=0), 1)
 
+    def scores(self, docs: DataFrame, fits: list[Fit], keep: list[str]) -> DataFrame:
+        """``keep..., number, score``: each document under every fit (its place in ``fits``) whose set is in its ``held``.
+
+        A document's terms are looked up and weighed once for all fits, in its
+        task; nothing is shuffled.
+        """
+        ready = f"terms_{self.options.ngram_max}"
+        if ready not in docs.columns:
+            docs = feat.count_terms(docs, self.options.ngram_max)
+        docs = docs.select(*keep, "held", F.col(ready).alias("terms"))
+        shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", number int, score double"
+        out = None
+        for some in self._groups(fits):
+            theta = np.stack([np.append(fits[i].weights, fits[i].bias) for i in some], axis=1)
+            state = self.spark.sparkContext.broadcast(self._state("", [fits[i] for i in some], theta))
+            vocabulary, squares = self._sent
+            found = docs.mapInArrow(partial(
+                _scores, vocabulary=vocabulary, squares=squares, state=state, options=self.options, n_sets=self.n_sets, keep=keep,
+            ), shape).withColumn("number", F.col("number") + some[0])
+            out = found if out is None else out.unionByName(found)
+        return out
+
     def _groups(self, fits: list[Fit]) -> list[list[int]]:
         size = max(1, PASS_BYTES // (8 * (len(self.idf) + 1)))
         return [list(range(a, min(a + size, len(fits)))) for a in range(0, len(fits), size)]

@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlytics.config import TRAIN_SIZE_LADDER
-from reviewlytics.operators import naive_bayes, sampling
-from reviewlytics.operators.features import count_terms
-from reviewlytics.operators.linear import LinearModel, score, with_prediction
+from reviewlytics.operators import models, sampling
+from reviewlytics.operators.features import TFIDF, count_terms
+from reviewlytics.operators.linear import LinearModel, with_prediction
 from reviewlytics.operators.normalise import RAW, normalise
 from reviewlytics.operators.reports import corpus_words
 from reviewlytics.runtime import settled_once, ship_package, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
-FOLDS = 3
+FOLDS = 5
 #: Draws per size of the ladder; all rows are drawn once.
 CURVE_DRAWS = {size: 5 if size <= 2_500 else 3 for size in TRAIN_SIZE_LADDER}
 
@@ -119,26 +119,28 @@ def one_fit(docs: DataFrame) -> DataFrame:
     return docs.withColumn("fit", F.lit("all"))
 
 
-def fold_training(folded: DataFrame, k: int = FOLDS) -> DataFrame:
-    """Each document once per fold it does not belong to, as ``fit``."""
-    others = F.filter(F.array(*[F.lit(i) for i in range(k)]), lambda i: i != F.col("fold"))
-    return folded.select("*", F.explode(others).alias("fit"))
-
-
 def full_model(spark: SparkSession, folder: str) -> LinearModel:
     """Naive Bayes on all reviews."""
-    model = None
-
     def weights() -> DataFrame:
-        nonlocal model
-        docs = model_columns(one_fit(review_tokens(spark, folder)))
-        model = naive_bayes.fit(docs, ["fit"], (ALPHA,))
-        return model.weights.join(model.bias, "fit")
+        vectors = models.shared_vectors("naive_bayes", review_tokens(spark, folder))
+        model = models.as_linear("naive_bayes", vectors, *vectors.naive_bayes((ALPHA,)))
+        vectors.close()
+        return model.weights.crossJoin(F.broadcast(model.bias.select("bias")))
 
     both = settled_once(spark, folder, "full-model", weights)
-    options = naive_bayes.feat.TFIDF
     bias = both.groupBy("fit").agg(F.first("bias").alias("bias"))
-    return LinearModel(both.select("fit", "term", "idf", "weight"), bias, ["fit"], options)
+    return LinearModel(both.select("fit", "term", "idf", "weight"), bias, ["fit"], TFIDF)
+
+
+def fold_scores(folded: DataFrame, k: int, alphas: tuple[float, ...], keep: list[str]) -> DataFrame:
+    """``keep..., fold, alpha, score, pred``: every review under the Naive Bayes models of the folds it is not in."""
+    placed = folded.withColumns(models.leave_out("fold", k))
+    vectors = models.shared_vectors("naive_bayes", placed, k)
+    fits = vectors.naive_bayes(alphas)
+    vectors.close()
+    alpha = F.element_at(F.array(*[F.lit(float(f.cost)) for f in fits]), F.col("number") + 1)
+    scored = vectors.scores(placed, fits, [*keep, "fold"])
+    return with_prediction(scored.select(*keep, "fold", alpha.alias("alpha"), "score"))
 
 
 def out_of_fold(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,12 +149,8 @@ def out_of_fold(spark: SparkSession, folder: str) -> DataFrame:
     ``doc_id, film_id, corpus, label, score, pred``; all folds in one job.
     """
     def build() -> DataFrame:
-        folded = folded_tokens(spark, folder)
-        train = model_columns(fold_training(folded))
-        model = naive_bayes.fit(train, ["fit"], (ALPHA,))
-        target = folded.withColumn("fit", F.col("fold"))
-        scored = score(target, model, ["film_id", "corpus", "label"])
-        return with_prediction(scored).drop("fit")
+        keep = ["doc_id", "film_id", "corpus", "label"]
+        return fold_scores(folded_tokens(spark, folder), FOLDS, (ALPHA,), keep).drop("fold", "alpha")
 
     return settled_once(spark, folder, "out-of-fold", build)
 

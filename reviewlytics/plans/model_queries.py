@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlytics.config import SEED
 from reviewlytics.functions import text as tx
-from reviewlytics.operators import evaluate, linear, naive_bayes, reports, sampling
+from reviewlytics.operators import evaluate, linear, models, naive_bayes, reports, sampling
 from reviewlytics.operators.features import VectorOptions
 from reviewlytics.operators.lexicon import lexicon_scores
 from reviewlytics.operators.normalise import RECIPES, Recipe, normalise
 from reviewlytics.plans import sql as s
 from reviewlytics.plans.base import (
-    curve_draws, curve_plan_sql,
-    ALPHA, Registry, derived_lemmas, fold_training, folded_tokens, full_model, model_columns, one_fit, out_of_fold,
+    ALPHA, Registry, curve_draws, curve_plan_sql, derived_lemmas, fold_scores, folded_tokens, full_model, one_fit, out_of_fold,
     review_tokens, reviews,
 )
 from reviewlytics.runtime import settle, settled_once, table
@@ -113,14 +113,13 @@ def _(spark, folder):
 
 
 # -- lexicon ------------------------------------------------------------------------ #
-MIN_LEXICON_COUNT = 20
 LEXICON = f"""marked AS MATERIALIZED (SELECT doc_id, label, {s.negated('tokens')} AS tokens FROM review_tokens),
 word_counts AS MATERIALIZED (
   SELECT word, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg
   FROM (SELECT label, unnest(tokens) AS word FROM review_tokens) GROUP BY word),
 lexicon AS MATERIALIZED (
   SELECT word, round(ln((pos + 1.0) / (neg + 1.0)) - ln((SELECT sum(pos) FROM word_counts) / (SELECT sum(neg) FROM word_counts)), 3) AS valence
-  FROM word_counts WHERE pos + neg >= {MIN_LEXICON_COUNT}),
+  FROM word_counts),
 hits AS (
   SELECT m.doc_id, sum(CASE WHEN m.token LIKE '%\\_NEG' ESCAPE '\\' THEN -valence ELSE valence END) AS x
   FROM (SELECT doc_id, unnest(tokens) AS token FROM marked) m JOIN lexicon ON word = {s.bare('m.token')} GROUP BY m.doc_id),
@@ -137,7 +136,7 @@ def derived_lexicon(spark, folder) -> DataFrame:
     ))
     odds = counts.agg(F.log(F.sum("pos") / F.sum("neg")).alias("o")).scalar()
     valence = F.log((F.col("pos") + F.lit(1.0)) / (F.col("neg") + F.lit(1.0))) - odds
-    return settle(counts.filter(F.col("pos") + F.col("neg") >= MIN_LEXICON_COUNT).select(
+    return settle(counts.select(
         "word", F.round(valence, 3).alias("valence")
     ), "lexicon")
 
@@ -168,19 +167,12 @@ CV_SCORED = s.with_(s.REVIEWS, s.LABELLED, s.TOKENS, CV, s.naive_bayes("nb", "fo
 def cross_validated(spark, folder) -> DataFrame:
     """Every review scored out of fold for every smoothing value."""
     def build():
-        folded = folded_tokens(spark, folder, K)
-        model = naive_bayes.fit(model_columns(fold_training(folded, K)), ["fit"], ALPHAS, vary_alpha=True)
-        return _score_grid(folded.withColumn("fit", F.col("fold")), model, ["label"])
+        scored = fold_scores(folded_tokens(spark, folder, K), K, ALPHAS, ["doc_id", "label"])
+        return scored.withColumnRenamed("fold", "fit")
 
     return settled_once(spark, folder, "cross-validated", build)
 
 
-def _score_grid(docs: DataFrame, model: linear.LinearModel, keep: list[str]) -> DataFrame:
-    """Score documents of each fit with every alpha of the grid."""
-    grid = model.bias.select("fit", "alpha").distinct()
-    return linear.with_prediction(linear.score(docs.join(grid, "fit"), model, keep))
-
-
 @add("tuned_smoothing", CV_SCORED + s.rounded("""
     SELECT alpha, avg(accuracy) AS cv_accuracy, min(accuracy) AS worst_fold, max(accuracy) AS best_fold FROM (
       SELECT alpha, fit, avg(CAST(pred = label AS DOUBLE)) AS accuracy FROM cv GROUP BY alpha, fit) GROUP BY alpha""",
@@ -192,14 +184,15 @@ def _(spark, folder):
     )
 
 
-BEST = "alpha=0.5"
 PREDICTIONS = f"""predictions AS MATERIALIZED (
   SELECT 'alpha=' || alpha AS model, doc_id, label, pred FROM cv
   UNION ALL SELECT 'lexicon', doc_id, label, CAST(compound >= 0 AS INTEGER) FROM lexicon_scored),
+best AS (
+  SELECT model AS best FROM predictions GROUP BY model ORDER BY avg(CAST(pred = label AS INTEGER)) DESC, model DESC LIMIT 1),
 pairs AS (
-  SELECT p.model, count(*) FILTER (b.pred = b.label AND p.pred <> p.label) AS n01,
+  SELECT p.model, any_value(best) AS best, count(*) FILTER (b.pred = b.label AND p.pred <> p.label) AS n01,
     count(*) FILTER (b.pred <> b.label AND p.pred = p.label) AS n10
-  FROM predictions p JOIN predictions b USING (doc_id) WHERE b.model = '{BEST}' AND p.model <> '{BEST}' GROUP BY p.model)"""
+  FROM predictions p JOIN predictions b USING (doc_id), best WHERE b.model = best AND p.model <> best GROUP BY p.model)"""
 
 
 def predictions(spark, folder) -> DataFrame:
@@ -211,10 +204,10 @@ def predictions(spark, folder) -> DataFrame:
 
 
 @add("mcnemar_against_best", CV_SCORED.rstrip() + ",\n" + LEXICON + ",\n" + PREDICTIONS + s.rounded(f"""
-    SELECT '{BEST} vs ' || model AS comparison, n01, n10, p_value, p_value < 0.05 AS significant_at_05
+    SELECT best || ' vs ' || model AS comparison, n01, n10, p_value, p_value < 0.05 AS significant_at_05
     FROM (SELECT *, {s.mcnemar_p('n01', 'n10')} AS p_value FROM pairs)""", "p_value"))
 def _(spark, folder):
-    return evaluate.mcnemar(predictions(spark, folder), BEST)
+    return evaluate.mcnemar(predictions(spark, folder))
 
 
 @add("model_comparison", CV_SCORED.rstrip() + ",\n" + LEXICON + ",\n" + PREDICTIONS + s.rounded("""
@@ -371,18 +364,19 @@ def learning_curve(spark, folder) -> DataFrame:
         total = pool.count()
         drawn = sampling.stratified_subsamples(pool, curve_draws(total), total)
         drawn = settle(drawn.select("doc_id", F.concat_ws("/", "train_size", "draw").alias("fit")), "drawn")
-        train = model_columns(tokens.join(drawn, "doc_id"))
-        model = naive_bayes.fit(train, ["fit"], ALPHAS, vary_alpha=True)
-        held_out = tokens.filter("part = 'test'").drop("part")
-        fits = model.bias.agg(F.collect_set("fit").alias("fits")).scalar()
-        scored = _score_grid(held_out.withColumn("fit", F.explode(fits)), model, ["label"])
-        size = model.weights.groupBy("fit", "alpha").agg(F.count("*").cast("double").alias("n_features"))
-        runs = scored.groupBy("fit", "alpha").agg(F.avg(reports.right()).alias("accuracy")).join(size, ["fit", "alpha"])
-        return reports.learning_curve(runs.select(
-            F.concat(F.lit("alpha="), F.col("alpha").cast("string")).alias("model"),
-            F.split("fit", "/")[0].cast("int").alias("train_size"), "accuracy", "n_features",
-            F.col("alpha").alias("parameter"),
-        ))
+        names = [f"{size}/{draw}" for size, n in curve_draws(total).items() for draw in range(n)]
+        number = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("fit")) - 1
+        sets = drawn.groupBy("doc_id").agg(F.collect_list(number.cast("int")).alias("trains"))
+        held = F.when(F.col("part") == "test", F.array(*[F.lit(i) for i in range(len(names))])).otherwise(F.array().cast("array<int>"))
+        placed = settle(tokens.join(sets, "doc_id", "left").withColumn("held", held), "curve-tokens")
+        vectors = models.shared_vectors("naive_bayes", placed, len(names))
+        fits = vectors.naive_bayes(ALPHAS)
+        runs = pd.DataFrame([
+            {"model": f"alpha={f.cost}", "train_size": int(names[f.train].split("/")[0]), "accuracy": float(a), "n_features": float(f.n_features), "parameter": f.cost}
+            for f, a in zip(fits, vectors.accuracies(fits), strict=True)
+        ])
+        vectors.close()
+        return reports.learning_curve(spark.createDataFrame(runs, "model string, train_size int, accuracy double, n_features double, parameter double"))
 
     return settled_once(spark, folder, "learning-curve", build)
 
@@ -411,7 +405,7 @@ def _(spark, folder):
     return reports.label_efficiency(learning_curve(spark, folder))
 
 
-TRANSFER_FOLDS = 3
+TRANSFER_FOLDS = 5
 TRANSFER = f"""{s.folds(TRANSFER_FOLDS)},
 home AS MATERIALIZED (SELECT t.doc_id, t.label, t.corpus, t.tokens, fold FROM review_tokens t JOIN folds USING (doc_id)),
 t_train AS MATERIALIZED (
@@ -434,24 +428,27 @@ def _(spark, folder):
     """Each corpus' model on every other corpus, against cross-validation at home."""
     k = TRANSFER_FOLDS
     home = folded_tokens(spark, folder, k)
-    inner = fold_training(home, k).withColumn("fit", F.concat_ws("/", "corpus", "fit"))
-    train = model_columns(home.withColumn("fit", F.col("corpus"))).unionByName(model_columns(inner))
-    model = naive_bayes.fit(train, ["fit"], (ALPHA,))
-    corpora = home.agg(F.collect_set("corpus").alias("c")).scalar()
-    target = home.withColumn("evaluated_on", F.col("corpus"))
-    abroad = target.withColumn("fit", F.explode(corpora)).filter("fit <> corpus")
-    at_home = target.withColumn("fit", F.concat_ws("/", "corpus", "fold"))
-    cols = ["fit", "doc_id", "label", "terms_2", "evaluated_on"]
-    scored = linear.with_prediction(linear.score(
-        abroad.select(cols).unionByName(at_home.select(cols)), model, ["label", "evaluated_on"]
-    ))
-    scored = settle(scored, "transfer")
-    metrics = scored.filter(~F.contains("fit", F.lit("/"))).groupBy(F.col("fit").alias("trained_on"), "evaluated_on").agg(
-        F.count("*").alias("n"), F.avg(reports.right()).alias("accuracy")
-    )
-    reference = scored.filter(F.contains("fit", F.lit("/"))).groupBy("evaluated_on").agg(
-        F.avg(reports.right()).alias("reference_accuracy")
-    )
+    corpora = [r[0] for r in home.select("corpus").distinct().orderBy("corpus").collect()]
+    # Set c is a corpus; set n + c * k + fold is a corpus without one of its folds.
+    n, every = len(corpora), F.array(*[F.lit(c) for c in corpora])
+    own = (F.array_position(every, F.col("corpus")) - 1).cast("int")
+    inner = F.transform(models.leave_out("fold", k)["trains"], lambda i: n + own * k + i)
+    abroad = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: c != own)
+    placed = settle(home.select(
+        "label", "terms_2", own.alias("slice"), F.concat(F.array(own), inner).alias("trains"),
+        F.concat(abroad, F.array(n + own * k + F.col("fold"))).alias("held"),
+    ), "transfer-tokens")
+    vectors = models.shared_vectors("naive_bayes", placed, n * (k + 1), n)
+    fits = vectors.naive_bayes((ALPHA,))
+    right, docs = vectors.hits(fits)
+    vectors.close()
+    rows = [
+        (corpora[f.train], corpora[c], int(docs[c, i]), float(right[c, i] / docs[c, i]))
+        for i, f in enumerate(fits) if f.train < n for c in range(n) if docs[c, i]
+    ]
+    metrics = spark.createDataFrame(rows, "trained_on string, evaluated_on string, n long, accuracy double")
+    own_folds = [(corpora[c], float(right[c, n + c * k : n + c * k + k].sum() / docs[c, n + c * k : n + c * k + k].sum())) for c in range(n)]
+    reference = spark.createDataFrame(own_folds, "evaluated_on string, reference_accuracy double")
     return reports.transfer_table(metrics, reference)
 
 
