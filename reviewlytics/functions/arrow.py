@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +50,33 @@ def stem_tokens(tokens: Column) -> Column:
     return _stem(tokens)
 
 
+def replace_tokens(docs: DataFrame, table: DataFrame, column: str = "tokens") -> DataFrame:
+    """``docs`` with the tokens that ``table`` (surface, value; each surface once) holds replaced; negation marks are kept.
+
+    The table is sent to the workers as it is: its size is for the caller to
+    check. Tokens of a batch are looked up as numbers of its distinct tokens.
+    """
+    found = table.toArrow()
+    surfaces, values = (pa.array(found[i].to_pylist(), pa.string()) for i in (0, 1))
+    sent = docs.sparkSession.sparkContext.broadcast((surfaces, values))
+
+    def replaced(batches):
+        surfaces, values = sent.value
+        for batch in batches:
+            tokens = batch[column]
+            flat = pc.dictionary_encode(tokens.flatten())
+            own = flat.dictionary
+            marked = pc.ends_with(own, "_NEG")
+            bare = pc.if_else(marked, pc.utf8_slice_codeunits(own, 0, -4), own)
+            value = pc.coalesce(values.take(pc.index_in(bare, value_set=surfaces)), bare)
+            value = pc.if_else(marked, pc.binary_join_element_wise(value, "_NEG", ""), value).take(flat.indices)
+            ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(tokens), 0)).to_pylist()
+            lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), value, mask=tokens.is_null())
+            yield pa.RecordBatch.from_arrays([lists if c == column else batch[c] for c in batch.schema.names], batch.schema.names)
+
+    return docs.mapInArrow(replaced, docs.schema)
+
+
 def decode_entities(text: Column) -> Column:
     """Every HTML5 entity of every text; null stays null."""
     return _unescape(text)

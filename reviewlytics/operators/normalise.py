@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlytics.functions import text as tx
-from reviewlytics.functions.arrow import stem_tokens
-from reviewlytics.runtime import lookup
+from reviewlytics.functions.arrow import replace_tokens, stem_tokens
+from reviewlytics.runtime import BROADCAST_BYTES, measured_bytes, settle
 
 
 @dataclass(frozen=True)
@@ -65,26 +65,37 @@ def filtered_tokens(cleaned, recipe: Recipe):
     return tokens
 
 
+def composed_lemmas(lemmas: DataFrame) -> DataFrame:
+    """``surface, lemma`` of the dictionary: the verb lemma, then the noun lemma of that.
+
+    ``lemmas`` is ``surface, pos ('v' or 'n'), lemma``. Of several lemmas of a
+    surface and part of speech the first by name counts.
+    """
+    first = lemmas.groupBy("surface", "pos").agg(F.min("lemma").alias("lemma"))
+    verbs = first.filter("pos = 'v'").select("surface", F.col("lemma").alias("_mid"))
+    nouns = first.filter("pos = 'n'").select(F.col("surface").alias("_mid"), F.col("lemma").alias("_noun"))
+    both = verbs.join(nouns.withColumnRenamed("_mid", "surface"), "surface", "full").withColumn("_mid", F.coalesce("_mid", "surface"))
+    return both.drop("_noun").join(nouns, "_mid", "left").select("surface", F.coalesce("_noun", "_mid").alias("lemma"))
+
+
 def lemmatise(docs: DataFrame, lemmas: DataFrame, keys: list[str]) -> DataFrame:
     """Replace each token by its verb lemma, then by the noun lemma of that.
 
-    ``lemmas`` is ``surface, pos ('v' or 'n'), lemma``, one lemma per surface
-    and part of speech. Tokens without an entry stay. ``keys`` identify a row
-    of ``docs``. One shuffle, by row, puts the tokens back in order; the
-    lookups are broadcast joins as long as the table is small enough.
+    Verb and noun lemmas are composed on the dictionary, once. A composed
+    dictionary of measured size is sent to all tasks, where each text's tokens
+    are looked up as numbers; texts are not shuffled. A larger one is joined:
+    one shuffle, by row, puts the tokens back in order. Tokens without an entry
+    stay. ``keys`` identify a row of ``docs``.
     """
+    composed = settle(composed_lemmas(lemmas), "composed-lemmas")
+    if measured_bytes(composed) <= BROADCAST_BYTES:
+        return replace_tokens(docs, composed)
     rest = [c for c in docs.columns if c != "tokens" and c not in keys]
-    verbs = lemmas.filter("pos = 'v'").select(F.col("surface").alias("_bare"), F.col("lemma").alias("_verb"))
-    nouns = lemmas.filter("pos = 'n'").select(F.col("surface").alias("_mid"), F.col("lemma").alias("_noun"))
     spread = docs.select(*keys, *rest, F.posexplode_outer("tokens").alias("_pos", "_token"))
-    bare = spread.withColumn("_bare", tx.bare(F.col("_token")))
-    found = (
-        lookup(lookup(bare, verbs, ["_bare"], "left").withColumn("_mid", F.coalesce("_verb", "_bare")),
-               nouns, ["_mid"], "left")
-        .withColumn("_new", F.concat(
-            F.coalesce("_noun", "_mid"), F.when(F.endswith("_token", F.lit("_NEG")), "_NEG").otherwise("")
-        ))
-    )
+    bare = spread.withColumn("surface", tx.bare(F.col("_token")))
+    found = bare.join(composed.hint("merge"), "surface", "left").withColumn("_new", F.concat(
+        F.coalesce("lemma", "surface"), F.when(F.endswith("_token", F.lit("_NEG")), "_NEG").otherwise("")
+    ))
     ordered = F.sort_array(F.collect_list(
         F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos").alias("p"), F.col("_new").alias("t")))
     ))

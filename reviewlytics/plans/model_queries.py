@@ -17,6 +17,7 @@ from reviewlytics.plans.base import (
     ALPHA, Registry, curve_draws, curve_plan_sql, derived_lemmas, fold_scores, folded_tokens, full_model, one_fit, out_of_fold,
     review_tokens, reviews,
 )
+from reviewlytics.plans.text_queries import LEMMA_CTES, STEM_CTES
 from reviewlytics.runtime import settle, settled_once, table
 
 registry = Registry()
@@ -232,16 +233,40 @@ SQL_RECIPES = {
     "sw-keepneg": RECIPES["sw-keepneg"],
     "sw-keepneg+negmark": Recipe(normalisation="none", negation_marking=True),
 }
-_STEPS = f"""cleaned AS MATERIALIZED (SELECT doc_id, label, {s.tokenize(s.clean('text'))} AS tk FROM reviews),
+_MARKS = f"""cleaned AS MATERIALIZED (SELECT doc_id, label, {s.tokenize(s.clean('text'))} AS tk FROM reviews),
 with_marks AS MATERIALIZED (SELECT doc_id, label, {s.long_enough('tk')} AS tk, {s.negated('tk')} AS mk FROM cleaned),
 marks AS MATERIALIZED (SELECT doc_id, label, tk, {s.long_enough('mk')} AS mk FROM with_marks),
-recipes AS MATERIALIZED (
-  SELECT 'raw' AS fit, doc_id, label, tk AS tokens FROM marks
-  UNION ALL SELECT 'sw-naive', doc_id, label, {s.without_stops('tk', False)} FROM marks
-  UNION ALL SELECT 'sw-keepneg', doc_id, label, {s.without_stops('tk', True)} FROM marks
-  UNION ALL SELECT 'sw-keepneg+negmark', doc_id, label, {s.without_stops('mk', True)} FROM marks),
-r_train AS MATERIALIZED (SELECT fit, doc_id, label, tokens FROM recipes JOIN (SELECT doc_id FROM split WHERE part = 'train') USING (doc_id)),
-r_test AS MATERIALIZED (SELECT fit, doc_id, label, tokens FROM recipes JOIN (SELECT doc_id FROM split WHERE part = 'test') USING (doc_id))"""
+naive AS MATERIALIZED (SELECT doc_id, label, {s.without_stops('tk', False)} AS tokens FROM marks),
+aware AS MATERIALIZED (SELECT doc_id, label, {s.without_stops('tk', True)} AS tokens FROM marks),
+marked AS MATERIALIZED (SELECT doc_id, label, {s.without_stops('mk', True)} AS tokens FROM marks),
+whole AS MATERIALIZED (SELECT doc_id, label, tk AS tokens FROM marks)"""
+
+
+def _recipes_sql(relations: dict[str, str]) -> str:
+    """CTEs ``recipes``, ``r_train`` and ``r_test`` from a relation (doc_id, label, tokens) per recipe."""
+    made = " UNION ALL ".join(f"SELECT '{name}' AS fit, doc_id, label, tokens FROM {relation}" for name, relation in relations.items())
+    parts = ",\n".join(
+        f"r_{part} AS MATERIALIZED (SELECT fit, doc_id, label, tokens FROM recipes JOIN (SELECT doc_id FROM split WHERE part = '{part}') USING (doc_id))"
+        for part in ("train", "test")
+    )
+    return f"recipes AS MATERIALIZED ({made}),\n{parts}"
+
+
+_STEPS = _MARKS + ",\n" + _recipes_sql({"raw": "whole", "sw-naive": "naive", "sw-keepneg": "aware", "sw-keepneg+negmark": "marked"})
+_KEYS = "doc_id, label"
+_ALL_STEPS = ",\n".join([
+    _MARKS, STEM_CTES, LEMMA_CTES,
+    """lemma_map AS MATERIALIZED (
+  SELECT word, coalesce(n.lemma, v.lemma, word) AS lemma FROM vocab LEFT JOIN verbs v ON v.surface = word
+    LEFT JOIN nouns n ON n.surface = coalesce(v.lemma, word))""",
+    s.mapped("aware_stems", "aware", "stems", "word", "stem", _KEYS), s.mapped("naive_stems", "naive", "stems", "word", "stem", _KEYS),
+    s.mapped("aware_lemmas", "aware", "lemma_map", "word", "lemma", _KEYS), s.mapped("whole_lemmas", "whole", "lemma_map", "word", "lemma", _KEYS),
+    s.mapped("marked_lemmas", "marked", "lemma_map", "word", "lemma", _KEYS),
+    _recipes_sql({
+        "raw": "whole", "sw-naive": "naive", "sw-keepneg": "aware", "sw-keepneg+stem": "aware_stems", "sw-keepneg+lemma": "aware_lemmas",
+        "sw-naive+stem": "naive_stems", "lemma-only": "whole_lemmas", "sw-keepneg+lemma+negmark": "marked_lemmas",
+    }),
+])
 
 
 def recipe_tokens(spark, folder, recipes: dict[str, Recipe], lemmas: DataFrame | None = None) -> DataFrame:
@@ -286,20 +311,24 @@ def _ablation_sql(n_max: int, name: str) -> str:
       JOIN (SELECT fit, CAST(sum(len(tokens)) AS BIGINT) AS tokens_kept FROM r_train GROUP BY fit) c USING (fit)"""
 
 
-RECIPE_RUNS = s.with_(
-    s.REVIEWS, s.LABELLED, SPLIT, _STEPS,
-    s.naive_bayes("n1", "r_train", n_max=1), s.scored("s1", "n1", "r_test", "label", n_max=1),
-    s.naive_bayes("n2", "r_train"), s.scored("s2", "n2", "r_test", "label"),
-)
+def _runs_sql(steps: str) -> str:
+    return s.with_(
+        s.REVIEWS, s.LABELLED, SPLIT, steps,
+        s.naive_bayes("n1", "r_train", n_max=1), s.scored("s1", "n1", "r_test", "label", n_max=1),
+        s.naive_bayes("n2", "r_train"), s.scored("s2", "n2", "r_test", "label"),
+    )
+
+
+RECIPE_RUNS = _runs_sql(_STEPS)
+_ABLATION = s.rounded(_ablation_sql(1, "unigrams") + " UNION ALL " + _ablation_sql(2, "unigrams + bigrams"), "val_accuracy")
 
 
-@add("recipe_ablation", RECIPE_RUNS + s.rounded(
-    _ablation_sql(1, "unigrams") + " UNION ALL " + _ablation_sql(2, "unigrams + bigrams"), "val_accuracy"))
+@add("recipe_ablation", RECIPE_RUNS + _ABLATION)
 def _(spark, folder):
     return ablation(recipe_tokens(spark, folder, SQL_RECIPES))
 
 
-@add("recipe_ablation_all")
+@add("recipe_ablation_all", _runs_sql(_ALL_STEPS) + _ABLATION)
 def _(spark, folder):
     """All eight recipes, with stems and lemmas."""
     lemmas = derived_lemmas(spark, folder)

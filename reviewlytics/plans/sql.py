@@ -299,3 +299,109 @@ majority AS MATERIALIZED (
     CASE WHEN CAST(hits AS DOUBLE) / n >= 0.5 THEN 'positive' ELSE 'negative' END AS sentiment,
     NOT (ci_low <= 0.5 AND ci_high >= 0.5) AS decisive
   FROM votes JOIN vote_ci USING ({film}, n, hits))"""
+
+
+# -- Porter stems in SQL, one CTE per step of the algorithm ------------------------------ #
+# Suffixes of the published algorithm and its extensions, and words with an irregular stem.
+_IRREGULAR = (
+    ("sky", "sky"), ("skies", "sky"), ("dying", "die"), ("lying", "lie"), ("tying", "tie"), ("news", "news"),
+    ("innings", "inning"), ("inning", "inning"), ("outings", "outing"), ("outing", "outing"), ("cannings", "canning"),
+    ("canning", "canning"), ("howe", "howe"), ("proceed", "proceed"), ("exceed", "exceed"), ("succeed", "succeed"),
+)
+_LONG = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"),
+    ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"),
+    ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+    ("fulli", "ful"), ("logi", "log"),
+)
+_MIDDLE = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
+_ENDINGS = (
+    "ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ion", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic", "ou",
+)
+
+
+def _shape(e: str) -> str:
+    """C for consonants and V for vowels; y takes the other kind of the letter before it, C at the start (runs of y up to a dozen)."""
+    e = f"regexp_replace(translate({e}, 'aeioubcdfghjklmnpqrstvwxz', 'VVVVVCCCCCCCCCCCCCCCCCCCC'), '[^VCy]', 'C', 'g')"
+    e = f"regexp_replace({e}, '^y', 'C')"
+    for _ in range(6):
+        e = f"replace(replace({e}, 'Cy', 'CV'), 'Vy', 'VC')"
+    return e
+
+
+def _cut(k: int, of: str = "w") -> str:
+    return f"substr({of}, 1, length({of}) - {k})"
+
+
+def _measured(shape: str) -> str:
+    return f"len(regexp_extract_all({shape}, 'V+C+'))"
+
+
+def _short(word: str, shape: str) -> str:
+    return f"(({shape} LIKE '%CVC' AND {word} NOT SIMILAR TO '.*[wxy]') OR {shape} = 'VC')"
+
+
+def _ends(suffix: str) -> str:
+    return f"ends_with(w, '{suffix}')"
+
+
+def _swapped(table) -> str:
+    cases = " ".join(
+        f"WHEN {_ends(a)} THEN CASE WHEN {_measured(_cut(len(a), 's') + (' || ' + lit('C') if a == 'logi' else ''))} > 0 THEN {_cut(len(a))} || '{b}' ELSE w END"
+        for a, b in table
+    )
+    return f"CASE {cases} ELSE w END"
+
+
+def stems(name: str, words: str) -> str:
+    """CTEs ending in ``name`` (word, stem) of a relation with distinct lower-case words."""
+    irregular = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _IRREGULAR)
+    ready = f"(SELECT *, {_shape('w')} AS s FROM {{}})"
+    repaired = f"""CASE WHEN stem SIMILAR TO '.*(at|bl|iz)' THEN stem || 'e'
+      WHEN length(stem) > 1 AND right(stem, 1) = left(right(stem, 2), 1) AND t LIKE '%C' THEN
+        CASE WHEN right(stem, 1) IN ('l', 's', 'z') THEN stem ELSE {_cut(1, 'stem')} END
+      WHEN {_measured('t')} = 1 AND {_short('stem', 't')} THEN stem || 'e' ELSE stem END"""
+    endings = " ".join(
+        f"WHEN {_ends(a)} THEN CASE WHEN {_measured(_cut(len(a), 's'))} > 1"
+        + (f" AND {_cut(3)} SIMILAR TO '.*[st]'" if a == "ion" else "") + f" THEN {_cut(len(a))} ELSE w END"
+        for a in _ENDINGS
+    )
+    steps = [
+        f"""CASE WHEN {_ends('ies')} THEN {_cut(2)} || CASE WHEN length(w) = 4 THEN 'e' ELSE '' END WHEN {_ends('sses')} THEN {_cut(2)}
+      WHEN {_ends('s')} AND NOT {_ends('ss')} THEN {_cut(1)} ELSE w END""",
+        None,
+        f"CASE WHEN {_ends('y')} AND length(w) > 2 AND substr(s, length(w) - 1, 1) = 'C' THEN {_cut(1)} || 'i' ELSE w END",
+        f"CASE WHEN {_ends('alli')} AND {_measured(_cut(4, 's'))} > 0 THEN {_cut(2)} ELSE w END",
+        _swapped(_LONG),
+        _swapped(_MIDDLE),
+        f"CASE {endings} ELSE w END",
+        f"CASE WHEN {_ends('e')} AND ({_measured(_cut(1, 's'))} > 1 OR ({_measured(_cut(1, 's'))} = 1 AND NOT {_short(_cut(1), _cut(1, 's'))})) THEN {_cut(1)} ELSE w END",
+        f"CASE WHEN {_ends('ll')} AND {_measured(_cut(1, 's'))} > 1 THEN {_cut(1)} ELSE w END",
+    ]
+    out, last = [], f"{name}_0"
+    out.append(f"{last} AS MATERIALIZED (SELECT word, word AS w FROM {words} WHERE length(word) > 2)")
+    for i, step in enumerate(steps, 1):
+        now = f"{name}_{i}"
+        if step is None:
+            vowel = f"{_ends('ed')} AND {_cut(2, 's')} LIKE '%V%'", f"{_ends('ing')} AND {_cut(3, 's')} LIKE '%V%'"
+            out.append(f"""{now}_cut AS MATERIALIZED (SELECT word, w, s, CASE WHEN {_ends('ied')} OR {_ends('eed')} THEN NULL
+      WHEN {vowel[0]} THEN {_cut(2)} WHEN {vowel[1]} THEN {_cut(3)} END AS stem FROM {ready.format(last)})""")
+            step = f"""CASE WHEN {_ends('ied')} THEN {_cut(2)} || CASE WHEN length(w) = 4 THEN 'e' ELSE '' END
+      WHEN {_ends('eed')} THEN CASE WHEN {_measured(_cut(3, 's'))} > 0 THEN {_cut(1)} ELSE w END WHEN stem IS NULL THEN w ELSE {repaired} END"""
+            out.append(f"{now} AS MATERIALIZED (SELECT word, {step} AS w FROM (SELECT *, left(s, length(stem)) AS t FROM {now}_cut))")
+        else:
+            out.append(f"{now} AS MATERIALIZED (SELECT word, {step} AS w FROM {ready.format(last)})")
+        last = now
+    out.append(
+        f"{name} AS MATERIALIZED (SELECT word, CASE word {irregular} ELSE coalesce(w, word) END AS stem FROM {words} LEFT JOIN {last} USING (word))"
+    )
+    return ",\n".join(out)
+
+
+def mapped(name: str, source: str, table: str, surface: str, value: str, keys: str = "doc_id") -> str:
+    """CTE of ``source`` (keys, tokens) with tokens replaced by those of a table; negation marks stay."""
+    return f"""{name} AS MATERIALIZED (
+  SELECT {keys}, coalesce(n.tokens, []) AS tokens FROM {source} LEFT JOIN (
+    SELECT doc_id, list(coalesce({value}, {bare('token')}) || CASE WHEN token LIKE '%\\_NEG' ESCAPE '\\' THEN '_NEG' ELSE '' END ORDER BY pos) AS tokens
+    FROM (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM {source})
+      LEFT JOIN {table} ON {surface} = {bare('token')} GROUP BY doc_id) n USING (doc_id))"""

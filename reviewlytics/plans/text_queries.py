@@ -118,13 +118,20 @@ def _(spark, folder):
     return normalise(docs, recipe).select("doc_id", joined_text().alias("text"))
 
 
-@add("stemmed_tokens")
+STEM_CTES = f"""words AS MATERIALIZED (
+  SELECT DISTINCT unnest({s.tokenize(s.clean('text'))}) AS word FROM documents),
+{s.stems('stems', 'words')}"""
+
+
+@add("stemmed_tokens", s.with_(STEM_CTES, f"""t AS MATERIALIZED (
+  SELECT doc_id, {s.recipe_tokens('text', keep_negations=False)} AS tokens FROM documents)""", s.mapped("m", "t", "stems", "word", "stem")) + """
+SELECT doc_id, array_to_string(tokens, ' ') AS stems FROM m""")
 def _(spark, folder):
     docs = documents(spark, folder).select("doc_id", "text")
     return normalise(docs, RECIPES["sw-naive+stem"]).select("doc_id", joined_text().alias("stems"))
 
 
-@add("stem_table")
+@add("stem_table", s.with_(STEM_CTES) + "SELECT word, stem FROM stems")
 def _(spark, folder):
     """Surface word and stem of every distinct word of the texts."""
     docs = documents(spark, folder)
