@@ -109,6 +109,17 @@ def length_histogram(docs: DataFrame, corpus: str = "corpus", text: str = "text"
     )
 
 
+def sorted_by(table: DataFrame, metric: str, ties: list[str], descending: bool = True) -> DataFrame:
+    """A result table in the order of one metric, with each row's ``place`` from 1.
+
+    For tables with a row per model, recipe or slice: they are small, and one
+    task numbers them. Missing values come last, equal ones in the order of
+    ``ties``.
+    """
+    order = F.desc_nulls_last(metric) if descending else F.asc_nulls_last(metric)
+    return table.withColumn("place", F.row_number().over(Window.orderBy(order, *ties))).orderBy("place")
+
+
 def balance(docs: DataFrame, corpus: str = "corpus") -> DataFrame:
     return docs.groupBy(corpus).agg(
         F.count("*").alias("n"), (F.avg(F.col("label").cast("double")) * F.lit(100.0)).alias("positive_pct")

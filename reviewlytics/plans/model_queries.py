@@ -335,6 +335,14 @@ def _(spark, folder):
     return ablation(recipe_tokens(spark, folder, RECIPES, lemmas))
 
 
+@add("recipe_ranking", RECIPE_RUNS + f"""
+SELECT *, CAST(row_number() OVER (ORDER BY val_accuracy DESC, config, features) AS INTEGER) AS place FROM ({_ABLATION})""")
+def _(spark, folder):
+    """The ablation's table, best accuracy first."""
+    found = ablation(recipe_tokens(spark, folder, SQL_RECIPES))
+    return reports.sorted_by(found.withColumn("val_accuracy", F.round("val_accuracy", 6)), "val_accuracy", ["config", "features"])
+
+
 @add("recipe_comparison", RECIPE_RUNS.rstrip() + """,
 pair AS (SELECT avg(CAST(a.pred = a.label AS DOUBLE)) AS raw_accuracy, avg(CAST(b.pred = b.label AS DOUBLE)) AS naive_accuracy,
     count(*) FILTER (a.pred = a.label AND b.pred <> b.label) AS n01, count(*) FILTER (a.pred <> a.label AND b.pred = b.label) AS n10

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -68,46 +69,68 @@ _local_scratch: dict[str, str] = {}
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests, a temporary folder stands in for it.
+    Only in local mode, as in tests, a temporary folder stands in for it when
+    it is unset; it goes with the process. Elsewhere a missing one is an error:
+    the driver and the executors would not see each other's files.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    conf = spark.sparkContext.getConf()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if shared:
         return shared
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_scratch:
         _local_scratch[app] = tempfile.mkdtemp(prefix="reviewlytics-")
+        atexit.register(shutil.rmtree, _local_scratch[app], ignore_errors=True)
     return _local_scratch[app]
 
 
+def _settled_folder(spark: SparkSession) -> str:
+    return f"{scratch_folder(spark).rstrip('/')}/settled/{spark.sparkContext.applicationId}"
+
+
 def settle(df: DataFrame, name: str = "t") -> DataFrame:
     """Compute ``df`` once: write it to the shared folder and read it back.
 
     Unlike a cache this survives the loss of executors, and it cuts the
-    lineage.
+    lineage. The tables of a session lie in a folder of its own, which
+    :func:`clear_scratch` deletes.
     """
     spark = df.sparkSession
-    path = f"{scratch_folder(spark).rstrip('/')}/settled/{name}-{uuid.uuid4().hex}"
+    path = f"{_settled_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_measured: dict[int, int] = {}
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this session has settled, once the results that read it are written. Shared results are computed anew."""
+    forget_settled()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_settled_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_measured: dict[tuple, int] = {}
 
 
 def measured_bytes(df: DataFrame) -> int:
     """Size of the rows in memory: their texts, and eight bytes per column.
 
-    Added up once per distinct plan.
+    A settled table never changes, so its size is added up once; other tables
+    are measured each time.
     """
-    key = df.semanticHash()
+    spark = df.sparkSession
+    files, mine = df.inputFiles(), f"/settled/{spark.sparkContext.applicationId}/"
+    key = (df.semanticHash(), *sorted(files)) if files and all(mine in f for f in files) else None
     if key not in _measured:
         size = F.lit(8 * len(df.columns)).cast("bigint")
         for field in df.schema.fields:
             if isinstance(field.dataType, T.StringType):
                 size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
-        _measured[key] = df.agg(F.sum(size).alias("bytes")).first()["bytes"] or 0
+        found = df.agg(F.sum(size).alias("bytes")).first()["bytes"] or 0
+        if key is None:
+            return found
+        _measured[key] = found
     return _measured[key]
 
 

@@ -6,38 +6,53 @@ Every reader returns at least ``doc_id, text, label``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewlytics.config import SEED
 from reviewlytics.functions.hashing import seeded_hash
-from reviewlytics.runtime import lookup
+from reviewlytics.runtime import lookup, settle
 
 SPLITS = ("train", "test")
 CLASSES = (("neg", 0), ("pos", 1))
 
 
-def _lines(content) -> DataFrame:
-    return F.posexplode(F.split(F.regexp_replace(content, "\r", ""), "\n")).alias("line", "value")
+def numbered_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """``file, line, value``: the lines of text files with their numbers, from 0. A file may lie in any number of splits.
 
+    Lines are in order within a split. Each split's lines are counted, the
+    counts of the splits before it in its file are added up, and a line's number
+    is that sum and its place in the split. Only counts per split are shuffled.
+    """
+    place = F.monotonically_increasing_id().alias("_at")
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), place, "value"
+    )
+    # Written, so that both uses see the same places.
+    rows = settle(rows, "lines")
+    before = Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("_path", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    text = F.decode(F.col("value").cast("binary"), encoding)
+    return lookup(rows, splits, ["_path", "_start"]).select(
+        F.regexp_extract("_path", r"([^/]+)$", 1).alias("file"), (F.col("_before") + F.col("_at") - F.col("_first")).alias("line"),
+        F.regexp_replace(text, "\r", "").alias("value"),
+    )
 
-def film_urls(spark: SparkSession, root: str, split: str) -> DataFrame:
-    """``label, review_id, film_id``: line n of a URL file belongs to review n.
 
-    A whole file is one row until its lines are numbered, because line order
-    is not defined across splits. A missing file contributes no rows.
-    """
+def film_urls(spark: SparkSession, root: str, split: str) -> DataFrame:
+    """``label, review_id, film_id``: line n of a URL file belongs to review n. A missing file contributes no rows."""
     out = spark.createDataFrame([], "label int, review_id int, film_id string")
     for name, label in CLASSES:
         try:
-            files = spark.read.text(f"{root}/{split}/urls_{name}.txt", wholetext=True)
+            lines = numbered_lines(spark, f"{root}/{split}/urls_{name}.txt").filter("value <> ''")
         except AnalysisException:
             continue
-        lines = files.select(_lines(F.col("value"))).filter("value <> ''")
         out = out.unionByName(lines.select(
-            F.lit(label).alias("label"), F.col("line").alias("review_id"),
+            F.lit(label).alias("label"), F.col("line").cast("int").alias("review_id"),
             F.nullif(F.regexp_extract("value", r"/title/(tt\d+)/", 1), F.lit("")).alias("film_id"),
         ))
     return out
@@ -82,11 +97,9 @@ def polarity_lines(spark: SparkSession, paths: dict[str, int], seed=SEED) -> Dat
     """
     out = None
     for path, label in paths.items():
-        files = spark.read.format("binaryFile").load(path)
-        name = F.regexp_extract("path", r"([^/]+)$", 1)
-        lines = files.select(name.alias("_file"), _lines(F.decode("content", "ISO-8859-1")))
+        lines = numbered_lines(spark, path, "ISO-8859-1")
         rows = lines.withColumn("text", F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))).filter("text <> ''")
-        one = rows.select(F.concat_ws(":", "_file", "line").alias("doc_id"), "text", F.lit(label).alias("label"))
+        one = rows.select(F.concat_ws(":", "file", "line").alias("doc_id"), "text", F.lit(label).alias("label"))
         out = one if out is None else out.unionByName(one)
     return out.withColumn("order_key", seeded_hash(seed, "doc_id"))
 
@@ -120,6 +133,29 @@ class Corpora:
         return self._loaders[name](spark)
 
 
+def film_corpora(root: str, cache: str | None = None) -> Corpora:
+    """The film review corpora below ``root`` under their short names, by the layout each is published in.
+
+    With ``cache``, a folder, a corpus is read from its Parquet copy once that
+    is there.
+    """
+    lines = {f"{root}/rt_polarity/rt-polarity.{name}": label for name, label in CLASSES}
+    known: dict[str, Callable[[SparkSession], DataFrame]] = {
+        "pang_lee": lambda spark: polarity_folders(spark, f"{root}/pang_lee"),
+        "rt_polarity": lambda spark: polarity_lines(spark, lines),
+    }
+    for split in SPLITS:
+        known[f"imdb_{split}"] = partial(review_tree, root=f"{root}/imdb", split=split)
+    corpora = Corpora()
+    for name, load in known.items():
+        corpora.register(name, load if cache is None else partial(_through_cache, path=f"{cache}/{name}", load=load))
+    return corpora
+
+
+def _through_cache(spark: SparkSession, path: str, load) -> DataFrame:
+    return cached(spark, path, lambda: load(spark))
+
+
 def review_list(spark: SparkSession, path: str) -> DataFrame:
     """``text`` of a list of reviews to score.
 
