@@ -7,7 +7,6 @@ least one column (for example ``model``).
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -218,16 +217,6 @@ def extreme_share(scored: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def fit_isotonic(scored: DataFrame) -> IsotonicRegressionModel:
-    """Isotonic map from score to probability; equal scores are pooled first."""
-    pooled = scored.groupBy(rounded_score(F.col("score")).alias("score")).agg(
-        F.avg(F.col("label").cast("double")).alias("label"), F.count("*").cast("double").alias("weight")
-    )
-    return IsotonicRegression(
-        featuresCol="score", labelCol="label", weightCol="weight", predictionCol="calibrated"
-    ).fit(pooled)
-
-
 def calibration_table(scored: DataFrame, calibrated: DataFrame) -> DataFrame:
     """Error, accuracy and saturation before and after recalibration."""
     both = scored.select(F.lit("raw model output").alias("scores"), "label", "score").unionByName(

@@ -6,12 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from reviewlytics.config import DIAGNOSTIC_CASES, MODEL_DISPLAY_NAMES, PARAM_GRIDS
-from reviewlytics.operators import evaluate, linear, models, reports, sampling
+from reviewlytics.config import DIAGNOSTIC_CASES, MODEL_DISPLAY_NAMES, PARAM_GRIDS, SEED
+from reviewlytics.operators import evaluate, isotonic, linear, models, reports, sampling
 from reviewlytics.operators.normalise import DEFAULT, PRESCRIBED, RAW, normalise
 from reviewlytics.plans import sql as s
 from reviewlytics.plans.base import Registry, derived_lemmas, documents, folded_tokens, out_of_fold, review_tokens, reviews
 from reviewlytics.plans.model_queries import SPLIT, _lexicon_scored
+from reviewlytics.plans.report_queries import _edge_bin
 from reviewlytics.runtime import settle
 
 registry = Registry()
@@ -240,17 +241,45 @@ def _(spark, folder):
     return reports.transfer_table(metrics, spark.createDataFrame(reference, "evaluated_on string, reference_accuracy double"))
 
 
-@add("isotonic_calibration")
+_HASH = s.md5(SEED, "doc_id")
+ISOTONIC = f"""calibration AS MATERIALIZED (
+  SELECT doc_id, label, score, row_number() OVER (PARTITION BY label ORDER BY {_HASH}, doc_id)
+    > floor(count(*) OVER (PARTITION BY label) * 0.8 + 0.5) AS used FROM scored),
+pooled AS (SELECT score, CAST(sum(label) AS DOUBLE) AS y, CAST(count(*) AS DOUBLE) AS n FROM calibration WHERE used GROUP BY score),
+sums AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY score) AS k, score, y, n, sum(y) OVER (ORDER BY score) AS sy, sum(n) OVER (ORDER BY score) AS sn FROM pooled),
+stretches AS MATERIALIZED (SELECT a.k AS i, b.k AS j, (b.sy - a.sy + a.y) / (b.sn - a.sn + a.n) AS m FROM sums a JOIN sums b ON a.k <= b.k),
+isotonic AS MATERIALIZED (
+  SELECT k, score AS x, max(least_mean) AS v FROM (
+    SELECT p.k, p.score, s.i, min(s.m) AS least_mean FROM sums p JOIN stretches s ON s.i <= p.k AND s.j >= p.k GROUP BY p.k, p.score, s.i)
+  GROUP BY k, score),
+rest AS (SELECT doc_id, label, score FROM calibration WHERE NOT used),
+around AS (
+  SELECT rest.label, rest.score, lo.x AS x0, lo.v AS v0, hi.x AS x1, hi.v AS v1
+  FROM rest ASOF LEFT JOIN isotonic lo ON rest.score >= lo.x ASOF LEFT JOIN isotonic hi ON rest.score <= hi.x),
+both_scores AS MATERIALIZED (
+  SELECT 'raw model output' AS scores, label, score FROM rest
+  UNION ALL SELECT 'isotonic recalibration', label, CASE WHEN x0 IS NULL THEN v1 WHEN x1 IS NULL OR x0 = x1 THEN v0
+    ELSE v0 + (v1 - v0) * (score - x0) / (x1 - x0) END FROM around),
+sure AS (
+  SELECT scores, CASE WHEN score >= 0.5 THEN score ELSE CAST(1.0 AS DOUBLE) - score END AS c,
+    CAST(CAST(score >= 0.5 AS INTEGER) = label AS DOUBLE) AS ok FROM both_scores),
+bins AS (SELECT scores, {_edge_bin('c', evaluate.CONFIDENCE_EDGES, True)} AS bin, count(*) AS n, avg(ok) AS acc, avg(c) AS conf FROM sure GROUP BY ALL)"""
+
+
+@add("isotonic_calibration", s.with_(s.OUT_OF_FOLD, ISOTONIC) + s.rounded("""
+SELECT * FROM (SELECT scores, coalesce(sum(n * abs(acc - conf)) FILTER (bin IS NOT NULL), 0.0) / sum(n) AS ece FROM bins GROUP BY scores)
+  JOIN (SELECT scores, avg(CAST(CAST(score >= 0.5 AS INTEGER) = label AS DOUBLE)) AS accuracy,
+    100.0 * avg(CAST(score > 0.99 OR score < 0.01 AS DOUBLE)) AS share_beyond_99_pct FROM both_scores GROUP BY scores) USING (scores)""",
+    "ece", "accuracy", "share_beyond_99_pct"))
 def _(spark, folder):
     """Recalibration fitted on a fifth of the scored reviews, judged on the rest."""
     parts = settle(sampling.stratified_split(
         out_of_fold(spark, folder).select("doc_id", "label", "score"), test_share=0.8
     ), "calibration")
-    model = evaluate.fit_isotonic(parts.filter("part = 'train'"))
     rest = parts.filter("part = 'test'")
-    return evaluate.calibration_table(
-        rest, model.transform(rest).select("label", F.col("calibrated").alias("score"))
-    )
+    calibrated = isotonic.fit_isotonic(parts.filter("part = 'train'")).transform(rest)
+    return evaluate.calibration_table(rest, calibrated.select("label", F.col("calibrated").alias("score")))
 
 
 @add("batch_scorer", """

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlytics.functions.stats import binomial_quantiles, mcnemar_p
-from reviewlytics.operators import evaluate, features, linear, models, naive_bayes, reports, sampling, verdict
+from reviewlytics.operators import evaluate, features, isotonic, linear, models, naive_bayes, reports, sampling, verdict
 from reviewlytics.operators.normalise import RAW, normalise
 from reviewlytics.operators.ranking import rank_by_hash, rank_by_range
 from reviewlytics.plans.base import curve_draws
@@ -238,13 +238,32 @@ def test_length_bins_keep_ties_together(spark):
     assert {k: v[2] for k, v in rows.items()} == want
 
 
-def test_isotonic_is_monotone_and_clips(spark):
-    rng = random.Random(9)
-    rows = [(i, int(rng.random() < s), s) for i, s in enumerate(round(rng.random(), 2) for _ in range(300))]
-    df = spark.createDataFrame(rows, "doc_id int, label int, score double")
-    out = evaluate.fit_isotonic(df).transform(df).select("score", "calibrated").orderBy("score").collect()
-    values = [r.calibrated for r in out]
-    assert all(b >= a - 1e-12 for a, b in zip(values, values[1:])) and 0 <= min(values) and max(values) <= 1
+def _isotonic(scores, labels):
+    """Largest least mean over the stretches around each distinct score."""
+    xs = sorted(set(scores))
+    y = [sum(b for a, b in zip(scores, labels) if a == x) for x in xs]
+    n = [scores.count(x) for x in xs]
+    mean = lambda i, j: sum(y[i : j + 1]) / sum(n[i : j + 1])
+    return xs, [max(min(mean(i, j) for j in range(k, len(xs))) for i in range(k + 1)) for k in range(len(xs))]
+
+
+@pytest.mark.parametrize("digits", [1, 2, 5])
+def test_isotonic_against_a_plain_version(spark, digits):
+    rng = random.Random(digits)
+    scores = [round(rng.random(), digits) for _ in range(120)] + [0.0, 1.0]
+    labels = [int(rng.random() < s) for s in scores]
+    df = spark.createDataFrame(list(zip(scores, labels)), "score double, label int")
+    fitted = isotonic.fit_isotonic(df)
+    xs, ys = _isotonic(scores, labels)
+    odd = spark.createDataFrame([(x,) for x in [-0.0, 0.0003, 0.05, 0.33333, 0.5, 0.77, 0.99991, 1.0, *scores]], "score double")
+    for found in (fitted.transform(odd), fitted.merged(odd)):
+        assert all(r.calibrated == pytest.approx(float(np.interp(r.score, xs, ys))) for r in found.collect())
+    assert found.count() == len(scores) + 8
+
+
+def test_isotonic_of_nothing(spark):
+    none = spark.createDataFrame([], "score double, label int")
+    assert isotonic.fit_isotonic(none).transform(spark.createDataFrame([(0.5,)], "score double")).first().calibrated is None
 
 
 def test_bayes_weights_by_hand(spark):
