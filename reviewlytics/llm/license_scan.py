@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib.resources
 import re
 from collections.abc import Iterator, Sequence
+from fractions import Fraction
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +60,20 @@ def normalised_words(text: str) -> list[str]:
     return _WORD.findall(text.lower().replace("licence", "license"))
 
 
+#: Templates of at most so many words are notices, which are searched in spans of any size.
+NOTICE_WORDS = 120
+#: Words in which notices of one family differ.
+_KINDS = frozenset((
+    "affero", "lesser", "library", "nc", "noncommercial", "sa", "sharealike", "nd", "noderivatives", "cc0", "isc", "mit", "bsd", "apache", "mozilla",
+    "eclipse", "gnu", "cc", "creative",
+))
+
+
+def is_telling(word: str) -> bool:
+    """Whether a notice's word tells its license, version or variant."""
+    return word in _KINDS or word[0].isdigit()
+
+
 def units(lines: list[str]) -> Iterator[tuple[int, int]]:
     """First line and number of lines of each line, each paragraph of several lines, and the whole text."""
     first, blocks = None, 0
@@ -75,17 +91,33 @@ def units(lines: list[str]) -> Iterator[tuple[int, int]]:
         yield 0, len(lines)
 
 
+class Match(NamedTuple):
+    """A span of words that is like a template: Dice is ``two / total``."""
+
+    name: str
+    size: int
+    two: int
+    total: int
+    start: int
+    end: int
+    line: int
+    lines: int
+
+
 class Scanner:
     def __init__(self, templates: Sequence[tuple[str, str]], percent: int):
         self.percent = percent
-        #: Per template its license, distinct bigrams and number of bigrams.
+        #: Per template its license, distinct bigrams, number of bigrams, and, if it is a notice, the words that tell it from its kin.
         self.sets = []
         for name, text in templates:
             words = normalised_words(text)
             if grams := set(zip(words, words[1:], strict=False)):
-                self.sets.append((name, grams, len(words) - 1))
+                telling = frozenset(w for w in words if is_telling(w)) if len(words) <= NOTICE_WORDS else None
+                self.sets.append((name, grams, len(words) - 1, telling))
+        #: Words that tell some notice from others; other numbers, such as years, tell nothing.
+        self.telling = frozenset().union(*(t for *_, t in self.sets if t))
         self.where: dict[tuple[str, str], list[int]] = {}
-        for k, (_, grams, _) in enumerate(self.sets):
+        for k, (_, grams, *_) in enumerate(self.sets):
             for g in grams:
                 self.where.setdefault(g, []).append(k)
 
@@ -100,42 +132,87 @@ class Scanner:
             if (among is None or k in among) and (200 - self.percent) * n >= self.percent * len(self.sets[k][1])
         }
 
-    def scan(self, text: str) -> dict[str, tuple[int, int, int, int]]:
-        """Per license (2 * shared, sum of sizes, first line, lines) of its best unit or window; the first of equals, units first."""
-        best: dict[str, tuple[int, int, int, int]] = {}
+    def matches(self, text: str) -> list[Match]:
+        """All spans that reach the Dice coefficient and win against their rivals, best first.
+
+        Of overlapping spans of different licenses the one of higher Dice stays,
+        of equal ones that of the larger template, then the earlier one. A
+        notice must have the words that tell it apart, and none that tell
+        another.
+        """
         words = normalised_words(text)
         pairs = list(zip(words, words[1:], strict=False))
         # The text has all bigrams of its units and windows, so few templates are left for these.
         alive = self._shared(set(pairs))
         if not alive:
-            return best
+            return []
         lines = text.split("\n")
         first = np.concatenate(([0], np.cumsum([len(normalised_words(x)) for x in lines])))
+        found: list[Match] = []
 
-        def offer(k: int, shared: int, size: int, line: int, count: int) -> None:
-            name, total = self.sets[k][0], len(self.sets[k][1]) + size
-            if 200 * shared >= self.percent * total and (name not in best or 2 * shared * best[name][1] > best[name][0] * total):
-                best[name] = (2 * shared, total, line, count)
+        def offer(k: int, shared: int, size: int, start: int, end: int, line: int, count: int) -> None:
+            name, own, length, telling = self.sets[k]
+            if 200 * shared < self.percent * (len(own) + size):
+                return
+            if telling is None or telling == self.telling.intersection(words[start : end + 1]):
+                found.append(Match(name, length, 2 * shared, len(own) + size, start, end, line, count))
 
         for line, count in units(lines):
-            grams = set(pairs[first[line] : max(first[line], first[line + count] - 1)])
+            start, end = int(first[line]), max(int(first[line]), int(first[line + count]) - 1)
+            grams = set(pairs[start:end])
             for k, n in self._shared(grams, alive).items():
-                offer(k, n, len(grams), line, count)
+                offer(k, n, len(grams), start, end, line, count)
         for k in alive:
-            name, own, length = self.sets[k]
-            for shared, start, end in self._windows(pairs, own, length):
-                # A window has its shared bigrams at least: no later one can be better.
-                if name in best and 2 * shared * best[name][1] <= best[name][0] * (len(own) + shared):
-                    break
+            _, own, length, telling = self.sets[k]
+            spans = self._windows(pairs, own, length) if telling is None else self._spans(pairs, own)
+            for shared, start, end in spans:
                 line, last = (int(np.searchsorted(first, i, side="right")) - 1 for i in (start, end))
-                offer(k, shared, len(set(pairs[start:end])), line, last - line + 1)
+                offer(k, shared, len(set(pairs[start:end])), start, end, line, last - line + 1)
+        # Units come before windows and sorting is stable, so of equals at one place a unit stays.
+        found.sort(key=lambda m: (-Fraction(m.two, m.total), -m.size, m.start))
+        kept: list[Match] = []
+        for m in found:
+            if not any(m.start < o.end and o.start < m.end for o in kept):
+                kept.append(m)
+        return kept
+
+    def scan(self, text: str) -> dict[str, tuple[int, int, int, int]]:
+        """Per license (2 * shared, sum of sizes, first line, lines) of its best match."""
+        best: dict[str, tuple[int, int, int, int]] = {}
+        for m in self.matches(text):
+            best.setdefault(m.name, (m.two, m.total, m.line, m.lines))
         return best
 
+    def _spans(self, pairs: list[tuple[str, str]], own: set[tuple[str, str]]) -> list[tuple[int, int, int]]:
+        """(shared, start, end): from each of the template's bigrams on, the span of any size with the highest Dice.
+
+        A best span begins and ends with a bigram of the template. With n of
+        these in the template, one of more than n * (2 / Dice - 1) bigrams
+        can't be like it.
+        """
+        at = {i for i, g in enumerate(pairs) if g in own}
+        most = (200 - self.percent) * len(own) // self.percent
+        found = []
+        for start in sorted(at):
+            shared: set[tuple[str, str]] = set()
+            size: set[tuple[str, str]] = set()
+            best, i = (0, 1, 0), start
+            while i < len(pairs) and (len(size) < most or pairs[i] in size):
+                size.add(pairs[i])
+                if i in at:
+                    shared.add(pairs[i])
+                    if len(shared) * best[1] > best[0] * (len(own) + len(size)):
+                        best = len(shared), len(own) + len(size), i + 1
+                i += 1
+            if 200 * best[0] >= self.percent * best[1]:
+                found.append((best[0], start, best[2]))
+        return found
+
     def _windows(self, pairs: list[tuple[str, str]], own: set[tuple[str, str]], length: int) -> list[tuple[int, int, int]]:
-        """(shared, start, end) of the windows of ``length`` bigrams that start with one of ``own``, cut after the last such.
+        """(shared, start, end) for a full text: the windows of its ``length`` that start with one of its bigrams, cut after the last such.
 
-        Those with the most shared bigrams come first. Windows with too few for
-        the Dice coefficient are left out.
+        Of windows that overlap those with the most shared bigrams are left, and
+        those with too few for the Dice coefficient are left out.
         """
         hits = [i for i, g in enumerate(pairs) if g in own]
         found, held, j = [], {}, 0
@@ -149,7 +226,11 @@ class Scanner:
             if not held[pairs[i]]:
                 del held[pairs[i]]
         found.sort(key=lambda x: -x[0])
-        return found
+        apart: list[tuple[int, int, int]] = []
+        for one in found:
+            if not any(one[1] < o[2] and o[1] < one[2] for o in apart):
+                apart.append(one)
+        return apart
 
 
 def license_scan(
@@ -157,14 +238,17 @@ def license_scan(
 ) -> DataFrame:
     """One row per text and license found in it: doc_id, tag, license, dice, line_no (from 0), n_lines.
 
-    Every line, every paragraph of several lines, the whole text, and every
-    window of as many words as the template (cut to its first and last bigram
-    that the template has) is compared with each template that has enough
-    bigrams in the text for a Dice coefficient of ``percent`` / 100; the best
-    of a license is given, the first of equals. Templates, short notices and
-    full texts, are a list that the caller bounds. No shuffle. Null and empty texts, and one-word units, match nothing. Null ids
-    come back null, rows that repeat an id are scanned like others, and extra
-    columns are not looked at.
+    Every line, every paragraph of several lines, the whole text, every span of
+    words of any size for a notice, and for a full text every window of its
+    size (cut to the first and last bigram that the template has) is compared
+    with each template that has enough bigrams in the text for a Dice
+    coefficient of ``percent`` / 100. Spans of different licenses that overlap
+    are rivals, of which the best stays; a notice must also agree in the words
+    that tell versions and variants apart. The best span of each license that
+    is left is given. Templates, short notices and full texts, are a list that
+    the caller bounds. No shuffle. Null and empty texts, and one-word units,
+    match nothing. Null ids come back null, rows that repeat an id are scanned
+    like others, and extra columns are not looked at.
     """
     ship_package(docs.sparkSession)
 
