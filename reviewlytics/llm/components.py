@@ -38,6 +38,10 @@ def components(links: DataFrame, a: str, b: str, native: bool = False) -> DataFr
     until nothing changes. A node of any degree is only ever aggregated, or
     joined to one row. Each turn's links are written to the shared folder.
     ``native`` leaves out the local forests: DataFrame operations only.
+
+    Repeated links, links of a node with itself and links given in both
+    directions count as one or none; links with a null end are left out; an
+    empty table gives no rows. Extra columns are not looked at.
     """
     links = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
     edges = settle(links if native else links.mapInPandas(_forest, "u long, v long"), "links")

@@ -14,14 +14,17 @@ from reviewlytics.llm.bpe import encoded, library_encoder
 from reviewlytics.llm.rows import given_id, keyed, pieces
 from reviewlytics.runtime import settle, ship_package
 
-#: Pieces of one length are numbered in so many independent parts.
-PARTS = 256
+#: Pieces of one length are numbered in independent parts of about so many rows.
+PART_ROWS = 1 << 16
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """``doc``, ``tag``, ``piece``, ``start``, ``length``, ``ids_crc32``: each text's ids and its end id, cut where too long.
 
-    All pieces of a text but the first are full. No shuffle.
+    All pieces of a text but the first are full. Null and empty texts are one
+    piece of the end id. Null ids and rows that repeat an id are rows like
+    others, an empty table gives no rows, extra columns are not looked at. No
+    shuffle.
     """
     ship_package(docs.sparkSession)
 
@@ -123,17 +126,23 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def best_fit(rows: DataFrame, capacity: int, order: list[str], length_col: str = "length") -> DataFrame:
     """``rows`` with ``sequence_id`` and ``offset``: lengths of 1 to ``capacity`` packed into few sequences.
 
-    Only counts per length reach the driver: ``capacity`` numbers at most.
-    Rows are numbered within their length in PARTS parts each, so no length
-    has to be sorted by one task. ``rows`` must not change from use to use.
+    Only counts per length reach the driver: ``capacity`` numbers at most. A
+    length is numbered in as many parts as its rows fill, so no length has to be
+    sorted by one task. ``rows`` must not change from use to use. Ties of
+    ``order`` are broken in any way: such rows are equal in it. Null ids are
+    for the caller to name; extra columns, and repeated rows, stay as they are;
+    an empty table stays empty.
     """
-    parts = rows.withColumn("__part", F.pmod(F.hash(*order), F.lit(PARTS)))
+    total = {x[0]: x[1] for x in rows.groupBy(length_col).agg(F.count(F.lit(1))).collect()}
+    spark = rows.sparkSession
+    n_parts = spark.createDataFrame([(n, c // PART_ROWS + 1) for n, c in total.items()], f"{length_col} long, __parts long")
+    # One row per length: the capacity bounds it.
+    parts = rows.join(F.broadcast(n_parts), length_col).withColumn("__part", F.pmod(F.xxhash64(*order), F.col("__parts"))).drop("__parts")
     counts = parts.groupBy(length_col, "__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(length_col).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = settle(counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))), "length-counts")
-    total = {x[0]: x[1] for x in counts.groupBy(length_col).agg(F.sum("__n")).collect()}
     schema = f"{length_col} long, __lo long, __hi long, __bin long, __each long, __at long"
-    bins = rows.sparkSession.createDataFrame(plan(total, capacity), schema)
+    bins = spark.createDataFrame(plan(total, capacity), schema)
     place = F.row_number().over(Window.partitionBy(length_col, "__part").orderBy(*order)) - 1
     ranked = parts.withColumn("__place", place).join(counts.drop("__n"), [length_col, "__part"])
     ranked = ranked.withColumn("__rank", F.col("__place") + F.col("__before"))

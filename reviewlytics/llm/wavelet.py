@@ -184,7 +184,12 @@ def write_tokens(
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Per text, from the files: doc_id, tag, start (ids before it in all files), n_tokens, ids_crc32 (unsigned, little-endian 32-bit ids)."""
+    """Per text, from the files: doc_id, tag, start (ids before it in all files), n_tokens, ids_crc32 (unsigned, little-endian 32-bit ids).
+
+    Texts that were null or empty hold the end id alone; rows without an id have
+    a null one; repeated rows are rows like others; files of an empty table
+    give no rows.
+    """
     ship_package(spark)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

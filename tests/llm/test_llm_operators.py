@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from reviewlytics.llm import (
-    bpe, exact_dedup, license_scan, line_dedup, lm_scores, near_dedup, packing, quality_rules, substring_dedup, wavelet,
+    bpe, catalogue, exact_dedup, license_scan, line_dedup, lm_scores, near_dedup, packing, quality_rules, substring_dedup, wavelet,
 )
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -145,6 +145,57 @@ def test_packing(docs, rows):
         assert sum(n for _, n in items) <= 256
 
 
+def test_packing_query(spark, docs, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "PART_ROWS", 2)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer = Tokenizer.from_file(PATH)
+    want = Counter()
+    for doc, text in rows:
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        first = (len(ids) - 1) % 2048 + 1
+        for piece, a in enumerate([0, *range(first, len(ids), 2048)]):
+            part = ids[a : first if not piece else a + 2048]
+            want[doc, piece, a, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    found = catalogue.op4_best_fit_packing(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == want
+    bins = defaultdict(list)
+    for r in found:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for items in bins.values():
+        items.sort()
+        assert all(at == sum(n for _, n in items[:i]) for i, (at, _) in enumerate(items)) and sum(n for _, n in items) <= 2048
+    sizes = sorted((r.length for r in found), reverse=True)
+    assert len(bins) <= max(sum(n > 1024 for n in sizes), -(-sum(sizes) // 2048)) + 1
+
+
+def test_bpe_query(spark, docs, rows, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer = Tokenizer.from_file(PATH)
+    ids = [(d, tokenizer.encode(t, add_special_tokens=False).ids) for d, t in rows]
+    want = Counter((d, len(x), sha(",".join(map(str, x))), sha(tokenizer.decode(x, skip_special_tokens=False))) for d, x in ids)
+    assert Counter(map(tuple, catalogue.op2_bpe(spark, str(tmp_path)).collect())) == want
+
+
+def test_suffix_automaton():
+    tokens = {b"a": 0, b"b": 1, b"ab": 2, b"bab": 3, b"cabb": 4, b"bb": 5}
+    auto = bpe.SuffixAutomaton(tokens)
+    pick = random.Random(3)
+    for _ in range(200):
+        text = bytes(pick.choice(b"abcd") for _ in range(pick.randrange(1, 12)))
+        state, have = np.zeros(1, np.int32), np.zeros(1, np.int32)
+        for i, c in enumerate(text):
+            state, have = auto.advance(state, have, np.array([c], np.uint8))
+            ends = [text[j : i + 1] for j in range(i + 1)]
+            assert have[0] == max((len(e) for e in ends if any(e in t for t in tokens)), default=0)
+            s, got = int(state[0]), []
+            if auto.token[s] < 0 or have[0] != auto.length[s]:
+                s = int(auto.next[s])
+            while s >= 0:
+                got.append(int(auto.token[s]))
+                s = int(auto.next[s])
+            assert got == [tokens[e] for e in ends if e in tokens]
+
+
 def test_plan_is_close_to_the_bound():
     pick = random.Random(5)
     for _ in range(50):
@@ -226,6 +277,7 @@ def test_empty_tables(spark):
     assert quality_rules.quality_verdicts(none).isEmpty()
     assert near_dedup.near_groups(none).isEmpty()
     assert packing.pack(none, PATH).isEmpty()
+    assert bpe.bpe_decode(bpe.bpe_encode(none, PATH), PATH).isEmpty()
     assert line_dedup.line_groups(none).isEmpty()
     assert license_scan.license_scan(none).isEmpty()
     assert lm_scores.cross_entropy_difference(none, none).isEmpty()
