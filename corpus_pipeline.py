@@ -32,7 +32,7 @@ def _one_per_group(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the rules, or the rules for their host, refuse go."""
+    """Texts that the rules, or the rules for their host, refuse go. Null, empty and blank texts are refused; repeats of a kept row are kept here."""
     verdicts = quality_rules.quality_verdicts(docs).filter("kept")
     kept = verdicts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__doc"), F.col("tag").alias("__tag"))
     return replaced(docs, "doc_id", "text", kept.distinct(), "left_semi")
@@ -56,7 +56,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of repeated 35-word windows go; a text that loses any has its other words left, joined by blanks."""
+    """Words of repeated 35-word windows go; a text that loses any has its other words left, joined by blanks.
+
+    No row goes, null and empty texts and null ids included; a text that is all
+    repeats becomes empty. Other columns stay, ``n_chars`` is counted anew.
+    """
     found = substring_dedup.substring_dedup(docs).filter("n_removed > 0").select(
         F.coalesce("doc_id", F.lit(NO_ID)).alias("__doc"), F.col("tag").alias("__tag"), F.col("kept_text").alias("__text"),
     )
@@ -69,7 +73,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all texts in sequences of at most 2048 tokens."""
+    """Pieces of all texts in sequences of at most 2048 tokens; null and empty texts are one end id. An empty table gives no rows."""
     return packing.pack(docs, TOKENIZER).drop("tag")
 
 
