@@ -254,7 +254,7 @@ def test_lines(spark):
 
 def test_lm_scores(docs, rows, spark):
     target = {0, 3, 12}
-    found = lm_scores.cross_entropy_difference(docs, spark.createDataFrame([(x,) for x in target], "doc_id long"), vocabulary=1000)
+    found = lm_scores.cross_entropy_difference(docs, spark.createDataFrame([(x,) for x in target], "doc_id long"))
     lists = [(d, words(lower(t))) for d, t in rows]
     vocabulary = {w for _, ws in lists for w in ws}
     losses = []
