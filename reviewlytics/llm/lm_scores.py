@@ -207,8 +207,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     bits = min(30, (3 * seen["n"] // PART_KEYS).bit_length())
     shift, groups = 64 - bits, seen["n"] // GROUP_TOKENS + 1
 
-    # Both uses of the texts by group read one shuffle: they ask for the same columns.
-    texts = own.withColumn("group", F.pmod(F.xxhash64("doc", "tag"), F.lit(groups))).repartition(groups, "group")
+    # Both uses of the texts by group read one shuffle: they ask for the same columns, in partitions that the last join takes as they are.
+    fewest = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = own.withColumn("group", F.pmod(F.xxhash64("doc", "tag"), F.lit(groups))).repartition(max(groups, fewest), "group")
     slices = "part int, group long, n int, keys binary, target binary, every binary"
     sent = texts.sortWithinPartitions("group").mapInArrow(partial(_key_counts, shift=shift), slices)
     totals = sent.repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(partial(_totals, shift=shift), slices)
