@@ -81,7 +81,7 @@ def most_frequent(counts: DataFrame, keys: list[str], by: str, limit: int) -> Da
         .withColumn("_room", F.lit(limit) - (F.col("_upto") - F.col("_ties")))
         .select(*keys, "_cut", "_room")
     )
-    judged = counts.join(edge, keys)
+    judged = lookup(counts, edge, keys)
     above = judged.filter(F.col(by) > F.col("_cut"))
     ties = rank_by_range(judged.filter(F.col(by) == F.col("_cut")), keys, [F.col("term")], "_rank")
     kept = ties.filter(F.col("_rank") <= F.col("_room"))
@@ -153,7 +153,7 @@ def log_count_ratio(sums: DataFrame, keys: list[str], alpha: float = 1.0) -> Dat
     )
     totals = smoothed.groupBy(*keys).agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
     ratio = F.log((F.col("p") / F.col("_p")) / (F.col("q") / F.col("_q")))
-    return settle(smoothed.join(totals, keys).select(*keys, "term", "p", "q", ratio.alias("r")), "ratio")
+    return settle(lookup(smoothed, totals, keys).select(*keys, "term", "p", "q", ratio.alias("r")), "ratio")
 
 
 def scale_by_ratio(weighted: DataFrame, ratio: DataFrame, keys: list[str]) -> DataFrame:

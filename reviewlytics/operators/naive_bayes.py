@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewlytics.operators import features as feat
 from reviewlytics.operators.linear import LinearModel
-from reviewlytics.runtime import settle
+from reviewlytics.runtime import lookup, settle
 
 # Log prior odds when one class has no training document: certainty.
 ONE_CLASS = 500.0
@@ -50,7 +50,7 @@ def fit(
 
     weight = log_share("pos_sum", "_p") - log_share("neg_sum", "_q")
     out_keys = [*keys, "alpha"] if vary_alpha else list(keys)
-    weights = sums.join(totals, keys).select("*", grid).select(*out_keys, "term", "idf", weight.alias("weight"))
+    weights = lookup(sums, totals, keys).select("*", grid).select(*out_keys, "term", "idf", weight.alias("weight"))
     prior = (
         F.when(F.col("n_neg") == 0, F.lit(ONE_CLASS)).when(F.col("n_pos") == 0, F.lit(-ONE_CLASS))
         .otherwise(F.log(F.col("n_pos") / F.col("n_neg")))

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from reviewlytics.config import DIAGNOSTIC_CASES, MODEL_DISPLAY_NAMES, PARAM_GRIDS, SEED
 from reviewlytics.operators import evaluate, isotonic, linear, models, reports, sampling
 from reviewlytics.operators.normalise import DEFAULT, PRESCRIBED, RAW, normalise
+from reviewlytics.operators.ranking import rank_by_hash
 from reviewlytics.plans import sql as s
-from reviewlytics.plans.base import Registry, derived_lemmas, documents, folded_tokens, out_of_fold, review_tokens, reviews
+from reviewlytics.plans.base import Registry, curve_draws, derived_lemmas, documents, folded_tokens, out_of_fold, review_tokens, reviews
 from reviewlytics.plans.model_queries import SPLIT, _lexicon_scored
 from reviewlytics.plans.report_queries import _edge_bin
-from reviewlytics.runtime import settle
+from reviewlytics.runtime import lookup, settle
 
 registry = Registry()
 add = registry.add
@@ -182,6 +183,58 @@ def _(spark, folder):
     return rated.crossJoin(F.broadcast(test)).select(F.lit(name).alias("model"), "recipe", "n", "accuracy", "n01", "n10", "p_value")
 
 
+def _curve_folds(size: int) -> int:
+    """Folds that tune a model inside a draw: fewer where they would be tiny."""
+    return 3 if size < 1_000 else 5
+
+
+def _curve_sets(spark, folder):
+    """Reviews with the sets of every draw: one per fold left out, then the whole draw, which is judged on the test reviews."""
+    tokens = _split(spark, folder).select("doc_id", "label", "terms_2", "part")
+    pool = tokens.filter("part = 'train'").select("doc_id", "label")
+    total = pool.count()
+    draws, sets = [], 0
+    for size, repeats in curve_draws(total).items():
+        for draw in range(repeats):
+            draws.append((size, draw, sets, _curve_folds(size)))
+            sets += _curve_folds(size) + 1
+    drawn = sampling.stratified_subsamples(pool, curve_draws(total), total)
+    ranked = rank_by_hash(drawn, ["train_size", "draw", "label"], "doc_id", SEED, "_rank")
+    plan = spark.createDataFrame(draws, "train_size int, draw int, first int, k int")
+    placed = lookup(ranked, plan, ["train_size", "draw"]).withColumn("fold", (F.col("first") + (F.col("_rank") - 1) % F.col("k")).cast("int"))
+    others = F.filter(F.sequence(F.col("first"), F.col("first") + F.col("k")), lambda i: i != F.col("fold"))
+    by_doc = placed.groupBy("doc_id").agg(F.flatten(F.collect_list(others)).alias("trains"), F.collect_list("fold").alias("inside"))
+    wholes = F.array(*[F.lit(first + k) for _, _, first, k in draws])
+    held = F.when(F.col("part") == "test", wholes).otherwise(F.coalesce("inside", F.array().cast("array<int>")))
+    return draws, sets, settle(tokens.join(by_doc, "doc_id", "left").withColumn("held", held).drop("inside"), "curve-sets")
+
+
+@add("learning_curve_models")
+def _(spark, folder):
+    """Accuracy by training size of the four models, each tuned by cross-validation inside every draw."""
+    draws, sets, docs = _curve_sets(spark, folder)
+    inner = [first + j for _, _, first, k in draws for j in range(k)]
+    rows = []
+    for shared in (("naive_bayes", "linear_svm", "logistic_regression"), ("nbsvm",)):
+        vectors = models.shared_vectors(shared[0], docs, sets)
+        for name in shared:
+            fits = models.fit_all(name, vectors, inner, PARAM_GRIDS[name])
+            runs = pd.DataFrame({"set": [f.train for f in fits], "parameter": [f.cost for f in fits], "accuracy": vectors.accuracies(fits)})
+            for size, _draw, first, k in draws:
+                best, _ = models.best_parameter(runs[runs["set"].between(first, first + k - 1)])
+                rows.append((name, size, first + k, best))
+            chosen = [r for r in rows if r[0] == name]
+            whole = [f for best in sorted({r[3] for r in chosen}) for f in models.fit_all(name, vectors, [r[2] for r in chosen if r[3] == best], (best,))]
+            found = {f.train: (float(a), float(f.n_features)) for f, a in zip(whole, vectors.accuracies(whole), strict=True)}
+            rows = [(*r, *found[r[2]]) if r[0] == name else r for r in rows]
+        vectors.close()
+    runs = spark.createDataFrame(
+        [(name, size, accuracy, n, best) for name, size, _, best, accuracy, n in rows],
+        "model string, train_size int, accuracy double, n_features double, parameter double",
+    )
+    return reports.learning_curve(runs)
+
+
 def _grid(spark, folder) -> pd.DataFrame:
     return _once(spark, folder, "grid", lambda: models.cross_validate("nbsvm", folded_tokens(spark, folder, FOLDS), FOLDS))
 
