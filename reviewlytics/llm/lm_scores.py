@@ -18,8 +18,9 @@ from reviewlytics.runtime import lookup, settle, ship_package
 #: Weight of the word model behind each bigram count.
 SMOOTHING = 100.0
 GROUP_TOKENS = 3 << 20
-PART_KEYS = 4 << 20
-HELD = 4 << 20
+PART_KEYS = 1 << 20
+RANGES = 64
+HELD = 1 << 20
 _START = np.uint64(0x5851F42D4C957F2D)
 _PAIR, _WORD, _HISTORY = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
@@ -93,27 +94,41 @@ def _key_counts(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.Re
     """The counts within each group, cut into the parts of the key space."""
     now, held = None, []
 
-    def flush() -> pa.RecordBatch:
-        k, t, n = _tally(*map(np.concatenate, zip(*held, strict=True)))
+    def flush() -> Iterator[pa.RecordBatch]:
+        """Range by range of the key space, so that the group's keys are never all in one array."""
+        edges = np.arange(1, RANGES, dtype=np.uint64) * np.uint64((1 << 64) // RANGES)
+        cuts = [[0, *np.searchsorted(k, edges).tolist(), len(k)] for k, _, _ in held]
+        rows = []
+        for i in range(RANGES):
+            own = [[x[c[i] : c[i + 1]] for x in columns] for columns, c in zip(held, cuts, strict=True)]
+            k, t, n = _tally(*map(np.concatenate, zip(*own, strict=True)))
+            part = (k >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(k), np.int64)
+            starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            rows += [(int(part[a]), now, *_slice(int(part[a]), k[a:b], t[a:b], n[a:b], shift)) for a, b in itertools.pairwise([*starts, len(k)])]
+            # A part may go on in the next range.
+            while len(rows) > 64:
+                yield _slices(rows[:64])
+                del rows[:64]
         held.clear()
-        part = (k >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(k), np.int64)
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(k)])).tolist()
-        return _slices([(int(part[a]), now, *_slice(int(part[a]), k[a:b], t[a:b], n[a:b], shift)) for a, b in itertools.pairwise(cuts)])
+        if rows:
+            yield _slices(rows)
 
     for batch in pieces(batches):
         group = np.asarray(batch["group"])
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(group)]))
         for a, b in itertools.pairwise(cuts.tolist()):
             if now != group[a] and held:
-                yield flush()
+                yield from flush()
             now = int(group[a])
             part = batch.slice(a, b - a)
             sizes, keys = _keys(part["text"])
             if sizes.any():
                 target = np.repeat(np.asarray(part["target"]), sizes)
-                held.extend(_tally(k, target, np.ones(len(k), np.int64)) for k in keys)
+                for k in keys:
+                    own, t, n = _tally(k, target, np.ones(len(k), np.int64))
+                    held.append((own, t.astype(np.int32), n.astype(np.int32)))
     if held:
-        yield flush()
+        yield from flush()
 
 
 def _totals(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.RecordBatch]:
@@ -149,11 +164,11 @@ _SCORED = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("n_tokens", pa.i
 
 
 def _score(texts: pa.Table, slices: pa.Table, sums: tuple[int, int], slots: int, shift: int) -> pa.Table:
-    """Losses of the texts of a group, with the corpus counts of its keys. Slices by part are keys in ascending order."""
+    """Losses of the texts of a group, with the corpus counts of its keys."""
     table = np.empty(0, np.uint64), np.empty((2, 0), np.int64)
     if slices.num_rows:
-        slices = slices.sort_by("part")
         opened = [_opened(*x, shift) for x in zip(*(slices[c].to_pylist() for c in ("part", "n", "keys", "target", "every")), strict=True)]
+        opened.sort(key=lambda x: int(x[0][0]))
         keys, target, every = (np.concatenate(x) for x in zip(*opened, strict=True))
         table = keys, np.stack([target, every]).astype(np.int64)
     out = []
@@ -184,7 +199,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
 
     Words, bigrams and histories (a bigram's first word, or the start of a
     text) are known by 64-bit hashes. Texts are dealt by a hash into groups of
-    some three million tokens, and the hashes of keys into parts of some four
+    some three million tokens, and the hashes of keys into parts of some
     million. A group sends each part a slice: its keys there, once, ascending,
     with their counts. A part adds these up and sends each group the corpus
     counts of its keys that stand twice anywhere. Only the numbers of tokens and
@@ -212,7 +227,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     texts = own.withColumn("group", F.pmod(F.xxhash64("doc", "tag"), F.lit(groups))).repartition(max(groups, fewest), "group")
     slices = "part int, group long, n int, keys binary, target binary, every binary"
     sent = texts.sortWithinPartitions("group").mapInArrow(partial(_key_counts, shift=shift), slices)
-    totals = sent.repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(partial(_totals, shift=shift), slices)
+    # Some parts to a task, one after the other.
+    tasks = min(max(min(1 << bits, fewest), (1 << bits) // 16), 1 << 17)
+    totals = sent.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(partial(_totals, shift=shift), slices)
     score = partial(_score, sums=(seen["target"], seen["n"]), slots=seen["words"] + 2, shift=shift)
     scored = texts.groupBy("group").cogroup(totals.groupBy("group")).applyInArrow(
         lambda texts, slices: score(texts, slices), "doc long, tag long, n_tokens long, target_loss double, background_loss double",
