@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -110,6 +111,12 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the files of shuffles that no DataFrame refers to any more deleted now, not when memory runs short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _measured: dict[tuple, int] = {}
 
 
