@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reviewlytics.llm import exact_dedup, near_dedup, packing, quality_rules, substring_dedup
 from reviewlytics.llm.rows import NO_ID, replaced, row_key
-from reviewlytics.runtime import settle, table
+from reviewlytics.runtime import release, settle, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -40,6 +40,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays: of the largest id, then of the least tag."""
+    release(spark)
     kept = exact_dedup.exact_groups(docs).filter("kept")
     return _one_per_group(docs, kept.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "tag", F.col("text_sha256").alias("group")))
 
@@ -49,6 +50,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words are no near-copies: of these only whole repeats go.
     """
+    release(spark)
     members = near_dedup.near_members(docs).filter("doc = component")
     has = F.col("n") > 0
     group = F.struct(has.alias("has"), F.coalesce("group", "doc").alias("a"), F.when(has, 0).otherwise(F.col("tag")).alias("b"))
@@ -61,6 +63,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     No row goes, null and empty texts and null ids included; a text that is all
     repeats becomes empty. Other columns stay, ``n_chars`` is counted anew.
     """
+    release(spark)
     found = substring_dedup.substring_dedup(docs).filter("n_removed > 0").select(
         F.coalesce("doc_id", F.lit(NO_ID)).alias("__doc"), F.col("tag").alias("__tag"), F.col("kept_text").alias("__text"),
     )
@@ -74,6 +77,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all texts in sequences of at most 2048 tokens; null and empty texts are one end id. An empty table gives no rows."""
+    release(spark)
     return packing.pack(docs, TOKENIZER).drop("tag")
 
 
