@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from reviewlytics.llm.rows import given_id, keyed, pieces
 from reviewlytics.llm.wordhash import Words, mix
-from reviewlytics.runtime import lookup, settle, ship_package
+from reviewlytics.runtime import lookup, release, settle, ship_package
 
 #: Weight of the word model behind each bigram count.
 SMOOTHING = 100.0
@@ -219,6 +219,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     counted = own.mapInArrow(_word_counts, "hash long, n long, target long").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
     none = F.lit(0).cast("bigint")
     seen = counted.agg(F.count(F.lit(1)).alias("words"), *[F.coalesce(F.sum(c), none).alias(c) for c in ("n", "target")]).first()
+    del counted
+    # The shuffle of the words is done with.
+    release(docs.sparkSession)
     bits = min(30, (3 * seen["n"] // PART_KEYS).bit_length())
     shift, groups = 64 - bits, seen["n"] // GROUP_TOKENS + 1
 
