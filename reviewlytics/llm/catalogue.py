@@ -65,7 +65,9 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     good = table(spark, folder, "labels").filter("quality = 1").select("doc_id")
-    return lm_scores.cross_entropy_difference(table(spark, folder, "documents"), good).drop("tag")
+    found = lm_scores.cross_entropy_difference(table(spark, folder, "documents"), good)
+    losses = [(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("target_loss", "background_loss", "difference")]
+    return found.select("doc_id", "n_tokens", *losses)
 
 
 def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -66,6 +66,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, a =
 FROM broken JOIN refused ON broken.source IS NOT DISTINCT FROM refused.source
 """
 
+#: Bigram models of the labelled and of all texts over all words, each backed by its word model; an empty word starts a text.
+OP9 = rf"""
+WITH good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w, doc_id IN (SELECT doc_id FROM good) AS t FROM documents
+),
+token AS MATERIALIZED (
+  SELECT doc_id, t, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] ELSE '' END AS prev FROM d, unnest(range(1, len(w) + 1)) AS x(i)
+),
+word AS (SELECT word, count(*) AS e, count(*) FILTER (t) AS g FROM token GROUP BY word),
+pair AS (SELECT prev, word, count(*) AS e, count(*) FILTER (t) AS g FROM token GROUP BY prev, word),
+history AS (SELECT prev, count(*) AS e, count(*) FILTER (t) AS g FROM token GROUP BY prev),
+total AS (SELECT count(*) AS e, count(*) FILTER (t) AS g, count(DISTINCT word) + 2 AS slots FROM token),
+loss AS (
+  SELECT doc_id, count(*) AS n,
+    -avg(log2((p.g + 100.0::DOUBLE * (o.g + 1) / (total.g + slots)) / (h.g + 100.0::DOUBLE))) AS a,
+    -avg(log2((p.e + 100.0::DOUBLE * (o.e + 1) / (total.e + slots)) / (h.e + 100.0::DOUBLE))) AS b
+  FROM token JOIN pair p USING (prev, word) JOIN word o USING (word) JOIN history h USING (prev), total GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, round(coalesce(a, 0), 6) AS target_loss, round(coalesce(b, 0), 6) AS background_loss,
+  round(coalesce(a - b, 0), 6) AS difference
+FROM d LEFT JOIN loss USING (doc_id)
+"""
+
+#: Full sets of two-word shingles, all pairs that share one, and everything that can be reached along links.
+OP10 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM d
+),
+size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (
+  SELECT x, y FROM common c JOIN size a ON a.doc_id = x JOIN size b ON b.doc_id = y WHERE 100 * c.n >= 80 * (a.n + b.n - c.n)
+),
+edge AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, y FROM reach JOIN edge ON r = x)
+SELECT doc_id, coalesce(any_value(size.n), 0)::BIGINT AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept
+FROM reach LEFT JOIN size USING (doc_id) GROUP BY doc_id
+"""
+
 #: Shares in billionths; their products have 128 bits.
 OP12 = r"""
 WITH d AS (
@@ -100,4 +141,4 @@ SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC
 QUALIFY part = 'pair' OR rank <= 200
 """
 
-QUERIES = {"op1_substring_dedup": OP1, "op6_exact_dedup": OP6, "op8_quality_rules": OP8, "op12_divergence_audit": OP12}
+QUERIES = {"op1_substring_dedup": OP1, "op6_exact_dedup": OP6, "op8_quality_rules": OP8, "op9_lm_scores": OP9, "op10_near_dedup": OP10, "op12_divergence_audit": OP12}
