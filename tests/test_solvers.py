@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from reviewlytics.operators import features, models
 from reviewlytics.operators.solvers import Fit, SharedVectors
+from reviewlytics.plans.base import turns
 from reviewlytics.runtime import settle
 
 WORDS = [f"w{i}" for i in range(40)]
@@ -132,3 +133,46 @@ def test_capped_vocabulary_of_each_set(spark, docs):
     vectors = SharedVectors(docs.withColumns(models.leave_out("fold", 3)), options, 3)
     assert [f.n_features for f in vectors.naive_bayes((1.0,))] == [12, 12, 12]
     vectors.close()
+
+
+def test_sums_in_slices_and_few_partitions(spark, docs, monkeypatch):
+    placed = docs.repartition(30).withColumns(models.leave_out("fold", 3))
+    plain = SharedVectors(placed, features.TFIDF, 3)
+    expected = plain.accuracies(plain.naive_bayes((0.5, 1.0)))
+    # What the driver gets goes by the cores, however many partitions the documents have.
+    assert plain.blocks.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    plain.close()
+    monkeypatch.setattr("reviewlytics.operators.solvers.SLICE_BYTES", 64)
+    monkeypatch.setattr("reviewlytics.operators.solvers.RELEASE_BYTES", 1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    sliced = SharedVectors(placed, features.TFIDF, 3)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    assert sliced.accuracies(sliced.naive_bayes((0.5, 1.0))) == pytest.approx(expected)
+    sliced.close()
+
+
+def test_sets_in_turns(spark, docs):
+    placed = docs.withColumns(models.leave_out("fold", 3))
+    together = SharedVectors(placed, features.TFIDF, 3)
+    expected = together.accuracies(together.naive_bayes((1.0,)))
+    together.close()
+    found = []
+    for first, n in ((0, 2), (2, 1)):
+        vectors = SharedVectors(models.some_sets(placed, first, n), features.TFIDF, n)
+        fits = vectors.naive_bayes((1.0,))
+        assert [f.train for f in fits] == list(range(n)) and len(vectors.n_docs) == n
+        found += list(vectors.accuracies(fits))
+        vectors.close()
+    assert found == pytest.approx(list(expected))
+    # Small draws of a size go together, larger ones take turns.
+    assert turns([(200, 4)] * 5 + [(1_000, 6)] * 5 + [(2_500, 6)] * 2 + [(5_000, 1)] * 3) == [
+        [0, 1, 2, 3, 4], [5, 6, 7], [8, 9], [10], [11], [12, 13, 14],
+    ]
+
+
+def test_sets_without_documents_and_repeated_numbers(spark):
+    rows = [(0, 1, ["a", "b"], [0, 0]), (1, 0, ["a", "c"], [0]), (2, 1, ["b", "c"], None), (3, 0, [], [0]), (4, 1, None, [0])]
+    vectors = SharedVectors(spark.createDataFrame(rows, "doc_id int, label int, tokens array<string>, trains array<int>"), features.VectorOptions(ngram_max=1), 2)
+    assert vectors.n_docs.tolist() == [4, 0] and vectors.vocabulary.to_pylist() == ["a"]
+    assert (vectors.idf > 0).tolist() == [[True, False]]
+    vectors.close()
