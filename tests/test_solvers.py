@@ -176,3 +176,36 @@ def test_sets_without_documents_and_repeated_numbers(spark):
     assert vectors.n_docs.tolist() == [4, 0] and vectors.vocabulary.to_pylist() == ["a"]
     assert (vectors.idf > 0).tolist() == [[True, False]]
     vectors.close()
+
+
+def test_judged_fits_keep_no_weights(spark, docs):
+    placed = docs.withColumns(models.leave_out("fold", 3))
+    vectors = SharedVectors(placed, features.TFIDF, 3)
+    grid = [(i, c) for c in (0.5, 2.0) for i in range(3)]
+    expected = vectors.accuracies(vectors.minimise("logistic", [Fit(i, c) for i, c in grid], 1e-5))
+    fits = vectors.minimise("logistic", [Fit(i, c) for i, c in grid], 1e-5, judge=True)
+    assert [f.accuracy for f in fits] == pytest.approx(list(expected)) and all(f.weights is None for f in fits)
+    vectors.close()
+
+
+def test_blocks_hold_documents_of_the_same_sets(spark, docs, monkeypatch):
+    monkeypatch.setattr("reviewlytics.operators.solvers.LEAST_COUNTS", 0)
+    vectors = SharedVectors(docs.withColumns({"trains": F.array("fold"), "held": F.array()}), features.TFIDF, 3)
+    # A document's sums are made for its own set alone.
+    assert sorted(vectors.blocks.flatMap(lambda b: [tuple(b.length)] * len(b.label)).collect()) == [(i,) for i in range(3) for _ in range(50)]
+    vectors.close()
+
+
+def test_homes_of_transfer_take_turns(spark, tmp_path, monkeypatch):
+    from reviewlytics.plans import model_queries
+
+    texts = ["good fine film", "bad dull film", "good plot", "bad plot"]
+    rows = [(i, texts[i % 4], f"l{i % 3}", f"s{i % 2}", 1 - i % 2) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, quality int")
+    table.drop("quality").write.parquet(f"{tmp_path}/documents.parquet")
+    table.select("doc_id", "quality").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, plain = [], models.shared_vectors
+    monkeypatch.setattr(models, "shared_vectors", lambda name, docs, n_sets=1, n_parts=1: seen.append(n_sets) or plain(name, docs, n_sets, n_parts))
+    found = model_queries.registry.queries["transfer"](spark, str(tmp_path)).collect()
+    # The sets of one home at a time, its own and one per fold; all homes together were 18.
+    assert seen == [6, 6, 6] and len(found) == 6
