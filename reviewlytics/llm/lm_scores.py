@@ -59,15 +59,22 @@ def _keys(texts: pa.Array) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes as the largest needs, one plane per byte; zero planes cost little once compressed."""
+    """Whole numbers in as few bytes as the largest needs, one plane per byte, compressed (128 on the width) where that is less.
+
+    The upper planes hold few values: an entropy code saves there what the shuffle's own compression can't.
+    """
     width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
-    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T
-    return bytes([width]) + planes.tobytes()
+    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    small = pa.compress(planes, codec="zstd", asbytes=True) if planes else planes
+    return bytes([width | 128]) + small if len(small) < len(planes) else bytes([width]) + planes
 
 
 def _unpacked(data: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
-    out[:, : data[0]] = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], n).T
+    width, planes = data[0] & 127, data[1:]
+    if data[0] & 128:
+        planes = pa.decompress(planes, decompressed_size=width * n, codec="zstd", asbytes=True)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
     return out.view("<u8").ravel()
 
 

@@ -30,3 +30,11 @@ def test_rare_words_are_learnt(spark):
         ]
     assert len(found) == 80
     assert all(np.allclose([r.target_loss, r.background_loss], want[r.doc_id], atol=1e-9) for r in found)
+
+
+def test_counts_in_few_bytes():
+    rng = np.random.default_rng(5)
+    for values in (rng.exponential(2.0**41, 20_000).astype(np.uint64), rng.integers(1, 3, 20_000), np.array([], np.int64), np.array([0]), np.array([(1 << 64) - 1], np.uint64)):
+        assert lm_scores._unpacked(lm_scores._packed(values), len(values)).tolist() == values.tolist()
+    # Distances of random keys: of the top byte of each most is empty; before, all six bytes were written.
+    assert len(lm_scores._packed(rng.exponential(2.0**41, 20_000).astype(np.uint64))) < 5.7 * 20_000
