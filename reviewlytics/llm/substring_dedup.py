@@ -27,6 +27,8 @@ from reviewlytics.llm.wordhash import Words, mix, prefix_sums, run_hash, slide
 from reviewlytics.runtime import ship_package
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bytes of text that a worker makes arrays of at a time: some forty times as many.
+PIECE_BYTES = 1 << 20
 FOUND = "key long, check int, doc long, tag long, at long, n int, sure boolean"
 
 
@@ -104,7 +106,7 @@ def _records(key, check, batch, text, at, n=None, sure=None) -> pa.RecordBatch:
 
 def _vertices(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """Two rows per vertex, for its k-mer (at = 4 * place) and for its edge (4 * place + 1)."""
-    for batch in pieces(batches):
+    for batch in pieces(batches, limit=PIECE_BYTES):
         graph = Graph(Words(batch["text"]), span)
         v = graph.vertex
         if len(v):
@@ -120,7 +122,7 @@ def _windows(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Record
     The latter may equal a window in a repeated edge, so one text of each edge
     sends its windows too, as witnesses (n = 0).
     """
-    for batch in pieces(batches):
+    for batch in pieces(batches, limit=PIECE_BYTES):
         graph = Graph(Words(batch["text"]), span)
         marks = batch["marks"]
         at = np.asarray(pc.list_flatten(marks))
@@ -158,7 +160,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
 
 def _cut(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """Counts, the kept text and its hash per row of a batch."""
-    for batch in pieces(batches):
+    for batch in pieces(batches, limit=PIECE_BYTES):
         words = Words(batch["text"])
         counts = words.counts()
         change = np.zeros(len(words.hash) + 1, np.int64)
