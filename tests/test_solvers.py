@@ -190,7 +190,7 @@ def test_judged_fits_keep_no_weights(spark, docs):
 
 def test_blocks_hold_documents_of_the_same_sets(spark, docs, monkeypatch):
     monkeypatch.setattr("reviewlytics.operators.solvers.LEAST_COUNTS", 0)
-    vectors = SharedVectors(docs.withColumns({"trains": F.array("fold"), "held": F.array()}), features.TFIDF, 3)
+    vectors = SharedVectors(docs.withColumns({"trains": F.array("fold"), "held": F.array().cast("array<int>")}), features.TFIDF, 3)
     # A document's sums are made for its own set alone.
     assert sorted(vectors.blocks.flatMap(lambda b: [tuple(b.length)] * len(b.label)).collect()) == [(i,) for i in range(3) for _ in range(50)]
     vectors.close()
