@@ -188,12 +188,12 @@ def test_judged_fits_keep_no_weights(spark, docs):
     vectors.close()
 
 
-def test_blocks_hold_documents_of_the_same_sets(spark, docs, monkeypatch):
-    monkeypatch.setattr("reviewlytics.operators.solvers.LEAST_COUNTS", 0)
-    vectors = SharedVectors(docs.withColumns({"trains": F.array("fold"), "held": F.array().cast("array<int>")}), features.TFIDF, 3)
-    # A document's sums are made for its own set alone.
-    assert sorted(vectors.blocks.flatMap(lambda b: [tuple(b.length)] * len(b.label)).collect()) == [(i,) for i in range(3) for _ in range(50)]
-    vectors.close()
+def test_blocks_hold_documents_of_the_same_sets():
+    from reviewlytics.operators.solvers import _in_order
+
+    member = np.array([[1, 0], [0, 1], [1, 0]], np.uint8)
+    found = _in_order(member, np.array([2, 1, 0]), np.array([7, 8, 9], np.int32), np.empty(0), 0)
+    assert [(some.tolist(), size.tolist(), term.tolist()) for some, size, term, _ in found] == [([1], [1], [9]), ([0, 2], [2, 0], [7, 8])]
 
 
 def test_homes_of_transfer_take_turns(spark, tmp_path, monkeypatch):
