@@ -265,8 +265,8 @@ def _(spark, folder):
     return _weighted(spark, folder, feat.TFIDF).select("doc_id", "term", "weight")
 
 
-def _ratio(spark, folder):
-    return feat.log_count_ratio(feat.class_sums(_weighted(spark, folder, feat.NBSVM), ["fit"]), ["fit"])
+def _ratio(weighted):
+    return feat.log_count_ratio(feat.class_sums(weighted, ["fit"]), ["fit"])
 
 
 RATIO = BINARY.rstrip() + """,
@@ -278,14 +278,14 @@ f_ratio AS MATERIALIZED (
 
 @add("log_count_ratio", RATIO + s.rounded("SELECT term, p, q, r FROM f_ratio", "p", "q", "r"))
 def _(spark, folder):
-    return _ratio(spark, folder).select("term", "p", "q", "r")
+    return _ratio(_weighted(spark, folder, feat.NBSVM)).select("term", "p", "q", "r")
 
 
 @add("ratio_scaled_features", RATIO + s.rounded(
     "SELECT doc_id, term, weight * r AS scaled FROM f_weighted JOIN f_ratio USING (term)", "scaled"))
 def _(spark, folder):
-    weighted = _weighted(spark, folder, feat.NBSVM)
-    return feat.scale_by_ratio(weighted, _ratio(spark, folder), ["fit"]).select("doc_id", "term", "scaled")
+    weighted = settle(_weighted(spark, folder, feat.NBSVM), "weighted")
+    return feat.scale_by_ratio(weighted, _ratio(weighted), ["fit"]).select("doc_id", "term", "scaled")
 
 
 @add("discriminative_words", s.with_(s.REVIEWS, f"""w AS (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reviewlytics.functions import arrow
 from reviewlytics.functions import text as tx
 from reviewlytics.operators import models
-from reviewlytics.plans import base
+from reviewlytics.plans import base, text_queries
 from reviewlytics.runtime import clear_scratch
 
 
@@ -52,6 +52,13 @@ def test_one_pass_keeps_no_blocks_and_sums_alike(spark, folder):
     once.close()
 
 
+def test_scaled_features_weigh_terms_once(spark, folder, monkeypatch):
+    calls, plain = [], text_queries.feat.tfidf
+    monkeypatch.setattr(text_queries.feat, "tfidf", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    rows = text_queries.registry.queries["ratio_scaled_features"](spark, folder).collect()
+    assert rows and len(calls) == 1
+
+
 def test_bare_tokens(spark):
     rows = spark.createDataFrame([(t,) for t in ("a_NEG", "_NEGa", "a_NEG_NEG", "", None, "a_NEG\n")], "t string")
     both = rows.select(tx.bare(F.col("t")).alias("x"), F.regexp_replace("t", "_NEG$", "").alias("y"))
