@@ -67,7 +67,10 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = substring_dedup.substring_dedup(docs).filter("n_removed > 0").select(
         F.coalesce("doc_id", F.lit(NO_ID)).alias("__doc"), F.col("tag").alias("__tag"), F.col("kept_text").alias("__text"),
     )
-    joined = replaced(docs, "doc_id", "text", settle(found, "cut-texts").dropDuplicates(["__doc", "__tag"]))
+    found = settle(found, "cut-texts")
+    # The join moves all texts once more; those of the search and its windows are done with.
+    release(spark)
+    joined = replaced(docs, "doc_id", "text", found.dropDuplicates(["__doc", "__tag"]))
     changed = joined.withColumn("text", F.coalesce("__text", "text"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
