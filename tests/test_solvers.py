@@ -209,3 +209,50 @@ def test_homes_of_transfer_take_turns(spark, tmp_path, monkeypatch):
     found = model_queries.registry.queries["transfer"](spark, str(tmp_path)).collect()
     # The sets of one home at a time, its own and one per fold; all homes together were 18.
     assert seen == [6, 6, 6] and len(found) == 6
+
+
+def test_small_sets_are_fitted_by_a_task_each(spark, docs, monkeypatch):
+    vectors = SharedVectors(docs.withColumns(models.leave_out("fold", 3)), features.NBSVM, 3, ratio=True)
+    grid = [(i, c) for c in (8.0, 0.5) for i in range(3)]
+    monkeypatch.setattr("reviewlytics.operators.solvers.OWN_COUNTS", -1)
+    expected = vectors.minimise("logistic", [Fit(i, c) for i, c in grid], 1e-9)
+    right = vectors.accuracies(expected)
+    monkeypatch.undo()
+    # No pass of all tasks per product.
+    monkeypatch.setattr(SharedVectors, "_sum", None)
+    fits = vectors.minimise("logistic", [Fit(i, c) for i, c in grid], 1e-9)
+    judged = vectors.minimise("logistic", [Fit(i, c) for i, c in grid], 1e-9, judge=True)
+    vectors.close()
+    for f, a, want, r in zip(fits, judged, expected, right, strict=True):
+        assert (f.train, f.cost, f.n_docs, f.n_features, f.converged) == (want.train, want.cost, want.n_docs, want.n_features, True)
+        assert np.abs(f.weights - want.weights).max() < 1e-6 and f.bias == pytest.approx(want.bias, abs=1e-6)
+        assert f.gradient_at_zero == pytest.approx(want.gradient_at_zero) and a.accuracy == pytest.approx(r) and a.weights is None
+
+
+@pytest.mark.parametrize("limit", [1, 7, 1 << 20])
+def test_own_set_in_blocks(monkeypatch, limit):
+    from reviewlytics.operators import solvers
+
+    monkeypatch.setattr(solvers, "SENT_COUNTS", limit)
+    monkeypatch.setattr(solvers, "READ_COUNTS", limit)
+    rng = np.random.default_rng(3)
+    size = np.array([0, 3, 2, 0, 4, 1, 0])
+    term, value, label = rng.integers(0, 6, 10), rng.choice([1.0, 1.5, 2.0], 10), rng.integers(0, 2, 7)
+    trains = np.array([1, 1, 0, 1, 1, 1, 0], np.uint8)[:, None]
+    block = solvers.Block(label, np.zeros(7, np.int32), trains, 1 - trains, size, term, value, {0: np.arange(1.0, 8.0)})
+    scale = np.array([1.0, 2.0, 0.0, 1.0, 0.5, 3.0])
+    own = solvers.OwnSet((row for _, row in solvers._dealt(block, [0], True)), scale)
+    x = np.zeros((7, 6))
+    np.add.at(x, (np.repeat(np.arange(7), size), term), value)
+    x = np.column_stack((x * scale / np.arange(1.0, 8.0)[:, None], np.ones(7)))
+    theta = rng.normal(size=7) * np.append(scale != 0, True)
+    inside, y = trains[:, 0] == 1, label * 2.0 - 1
+    short = np.append(theta[:-1][own.known], theta[-1])[None]
+    loss, gradient, _ = own._sum(solvers._gradient, own._state("logistic", [Fit(0, 1.0)], short), [(1,), short.shape, short.shape])
+    margin = (x @ theta)[inside] * y[inside]
+    assert loss[0] == pytest.approx(np.logaddexp(0, -margin).sum())
+    full = x[inside].T @ (-y[inside] / (1 + np.exp(margin)))
+    got = gradient[0] * np.append(scale[own.known], 1.0)
+    assert np.allclose(got, np.append(full[:-1][own.known], full[-1]))
+    right, n = own._sum(solvers._hits, own._state("logistic", [Fit(0, 1.0)], short), [(1, 1), (1, 1)])
+    assert n[0, 0] == 2 and right[0, 0] == ((x @ theta >= 0) == (label == 1))[~inside].sum()
