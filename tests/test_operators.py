@@ -228,6 +228,46 @@ def test_large_films_have_the_interval_of_small_ones(spark):
     assert {k: tuple(round(x, 9) for x in v[1:]) for k, v in cells.items()} == {k: tuple(round(x, 9) for x in v[1:]) for k, v in again.items()}
 
 
+def _plain_draws(rows, n_boot, seed):
+    """Every draw of one film, review by review: the three rules."""
+    import hashlib
+
+    ordered = sorted(rows, key=lambda r: (hashlib.md5(f"{seed}:{r[1]}".encode()).hexdigest(), r[1]))
+    n, out = len(rows), []
+    for draw in range(1, n_boot + 1):
+        picks = [int(hashlib.md5(f"{seed}:{film}:{draw}:{doc}".encode()).hexdigest()[:8], 16) % n for film, doc, _ in ordered]
+        drawn = np.sort([round(ordered[k][2], 9) for k in picks])
+        low, high = drawn[-(-(n - 1) * 10 // 100)], drawn[(n - 1) * 90 // 100]
+        out.append(((drawn >= 0.5).mean(), drawn.mean(), drawn[(drawn >= low) & (drawn <= high)].mean()))
+    return np.quantile(out, (0.025, 0.975), axis=0)
+
+
+def test_films_of_any_size_are_drawn_review_by_review(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    scores = {"large": rng.beta(5, 2, 2_300), "ties": rng.choice([0.2, 0.5, 0.9], 2_100), "small": rng.random(40)}
+    rows = [(film, f"{film}-{i}", float(x)) for film, some in scores.items() for i, x in enumerate(some)]
+    df = spark.createDataFrame(rows, "film_id string, doc_id string, score double")
+    found = {"whole": verdict.bootstrap_intervals(df, n_boot=60).collect(), "parts": verdict.bootstrap_intervals(df, n_boot=60, in_row=50).collect()}
+    for name, value in (("SLICE", 500), ("CHUNK", 700), ("PICKS", 20_000)):
+        monkeypatch.setattr(verdict, name, value)
+    found["many parts"] = verdict.bootstrap_intervals(df, n_boot=60).collect()
+    # Few draws are in windows as narrow as this, so all scores are passed on.
+    monkeypatch.setattr(verdict, "WIDTH", -0.2)
+    found["missed"] = verdict.bootstrap_intervals(df, n_boot=60).collect()
+    for film in scores:
+        want = _plain_draws([r for r in rows if r[0] == film], 60, verdict.SEED)
+        for way, got in found.items():
+            row = next(r for r in got if r.film_id == film)
+            for k, rule in enumerate(verdict.RULES):
+                assert (row[f"{rule}_low"], row[f"{rule}_high"]) == pytest.approx(tuple(want[:, k]), abs=1e-9), (film, way, rule)
+
+
+def test_reviews_of_equal_keys_pick_alike(spark):
+    df = spark.createDataFrame([("f", None if i % 2 else "d", i / 30) for i in range(30)], "film_id string, doc_id string, score double")
+    whole, parts = (verdict.bootstrap_intervals(df, n_boot=40, in_row=n).first() for n in (None, 0))
+    assert all(0 <= x <= 1 for x in whole[1:]) and all(0 <= x <= 1 for x in parts[1:])
+
+
 def test_length_bins_keep_ties_together(spark):
     words = [1] * 30 + [2] * 30 + [3, 4, 5, 6, 7, 8, 9, 10] * 5
     df = spark.createDataFrame([(i, w, 1, 1) for i, w in enumerate(words)], "doc_id int, words int, label int, pred int")
