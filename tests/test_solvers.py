@@ -256,3 +256,37 @@ def test_own_set_in_blocks(monkeypatch, limit):
     assert np.allclose(got, np.append(full[:-1][own.known], full[-1]))
     right, n = own._sum(solvers._hits, own._state("logistic", [Fit(0, 1.0)], short), [(1, 1), (1, 1)])
     assert n[0, 0] == 2 and right[0, 0] == ((x @ theta >= 0) == (label == 1))[~inside].sum()
+
+
+def test_recipes_in_one_pass_equal_recipes_by_joins(spark, docs, monkeypatch):
+    from reviewlytics.operators import naive_bayes
+    from reviewlytics.plans import model_queries
+
+    part = F.when(F.col("fold") == 0, "test").otherwise("train")
+    short = F.filter("tokens", lambda x: x > "w15")
+    both = docs.withColumn("fit", F.lit("whole")).unionByName(docs.withColumns({"fit": F.lit("some"), "tokens": short})).withColumn("part", part)
+    twice = both.unionByName(both.filter("doc_id < 3"))
+    options = features.VectorOptions(ngram_max=2)
+
+    def rows(found):
+        scored, sizes = found
+        return sorted((r.fit, r.doc_id, r.label, round(r.score, 7), r.pred) for r in scored.collect()), sorted(map(tuple, sizes.select("fit", "n_features").collect()))
+
+    joined = rows(model_queries._by_joins(both, options))
+    repeated = rows(model_queries._by_joins(twice, options))
+    assert rows(model_queries.recipe_runs(twice, 2)) == repeated
+    monkeypatch.setattr(naive_bayes, "fit", None)
+    assert rows(model_queries.recipe_runs(both, 2)) == joined
+
+
+def test_disjoint_sets_count_their_own_terms(spark, docs):
+    own = F.when(F.col("fold") < 2, F.array("fold", "fold")).otherwise(F.array().cast("array<int>"))
+    vectors = SharedVectors(docs.withColumn("trains", own), features.TFIDF, 2)
+    assert vectors._disjoint
+    for i in (0, 1):
+        alone = SharedVectors(docs.filter(F.col("fold") == i), features.TFIDF)
+        known = vectors.idf[:, i] > 0
+        assert vectors.vocabulary.filter(known).to_pylist() == alone.vocabulary.to_pylist()
+        assert vectors.idf[known, i] == pytest.approx(alone.idf[:, 0])
+        alone.close()
+    vectors.close()
